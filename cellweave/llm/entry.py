@@ -6,10 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op6_positional_index
+from .licenses import op3_rare_word_index
+from .linedup import OP2_SQL, op2_line_dedup
 from .minhash import op1_bag_minhash
+from .ngram import op7_kneser_ney
+from .packing import op4_length_buckets
+from .quality import op9_risk_controlled
+from .secrets import op5_credential_links
+from .toxicity import op10_weak_supervision
+from .urls import OP8_SQL, op8_blocked_bloom
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": op1_bag_minhash,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_rare_word_index": op3_rare_word_index,
+    "op4_length_buckets": op4_length_buckets,
+    "op5_credential_links": op5_credential_links,
+    "op6_positional_index": op6_positional_index,
+    "op7_kneser_ney": op7_kneser_ney,
+    "op8_blocked_bloom": op8_blocked_bloom,
+    "op9_risk_controlled": op9_risk_controlled,
+    "op10_weak_supervision": op10_weak_supervision,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op8_blocked_bloom": OP8_SQL,
+}

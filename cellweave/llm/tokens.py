@@ -80,13 +80,16 @@ class Words:
     end: np.ndarray
     data: np.ndarray
     begin: np.ndarray  #: of each text the number of its first word, and the number of words
+    bounds: np.ndarray  #: of each text its first byte, and the number of bytes
+    sums: np.ndarray  #: the running sum that hashes are taken from
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.begin)
 
-    def at(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes().lower()
+    def prefix_hash(self, start: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the ``k`` bytes from each of ``start`` on."""
+        return mix((self.sums[start + k] - self.sums[start]) * _power_tables(len(self.data) + 1)[1][start])
 
 
 def words_of(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, first: int = 0) -> Words:
@@ -108,7 +111,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, first: int
     hashed = mix((total[end] - total[start]) * down[start])
     begin = np.searchsorted(start, bounds)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(begin))
-    return Words(first, len(bounds) - 1, text, hashed, start, end, data, begin)
+    return Words(first, len(bounds) - 1, text, hashed, start, end, data, begin, bounds, total)
 
 
 def chunks(column: pa.Array, kind: np.ndarray) -> Iterator[Words]:
