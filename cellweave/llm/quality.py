@@ -132,4 +132,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the texts that the rules reject."""
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", F.col("lang").alias("stratum"), "text")
     learn = keep(measured(own.drop("__row")).drop("text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return verdicts(measured(own), cutoffs(learn, labels)).where("kept").select("__row.*")
+    # as the output of a generator, measures aren't evaluated anew by a filter on them
+    judged = measured(own).select("__row", "stratum", F.explode(F.array(F.struct("steps", "base_failed"))).alias("m")).select("__row", "stratum", "m.*")
+    return verdicts(judged, cutoffs(learn, labels)).where("kept").select("__row.*")
