@@ -37,7 +37,7 @@ from .shared import keep, table
 from .tokens import ALNUM, Words, chunks, mix
 
 MAX_LABELLED, LEXICON, FEATURES, ROUNDS = 50_000, 56, 512, 8
-MIN_TEXTS, LABEL_RELIABILITY, THRESHOLD = 3, 0.99, 0.7
+MIN_TEXTS, LABEL_RELIABILITY, REPEATS, MIN_Z, THRESHOLD = 3, 0.99, 0.8, 3.0, 0.7
 PREFIXES = (4, 5, 6)
 PATTERNS = 3
 
@@ -124,11 +124,15 @@ def lexicon_of(sample: DataFrame, n_voters: int = LEXICON, n_features: int = FEA
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), t, n)
     counts = sample.select("text", "toxic").mapInArrow(counted, "h bigint, n bigint, t bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     a, b, c, d = "(t + 0.5)", f"({t} - t + 0.5)", "(n - t + 0.5)", f"({n - t} - n + t + 0.5)"
-    z = keep(counts.where(F.col("n") >= MIN_TEXTS).select("h", F.expr(f"(ln({a} / {b}) - ln({c} / {d})) / sqrt(1 / {a} + 1 / {c})").alias("z")))
-    high = [r.h for r in z.orderBy(F.desc("z"), "h").limit(n_features).collect()]
-    low = [r.h for r in z.orderBy("z", "h").limit(n_features).collect()]
+    z = keep(counts.where(F.col("n") >= MIN_TEXTS).select("h", "n", "t", F.expr(f"(ln({a} / {b}) - ln({c} / {d})) / sqrt(1 / {a} + 1 / {c})").alias("z")))
+    best = z.orderBy(F.desc("z"), "h").limit(n_features).collect()
+    best = [r for r in best if r.z >= MIN_Z]
+    high = [r.h for r in best]
+    # of features in the same number of texts, such as a word and its beginnings, one votes
+    voting = list({(r.n, r.t): r.h for r in reversed(best)}.values())[::-1][:n_voters]
+    low = [r.h for r in z.where(F.col("z") <= -MIN_Z).orderBy("z", "h").limit(n_features).collect()]
     hashes = np.unique(np.array(high + low, dtype=np.int64).view(np.uint64))
-    voters = np.searchsorted(hashes, np.array(high[:n_voters], dtype=np.int64).view(np.uint64))
+    voters = np.searchsorted(hashes, np.array(voting, dtype=np.int64).view(np.uint64))
     return Lexicon(hashes, np.sort(voters), t, n)
 
 
@@ -180,17 +184,18 @@ def label_model(ballots: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> L
     base = (lexicon.n_toxic + 1) / (lexicon.n_labelled + 2)
     model = LabelModel(base, np.full((2, m), 0.5), np.ones(m), np.eye(m))
     said = np.log(LABEL_RELIABILITY / (1 - LABEL_RELIABILITY))
+    # texts without a label weigh as much as those with one at most, so that the hidden label stays the labels' own
+    total = ballots.agg(F.sum("n")).first()[0] or 0
+    share = min(1.0, lexicon.n_labelled / max(1, total))
 
-    def sums(by: LabelModel, labelled_only: bool) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
+    def sums(by: LabelModel, others: float) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(2 + 2 * m + m * m)
             for batch in batches:
                 x = _bits(batch.column("ballot").to_numpy())
                 odds = by.log_odds(x)
                 for name, shift in (("n_clean", -said), ("n_toxic", said), ("n", 0.0)):
-                    if labelled_only and not shift:
-                        continue
-                    n = batch.column(name).to_numpy().astype(np.float64)
+                    n = batch.column(name).to_numpy() * (1.0 if shift else others)
                     r = n / (1 + np.exp(-np.clip(odds + shift, -500, 500)))
                     out += np.concatenate([[(n - r).sum(), r.sum()], (n - r) @ x, r @ x, ((x * r[:, None]).T @ x).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], ["i", "v"])
@@ -201,14 +206,14 @@ def label_model(ballots: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> L
         return v[0], v[1], v[2 : 2 + m], v[2 + m : 2 + 2 * m], v[2 + 2 * m :].reshape(m, m)
 
     for i in range(rounds):
-        n0, n1, x0, x1, both = sums(model, labelled_only=i == 0)
-        votes = np.stack([(x0 + 0.1) / (n0 + 1), (x1 + 0.1) / (n1 + 1)])
+        n0, n1, x0, x1, both = sums(model, share if i else 0.0)
+        votes = np.stack([(x0 + 0.5) / (n0 + 1), (x1 + 0.5) / (n1 + 1)])
         mean = x1 / max(n1, 1e-9)
         cov = both / max(n1, 1e-9) - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / np.outer(sd, sd), -1, 1)
         np.fill_diagonal(corr, 1)
-        weight = 1 / np.where(corr > 0.3, corr, 0).sum(axis=1)
+        weight = 1 / np.where(corr > REPEATS, corr, 0).sum(axis=1)
         moved = np.abs(votes - model.votes).max()
         model = LabelModel(min(max((n1 + 1) / (n0 + n1 + 2), 1e-6), 0.5), votes, weight, corr)
         if moved < 1e-4:
@@ -222,7 +227,7 @@ class Classifier:
     weights: np.ndarray  #: by place in the lexicon
 
 
-def fitted(hits: list[np.ndarray], target: np.ndarray, n_features: int, l2: float = 1.0, rounds: int = 300) -> Classifier:
+def fitted(hits: list[np.ndarray], target: np.ndarray, n_features: int, l2: float = 0.01, rounds: int = 1000) -> Classifier:
     """Logistic regression on soft targets, by accelerated gradient steps with a bound on the curvature."""
     row = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
     col = np.concatenate(hits) if len(row) else np.zeros(0, int)
@@ -246,9 +251,10 @@ def learned(found: DataFrame, lexicon: Lexicon) -> tuple[LabelModel, Classifier]
     of = lambda cond: F.sum(F.expr(cond).cast("bigint"))
     ballots = keep(found.groupBy("ballot").agg(of("toxic IS NOT NULL AND NOT toxic").alias("n_clean"), of("coalesce(toxic, false)").alias("n_toxic"), of("toxic IS NULL").alias("n")))
     model = label_model(ballots, lexicon)
-    rows = found.where("toxic IS NOT NULL").select("doc_id", "hits", "ballot").toPandas().sort_values("doc_id")
+    rows = found.where("toxic IS NOT NULL").select("doc_id", "toxic", "hits", "ballot").toPandas().sort_values("doc_id")
     x = _bits(rows["ballot"].to_numpy())
-    target = 1 / (1 + np.exp(-np.clip(model.log_odds(x), -500, 500)))
+    said = np.log(LABEL_RELIABILITY / (1 - LABEL_RELIABILITY)) * np.where(rows["toxic"].to_numpy(dtype=bool), 1, -1)
+    target = 1 / (1 + np.exp(-np.clip(model.log_odds(x) + said, -500, 500)))
     return model, fitted([np.asarray(h, dtype=np.int64) for h in rows["hits"]], target, len(lexicon.hashes))
 
 
