@@ -95,7 +95,7 @@ def cutoffs(
     said = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = measures.where("NOT base_failed").select("doc_id", "stratum", "steps").join(said, "doc_id")
     good, bad = F.sum((F.col("quality") > 0).cast("bigint")).alias("good"), F.sum((F.col("quality") <= 0).cast("bigint")).alias("bad")
-    bins = rows.select("stratum", "quality", F.posexplode("steps").alias("measure", "step")).groupBy("stratum", "measure", "step").agg(good, bad)
+    bins = keep(rows.select("stratum", "quality", F.posexplode("steps").alias("measure", "step")).groupBy("stratum", "measure", "step").agg(good, bad))
     # at most STEPS + 1 rows for each stratum and measure from here on
     down = W.partitionBy("stratum", "measure").orderBy(F.desc("step"))
     all_of = W.partitionBy("stratum", "measure")
@@ -104,9 +104,9 @@ def cutoffs(
         F.sum("good").over(down).alias("x"), F.sum("bad").over(down).alias("hit"), F.sum("good").over(all_of).alias("n"),
     ).where("step > 0")
     risk = max_false_rejection / len(MEASURES)
-    strata = bins.select(F.count_distinct(F.coalesce("stratum", F.lit("\0"))).alias("strata"))
-    level = F.lit(delta) / (F.col("strata") * len(MEASURES))
-    tested = tails.crossJoin(F.broadcast(strata)).withColumn("ok", F.expr(binomial_cdf("x", "cast(n AS double)", f"{risk!r}D")) <= level)
+    strata = bins.select(F.count_distinct(F.coalesce("stratum", F.lit("\0")))).first()[0]
+    level = delta / (max(1, strata) * len(MEASURES))
+    tested = tails.withColumn("ok", F.expr(binomial_cdf("x", "cast(n AS double)", f"{risk!r}D")) <= level)
     sound = tested.withColumn("ok", F.min("ok").over(down)).where("ok").withColumn("gain", F.col("hit") - F.lit(cost) * F.col("x")).where("gain > 0")
     chosen = sound.groupBy("stratum", "measure").agg(F.max(F.struct("gain", "step")).alias("best"))
     as_map = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("measure", "best.step"))).alias("m"))
