@@ -13,11 +13,12 @@ together, each with a random level, and kept up to level ``w``. So a run costs
 weighted Jaccard similarity. Processes end at a time by which, as checked, every
 component has its first event.
 
-Candidates meet in one of ``bands`` buckets of ``rows`` components. A bucket's
-members are compared with its first member only; buckets whose members are then
-still in different components have their remaining pairs compared as well, save
-those that cannot reach the threshold by size and by the number of runs that no
-other candidate has. So a link is lost only if the two texts share no bucket:
+Candidates meet in one of ``bands`` buckets of ``rows`` components. In each of a
+few rounds every text is compared with one other of its buckets, which joins
+large groups without making their pairs. Buckets whose members are then still in
+different components have all pairs across components compared, save those that
+cannot reach the threshold by size and by the number of runs that no other
+candidate has. So a link is lost only if the two texts share no bucket:
 with 42 bands of 6 rows that has a probability of 3e-6 at similarity 0.8.
 
 Edge cases: null and wordless texts have no runs and are classes of their own
@@ -40,6 +41,7 @@ from .shared import keep, table
 from .tokens import ALNUM, Words, chunks, mix, windows
 
 ROWS, BANDS, SHINGLE, THRESHOLD = 6, 42, 5, 0.8
+STAR_ROUNDS, BROADCAST_IDS = 2, 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -199,26 +201,39 @@ def near_classes(
     """
     signed = keep(signatures(docs, k, bands, rows))
     row = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")
-    texts = signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(row).alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    texts = keep(
+        signed.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     )
-    met = keep(texts.select("node", "row", "n", F.explode("bands").alias("bucket")))
-    firsts = met.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
-    members = keep(met.join(firsts, "bucket").select("bucket", "a", F.col("node").alias("b"), "row", "n"))
-    stars = members.where("a <> b").select("a", "b").distinct()
+    met = texts.select("node", F.explode("bands").alias("bucket"))
+    firsts = met.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
+    members = keep(met.join(firsts, "bucket"))
 
     # the runs of candidates only, from one row each
-    ids = members.select("row.doc_id", "row.text_key").distinct()
+    ids = texts.join(members.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.text_key")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     keyed = docs.select("doc_id", _text_key().alias("text_key"), "text")
     same = keyed["doc_id"].eqNullSafe(ids["doc_id"]) & (keyed["text_key"] == ids["text_key"])
     runs = keep(shingle_sets(keyed.join(ids, same, "left_semi"), k).where("node IS NOT NULL").dropDuplicates(["node"]))
 
-    links = keep(_verified(stars, runs, threshold))
+    # one partner for each text and round: first the smallest, then some text of another component
+    partners = members.where("a <> node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    links = keep(_verified(partners, runs, threshold))
     labels = components(links)
-    rest = _open_pairs(members, runs, labels, threshold)
-    more = keep(_verified(rest, runs, threshold))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for i in range(STAR_ROUNDS):
+        apart = _split(members, labels)
+        if apart.isEmpty():
+            break
+        hubs = apart.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(i))).alias("hub"))
+        partners = (
+            apart.join(hubs, "bucket").where("label <> hub.label")
+            .groupBy(F.col("node").alias("b")).agg(F.min_by("hub.node", F.xxhash64("hub.node", F.lit(i))).alias("a"))
+        )
+        links = keep(links.unionByName(_verified(partners, runs, threshold)))
+        labels = components(links)
+    else:
+        more = keep(_verified(_open_pairs(_split(members, labels), runs, threshold), runs, threshold))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
     named = texts.join(labels, "node", "left").select("node", "row", "copies", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("row").alias("first"), F.sum("copies").alias("class_size"))
@@ -233,20 +248,23 @@ def near_classes(
     )
 
 
-def _open_pairs(members: DataFrame, runs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in one bucket but in different components that may still reach the threshold."""
-    of = members.select("bucket", F.col("b").alias("node"), "n").join(labels, "node", "left")
-    of = of.withColumn("label", F.coalesce("label", "node"))
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket, node, label`` of buckets whose members are in different components."""
+    of = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    of = keep(of.join(split, "bucket"))
+    return keep(of.join(split, "bucket"))
+
+
+def _open_pairs(of: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs in one bucket but in different components that may still reach the threshold."""
     there = runs.join(of.select("node").distinct(), "node", "left_semi")
     each = there.select("node", F.explode("runs").alias("run"))
     lone = (
         each.groupBy("run").agg(F.min("node").alias("node"), F.count("*").alias("df")).where("df = 1")
         .groupBy("node").agg(F.count("*").alias("lone"))
     )
-    of = of.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0)))
-    of = keep(of.where(F.col("shared") >= F.lit(threshold) * F.col("n")).drop("lone"))
+    sizes = there.select("node", F.size("runs").alias("n")).join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0)))
+    of = keep(of.join(sizes.where(F.col("shared") >= F.lit(threshold) * F.col("n")).drop("lone"), "node"))
     a = of.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "shared")))
     b = of.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "shared")))
     most = F.least("shared_a", "shared_b")
