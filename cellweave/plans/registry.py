@@ -5,6 +5,322 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import cells
+from ..operators import exchange, grid, history, layering
+from ..sources.rules import Rule, Rules, rows_of
+from . import bindings as b
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+WITH = """WITH parts AS (SELECT 'part-' || lpad(p_partkey::VARCHAR, 8, '0') AS row_id, p_partkey::VARCHAR AS business_key, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part),
+ords AS (SELECT 'order-' || lpad(o_orderkey::VARCHAR, 8, '0') AS row_id, CASE WHEN o_orderstatus <> 'P' THEN lpad(o_orderkey::VARCHAR, 8, '0') END AS business_key, o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS updated_at FROM orders),
+live AS (SELECT 'cust-' || c_custkey AS row_id, c_name AS business_key FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+audit AS (SELECT event_id AS id, ts AS timestamp, CASE WHEN event_type = 'error' THEN '_BATCH_' ELSE 'cust-' || user_id END AS row_id, event_type AS column_name, value AS new_value, user_id::VARCHAR AS updated_by, CASE WHEN user_id % 10 <> 0 THEN user_id || '/' || strftime(ts, '%Y-%m-%d') END AS transaction_id FROM events),
+ev AS (SELECT event_id AS seq, 'tx-' || (event_id // 7) AS tx, 't' AS table_name, 'row-' || (user_id % 40) AS row_id, event_type AS col, ['user','parser_a','parser_b','feed_x','feed_longer'][event_id % 5 + 1] AS source, CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k') END AS value, user_id::VARCHAR AS updated_by FROM events),
+prio AS (SELECT * FROM (VALUES ('user', 0), ('parser_a', 1), ('parser_b', 2), ('feed_x', 99), ('feed_longer', 99)) p(source, p)),
+latest AS (SELECT e.*, p, row_number() OVER (PARTITION BY row_id, col, e.source ORDER BY seq DESC) AS k FROM ev e JOIN prio USING (source)),
+state AS (SELECT *, row_number() OVER (PARTITION BY row_id, col ORDER BY p, length(source), source) AS best FROM latest WHERE k = 1)
+"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def added(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = WITH + sql
+        return f
+
+    return added
+
+
+def _paged(name: str, source: Callable, columns: str, from_: str, order: grid.Order, sql_order: str, skip: int, limit: int, **search: object) -> None:
+    keep = columns.split(", ")
+
+    @query(name, f"SELECT {columns}, position FROM (SELECT *, row_number() OVER (ORDER BY {sql_order}) - 1 AS position FROM {from_}) WHERE position >= {skip} AND position < {skip + limit}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return grid.page(grid.searched(source(spark, sf_dir), **search), order, skip, limit).select(*keep, "position")
+
+
+_P, _O = "row_id, name, brand, type, size", "row_id, status, priority"
+_paged("page_search_cols", b.parts, _P, "parts WHERE lower(name) LIKE '%ring%' OR lower(brand) LIKE '%ring%'", grid.Order("id"), "business_key NULLS LAST, row_id", 10, 50, q="RING", cols=["name", " brand "])
+_paged("page_search_global", b.parts, _P, "parts WHERE lower(name) LIKE '%ec%' OR lower(brand) LIKE '%ec%' OR lower(type) LIKE '%ec%' OR size::VARCHAR LIKE '%ec%'", grid.Order(), "row_id", 0, 100, q="ec")
+_paged("page_search_literal", b.parts, _P, "parts WHERE contains(name, '%') OR contains(brand, '#1')", grid.Order(), "row_id", 0, 200, q="#1", cols=["name", "brand"])
+_paged("page_search_row_id", b.parts, _P, "parts WHERE contains(row_id, '-0000001')", grid.Order(), "row_id", 0, 100, q="-0000001", cols=["id"])
+_paged("page_search_updated_at", b.orders, _O, "ords WHERE contains(updated_at::VARCHAR, '1998-10')", grid.Order(), "row_id", 0, 100, q="1998-10", cols=["updated_at"])
+_paged("page_latest", b.orders, _O, "ords", grid.Order("updated_at", True), "updated_at DESC NULLS FIRST, row_id DESC", 0, 500)
+_paged("page_oldest", b.orders, _O, "ords", grid.Order("updated_at"), "updated_at NULLS LAST, row_id", 0, 500)
+_paged("page_key_nulls_asc", b.orders, _O, "ords", grid.Order("id"), "business_key NULLS LAST, row_id", 0, 300)
+_paged("page_key_nulls_desc", b.orders, _O, "ords", grid.Order("id", True), "business_key DESC NULLS FIRST, row_id DESC", 0, 300)
+_paged("page_default", b.orders, _O, "ords", grid.Order(), "row_id", 0, 500)
+_paged("page_deep_offset", b.orders, _O, "ords", grid.Order("updated_at", True), "updated_at DESC NULLS FIRST, row_id DESC", 900, 300)
+
+
+@query("search_page_mode", "SELECT count(*) AS n FROM parts WHERE lower(brand) LIKE '%brand#2%'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.searched(b.parts(spark, sf_dir), "Brand#2", ["brand"], mode="page").agg(F.count("*").alias("n"))
+
+
+@query("search_scanner_mode", "SELECT count(*) AS n FROM parts WHERE contains(row_id, 'part-000001')")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.searched(b.parts(spark, sf_dir), "part-000001", mode="scanner").agg(F.count("*").alias("n"))
+
+
+@query("search_export_blank_cols", "SELECT count(*) AS n FROM parts")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.searched(b.parts(spark, sf_dir), "nothing", [" "], mode="export").agg(F.count("*").alias("n"))
+
+
+@query("total_count_filtered", "SELECT count(*) AS total FROM ords WHERE lower(priority) LIKE '%high%'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.searched(b.orders(spark, sf_dir), "high", ["priority"]).agg(F.count("*").alias("total"))
+
+
+def _positions(name: str, order: grid.Order, sql_order: str) -> None:
+    @query(name, f"SELECT row_id, position FROM (SELECT row_id, row_number() OVER (ORDER BY {sql_order}) - 1 AS position FROM ords) WHERE row_id IN ('order-00000000', 'order-00000123', 'order-00000777')")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        targets = spark.createDataFrame([("order-00000000",), ("order-00000123",), ("order-00000777",), ("absent",)], "row_id string")
+        return grid.positions_of(b.orders(spark, sf_dir), order, targets)
+
+
+_positions("jump_position_updated", grid.Order("updated_at", True), "updated_at DESC NULLS FIRST, row_id DESC")
+_positions("jump_position_key", grid.Order("id"), "business_key NULLS LAST, row_id")
+_positions("jump_position_key_desc", grid.Order("id", True), "business_key DESC NULLS FIRST, row_id DESC")
+
+
+@query("jump_window_page", """, o AS (SELECT row_id, row_number() OVER (ORDER BY updated_at DESC NULLS FIRST, row_id DESC) - 1 AS position FROM ords)
+SELECT row_id, position FROM o WHERE position >= (SELECT greatest(0, position - 20) FROM o WHERE row_id = 'order-00000123') AND position < (SELECT greatest(0, position - 20) FROM o WHERE row_id = 'order-00000123') + 40""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.page_around(b.orders(spark, sf_dir), grid.Order("updated_at", True), "order-00000123", 40).select("row_id", "position")
+
+
+@query("all_positions", "SELECT row_id, row_number() OVER (ORDER BY updated_at DESC NULLS FIRST, row_id DESC) - 1 AS position FROM ords")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.numbered(b.orders(spark, sf_dir), grid.Order("updated_at", True))
+
+
+@query("target_row_ids", """, o AS (SELECT row_id, row_number() OVER (ORDER BY business_key NULLS LAST, row_id) - 1 AS position FROM ords)
+SELECT a.request, a.position, row_id FROM o JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 400)) a(request, position) ON a.position = o.position""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.ids_at(b.orders(spark, sf_dir), grid.Order("id"), [7, 3, 7, 400, 49_000])
+
+
+@query("tx_review_rows", "SELECT row_id, business_key FROM live WHERE row_id IN (SELECT row_id FROM audit WHERE transaction_id = '8/2024-01-01')")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.in_transaction(b.customers(spark, sf_dir), b.audit(spark, sf_dir), "8/2024-01-01")
+
+
+@query("tx_detail", """SELECT id, strftime(a.timestamp, '%Y-%m-%d %H:%M:%S') AS at, a.row_id, column_name, business_key FROM (SELECT * FROM audit WHERE transaction_id = '7/2024-01-01' ORDER BY timestamp DESC, id DESC LIMIT 500) a LEFT JOIN live USING (row_id)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = history.transaction_detail(b.audit(spark, sf_dir), b.customers(spark, sf_dir), "7/2024-01-01")
+    return d.select("id", cells.display_time(F.col("timestamp")).alias("at"), "row_id", "column_name", "business_key")
+
+
+@query("recent_transactions", """, a AS (SELECT a.*, coalesce(transaction_id, 'no_tid') AS tx FROM audit a LEFT JOIN live l USING (row_id) WHERE row_id = '_BATCH_' OR l.row_id IS NOT NULL),
+c AS (SELECT tx, column_name, max(timestamp) AS m FROM a GROUP BY ALL), j AS (SELECT tx, string_agg(column_name, ',' ORDER BY m DESC) AS columns FROM c GROUP BY tx)
+SELECT tx, total_count, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, columns FROM (SELECT tx, count(*) AS total_count, max(timestamp) AS last_at FROM a GROUP BY tx) JOIN j USING (tx) ORDER BY last_at DESC LIMIT 100""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = history.transactions(b.audit(spark, sf_dir), b.customers(spark, sf_dir))
+    return t.select("tx", "total_count", cells.display_time(F.col("last_at")).alias("last_at"), "columns")
+
+
+@query("tx_preview_cap", "SELECT tx, id, nth FROM (SELECT coalesce(transaction_id, 'no_tid') AS tx, id, row_number() OVER (PARTITION BY coalesce(transaction_id, 'no_tid') ORDER BY timestamp DESC, id DESC) AS nth FROM audit) WHERE nth <= 5")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.previews(b.audit(spark, sf_dir), 5).select("tx", "id", "nth")
+
+
+@query("row_history", "SELECT id, column_name FROM audit WHERE row_id = 'cust-7'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.row_history(b.audit(spark, sf_dir), "cust-7").select("id", "column_name")
+
+
+@query("cell_lineage", "SELECT id, new_value FROM audit WHERE row_id = 'cust-7' AND column_name = 'click'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.row_history(b.audit(spark, sf_dir), "cust-7", "click").select("id", "new_value")
+
+
+@query("audit_alive_or_batch", "SELECT count(*) AS n, count(*) FILTER (WHERE row_id = '_BATCH_') AS n_batch FROM audit LEFT JOIN live l USING (row_id) WHERE row_id = '_BATCH_' OR l.row_id IS NOT NULL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = history.alive_or_batch(b.audit(spark, sf_dir), b.customers(spark, sf_dir))
+    return a.agg(F.count("*").alias("n"), F.count_if(F.col("row_id") == history.BATCH).alias("n_batch"))
+
+
+@query("dashboard", """, t AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS table_name, o_orderdate AS updated FROM orders),
+d AS (SELECT n.table_name, count(updated) AS n_rows, max(updated) AS m FROM (SELECT unnest(['finished', 'open', 'empty']) AS table_name) n LEFT JOIN t USING (table_name) GROUP BY 1)
+SELECT table_name, n_rows, coalesce(strftime(m, '%Y-%m-%d %H:%M:%S'), '') AS last_at, CASE WHEN epoch(TIMESTAMP '1998-12-01 00:30:00') - epoch(m) < 3600 THEN 'Active' ELSE 'Idle' END AS status FROM d""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    rows = b.read(spark, sf_dir, "orders").select(
+        F.when(s == "F", "finished").when(s == "O", "open").otherwise("other").alias("table_name"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.lit(None).cast("timestamp").alias("created_at")
+    )
+    d = history.dashboard(rows, ["finished", "open", "empty"], F.lit("1998-12-01 00:30:00").cast("timestamp"))
+    return d.withColumn("last_at", cells.display_time(F.col("last_at")))
+
+
+_CELL = "row_id, col, value, priority_source, is_overwrite, updated_by, n_sources"
+
+
+@query("layering_effective", """SELECT row_id, col, max(value) FILTER (WHERE best = 1) AS value, max(source) FILTER (WHERE best = 1) AS priority_source, bool_or(source = 'user') AS is_overwrite, arg_max(updated_by, seq) AS updated_by, count(*) AS n_sources FROM state GROUP BY row_id, col""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layering.effective(b.cell_events(spark, sf_dir)).select(*_CELL.split(", "))
+
+
+@query("layering_pinned", """, s AS (SELECT *, row_number() OVER (PARTITION BY row_id, col ORDER BY CASE WHEN row_id = 'row-3' AND source = 'feed_longer' THEN 0 ELSE 1 END, best) AS b2 FROM state)
+SELECT row_id, col, value, source AS priority_source FROM s WHERE b2 = 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.cell_events(spark, sf_dir)
+    pins = e.where("row_id = 'row-3'").select(*layering.CELL, F.lit(0).alias("seq"), F.lit("feed_longer").alias("source")).distinct()
+    return layering.effective(e, pins=pins).select("row_id", "col", "value", "priority_source")
+
+
+@query("layering_after_source_delete", """, s AS (SELECT *, row_number() OVER (PARTITION BY row_id, col ORDER BY best) AS b2 FROM state WHERE source <> 'user')
+SELECT row_id, col, value, source AS priority_source FROM s WHERE b2 = 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.cell_events(spark, sf_dir)
+    gone = e.select(*layering.CELL).distinct().withColumns({"source": F.lit("user"), "seq": F.lit(10**12)})
+    return layering.effective(e, removed=gone).select("row_id", "col", "value", "priority_source")
+
+
+@query("cell_sources", "SELECT source, value, updated_by FROM latest WHERE k = 1 AND row_id = 'row-3' AND col = 'click'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = layering.latest_by_source(b.cell_events(spark, sf_dir)).where("row_id = 'row-3' AND col = 'click'")
+    return s.orderBy(F.col("source") != "user", "source").select("source", "value", "updated_by")
+
+
+_SEEN = """, seen AS (SELECT e.seq, e.row_id, e.col, e.source, o.value, row_number() OVER (PARTITION BY e.seq ORDER BY p.p, length(o.source), o.source, o.seq DESC) AS k FROM ev e JOIN ev o ON o.row_id = e.row_id AND o.col = e.col AND o.seq <= e.seq JOIN prio p ON p.source = o.source),
+eff AS (SELECT *, lag(value) OVER w AS old_value, row_number() OVER w = 1 AS is_new FROM seen WHERE k = 1 WINDOW w AS (PARTITION BY row_id, col ORDER BY seq)),
+ch AS (SELECT *, is_new OR coalesce(value, 'None') <> coalesce(old_value, 'None') AS changed FROM eff)"""
+
+
+@query("changes_of_events", _SEEN + "SELECT seq, old_value, value AS new_value, changed FROM ch")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layering.changes(b.cell_events(spark, sf_dir)).select("seq", "old_value", "new_value", "changed")
+
+
+@query("masked_writes", _SEEN + "SELECT source, count(*) FILTER (WHERE NOT changed) AS n_masked FROM ch GROUP BY source")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layering.changes(b.cell_events(spark, sf_dir)).groupBy("source").agg(F.count_if(~F.col("changed")).alias("n_masked"))
+
+
+@query("audit_from_changes", _SEEN + """SELECT tx, row_id, col AS column_name, new_value FROM (SELECT tx, ch.row_id, ch.col, ch.value AS new_value FROM ch JOIN ev USING (seq) WHERE changed AND ch.source = 'user'
+UNION ALL SELECT tx, ch.row_id, 'ROW_UPDATE', count(DISTINCT ch.col) || ' fields updated' FROM ch JOIN ev USING (seq) WHERE changed AND ch.source <> 'user' GROUP BY tx, ch.row_id, ch.source)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layering.audit_of(b.cell_events(spark, sf_dir)).select("tx", "row_id", "column_name", "new_value")
+
+
+@query("upsert_final_state", """, u AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'part-' || lpad((o_orderkey % 50)::VARCHAR, 8, '0') END AS given, ' ' || (o_custkey % 4000) || ' ' AS k FROM orders),
+m AS (SELECT seq, coalesce(p.row_id, q.row_id) AS found, given, trim(k) AS k FROM u LEFT JOIN parts p ON p.row_id = given LEFT JOIN parts q ON q.business_key = trim(k))
+SELECT coalesce(found, given, 'new-' || md5(k)) AS row_id, arg_max(k, seq) AS business_key, bool_and(found IS NULL) AS is_new, count(*) AS n_updates FROM m GROUP BY 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = b.read(spark, sf_dir, "orders")
+    given = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("part-"), F.lpad((F.col("o_orderkey") % 50).cast("string"), 8, "0")))
+    key = F.concat(F.lit(" "), (F.col("o_custkey") % 4000).cast("string"), F.lit(" "))
+    return layering.upserted(b.parts(spark, sf_dir), o.select(F.col("o_orderkey").alias("seq"), given.alias("row_id"), key.alias("business_key")))
+
+
+@query("business_key_lookup", "SELECT min(row_id) AS row_id FROM parts WHERE business_key = '17'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.parts(spark, sf_dir).where(F.col("business_key") == F.trim(F.lit(" 17 "))).agg(F.min("row_id").alias("row_id"))
+
+
+@query("point_lookup", f"SELECT {_P} FROM parts WHERE row_id = 'part-00000042'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.parts(spark, sf_dir).where("row_id = 'part-00000042'").select(*_P.split(", "))
+
+
+@query("delete_antijoin", "SELECT row_id FROM parts WHERE row_id NOT IN (SELECT row_id FROM parts WHERE size < 10)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = b.parts(spark, sf_dir)
+    return layering.without_rows(p, p.where("size < 10")).select("row_id")
+
+
+@query("schema_keys", "SELECT * FROM (VALUES (0, 'brand'), (1, 'name'), (2, 'size'), (3, 'type'), (4, 'created_at'), (5, 'updated_at')) s(n, name)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(grid.schema_of(b.parts(spark, sf_dir)))), "n int, name string")
+
+
+@query("export_rows", "SELECT row_id, concat_ws(',', name, brand, size::VARCHAR) AS line FROM parts")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.export_lines(b.parts(spark, sf_dir), ["name", "brand", "size"], grid.Order("id"))
+
+
+@query("export_size_estimate", """, s AS (SELECT strlen(concat_ws(',', name, brand, size::VARCHAR)) + 2 AS n FROM parts ORDER BY row_id LIMIT 10)
+SELECT (SELECT count(*) FROM parts) AS total_rows, floor(5 + strlen('name,brand,size') + (SELECT avg(n) FROM s) * (SELECT count(*) FROM parts))::BIGINT AS estimated_bytes""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.export_size(b.parts(spark, sf_dir), ["name", "brand", "size"], grid.Order())
+
+
+@query("tsv_copy", "SELECT row_id, concat_ws(chr(9), coalesce(business_key, ''), status, priority) AS line FROM ords")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.tsv(b.orders(spark, sf_dir), ["business_key", "status", "priority"])
+
+
+@query("matrix_unpivot", """, c AS (SELECT p_partkey AS id, unnest([p_name, ' ' || p_size || ' ', '', p_retailprice::DECIMAL(10,2)::VARCHAR]) AS z, unnest([0, 1, 2, 3]) AS x FROM part)
+SELECT id, 0 AS y, x, trim(z) AS z, regexp_full_match(trim(z), '[0-9]+\\.?[0-9]*|\\.[0-9]+') AS is_number FROM c WHERE trim(z) <> ''""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(",", "p_name", F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" ")), F.lit(""), F.col("p_retailprice").cast("decimal(10,2)").cast("string"))
+    return exchange.matrix_cells(b.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("y"), line.alias("line")))
+
+
+@query("paste_mapping", "SELECT row_id, t.name, value FROM (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS value, unnest(['name', 'created_at', 'kind']) AS name FROM part) t JOIN parts ON row_id = 'part-' || lpad((p_partkey + 5)::VARCHAR, 8, '0') WHERE t.name <> 'created_at'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = b.read(spark, sf_dir, "part")
+    made = part.select(F.col("p_partkey").alias("id"), F.concat_ws("\t", "p_name", "p_brand", "p_type").alias("text"))
+    flat = exchange.pasted(made).withColumn("r", F.col("id") + F.col("r"))
+    rows = part.select(F.col("p_partkey").alias("visual"), F.concat(F.lit("part-"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("row_id"))
+    names = spark.createDataFrame([(0, "other"), (1, "name"), (2, "created_at"), (3, "kind")], "visual int, name string")
+    return exchange.paste_targets(flat, rows, names, top=5, left=1)
+
+
+@query("changefeed_chunks", """SELECT table_name, 'batch_row_delete' AS event, ((nth - 1) // 500)::INTEGER AS chunk, string_agg(row_id, ',' ORDER BY row_id) AS row_ids FROM (SELECT status AS table_name, row_id, row_number() OVER (PARTITION BY status ORDER BY row_id) AS nth FROM ords) GROUP BY ALL""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = b.orders(spark, sf_dir).select(F.col("status").alias("table_name"), "row_id")
+    return exchange.feed(changed, "delete").withColumn("row_ids", F.array_join("row_ids", ","))
+
+
+@query("feed_merge_latest", """, e AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY seq DESC) AS k FROM ev), l AS (SELECT row_id, name AS value FROM (SELECT 'row-' || p_partkey AS row_id, p_name AS name FROM part))
+SELECT coalesce(l.row_id, e.row_id) AS row_id, CASE WHEN e.row_id IS NOT NULL THEN e.value ELSE l.value END AS value FROM l FULL JOIN (SELECT * FROM e WHERE k = 1) e ON l.row_id = e.row_id WHERE e.col IS NULL OR e.col <> 'error'""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local = b.read(spark, sf_dir, "part").select(F.concat(F.lit("row-"), F.col("p_partkey").cast("string")).alias("row_id"), F.col("p_name").alias("value"))
+    kind = F.when(F.col("col") == "error", "delete").otherwise("upsert")
+    return exchange.merged_view(local, b.cell_events(spark, sf_dir).select("seq", "row_id", kind.alias("kind"), "value"))
+
+
+@query("delete_ranges_islands", """SELECT col AS k, min(i) AS first, max(i) AS last FROM (SELECT col, i, i - row_number() OVER (PARTITION BY col ORDER BY i) AS g FROM (SELECT DISTINCT event_type AS col, event_id AS i FROM events)) GROUP BY col, g""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.ranges(b.read(spark, sf_dir, "events").select(F.col("event_type").alias("k"), F.col("event_id").alias("i")), "k")
+
+
+@query("uploader_from_filename", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS who FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("user("), F.col("p_name"), F.lit(")_x.log"))).otherwise(F.concat(F.lit("x_user("), F.col("p_name")))
+    return b.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cells.uploader(name).alias("who"))
+
+
+@query("double_wrap_flatten", "SELECT p_partkey AS id, p_name AS value FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    for n in (2, 3, 4):
+        wrapped = F.to_json(F.struct(name.alias("value")))
+        name = F.when(F.col("p_partkey") % n == 0, wrapped).otherwise(name)
+    return b.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cells.unwrapped(name).alias("value"))
+
+
+@query("column_case_merge", """, e AS (SELECT *, arg_max(value, seq) OVER (PARTITION BY row_id, col, source) AS last, row_number() OVER (PARTITION BY row_id, col, source ORDER BY seq DESC) AS k2 FROM ev)
+SELECT row_id, CASE WHEN col = 'click' THEN 'Click' ELSE col END AS col, source, value FROM e WHERE k2 = 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = F.when(F.col("seq") % 2 == 0, F.upper("col")).otherwise(F.col("col"))
+    display = ["Click", "view", "error", "purchase", "signup", "login", "logout", "scroll"]
+    return layering.merged_columns(b.cell_events(spark, sf_dir).withColumn("col", mixed), display).select("row_id", "col", "source", "value")
+
+
+@query("ingest_regex_rows", """SELECT p_partkey::VARCHAR AS file, 'lot-' || p_partkey AS lot, p_name AS name, p_size::VARCHAR AS size, CASE WHEN p_size > 25 THEN 'true' ELSE 'none' END AS flag FROM part WHERE p_size > 5""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = b.read(spark, sf_dir, "part")
+    body = F.concat(F.lit("name="), F.col("p_name"), F.lit(" size="), F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).otherwise("n/a"), F.when(F.col("p_size") > 25, F.lit(" flag=YES")).otherwise(F.lit("")))
+    text = F.concat_ws("\n", F.concat(F.lit("lot: lot-"), F.col("p_partkey").cast("string")), F.lit("lot ignored name=early size=9"), F.lit("== begin"), F.lit(""), body, F.lit("== end"), F.lit("name=late size=9"))
+    rules = Rules([Rule("name", r"name=(\S+ \S+)"), Rule("size", r"size=(\S+)", "int", required=True), Rule("flag", r"flag=(\S+)", "bool", default="none")], header=[Rule("lot", r"^lot: (\S+)")], start="== begin", end="== end")
+    return rows_of(p.select(F.col("p_partkey").cast("string").alias("file"), text.alias("text")), rules).select("file", "lot", "name", "size", "flag")
