@@ -49,7 +49,7 @@ class Rules:
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """``file, text`` of whole files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def lines_of(texts: DataFrame, rules: Rules) -> DataFrame:
@@ -57,7 +57,7 @@ def lines_of(texts: DataFrame, rules: Rules) -> DataFrame:
     lines = texts.select("file", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
     before = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     is_start = F.col("line").rlike(rules.start) if rules.start else F.lit(False)
-    lines = lines.withColumn("is_start", is_start).withColumn("started", F.coalesce(F.bool_or("is_start").over(before), F.lit(rules.start is None)))
+    lines = lines.withColumn("is_start", is_start).withColumn("started", F.coalesce(F.bool_or("is_start").over(before), F.lit(False)) if rules.start else F.lit(True))
     inside = F.col("started") & ~(F.col("is_start") & ~F.col("started"))
     is_end = (F.col("line").rlike(rules.end) & inside) if rules.end else F.lit(False)
     lines = lines.withColumn("is_end", is_end).withColumn("ended", F.coalesce(F.bool_or("is_end").over(before), F.lit(False)))

@@ -20,7 +20,7 @@ def ingest(
     A file's transaction is a hash of its path, so a repeated batch writes the same.
     """
     files = spark.readStream.schema("value string").format("text").option("wholetext", True).load(folder)
-    texts = files.select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    texts = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
     def batch(part: DataFrame, batch_id: int) -> None:
         rows = keyed(rows_of(part, rules), key)
