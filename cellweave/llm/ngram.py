@@ -152,9 +152,11 @@ _BLOB = "shard int, keys binary, counts binary"
 
 def _sent(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each shard that has some of the sorted ``keys``."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
-    at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, int)
+    at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
     for i, j in zip(at, np.append(at[1:], len(shard)), strict=True):
         own = order[i:j]
         blobs = [_packed(keys[own].astype(_U64)), _packed(counts[own].astype(_U32))]

@@ -148,6 +148,7 @@ def test_kneser_ney(docs):
         assert (r.held_out, r.n_tokens, r.n_known) == (out[i], len(t), sum(x in c for x in t))
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
     empty = docs.where(F.lit(False))
+    assert ngram.train(docs.repartition(64).where(~ngram.held_out())).tokens == n  # most tasks have no rows
     assert ngram.train(empty).tokens == 0 and ngram.scored(empty, model).count() == 0
 
 
