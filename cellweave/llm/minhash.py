@@ -13,13 +13,16 @@ together, each with a random level, and kept up to level ``w``. So a run costs
 weighted Jaccard similarity. Processes end at a time by which, as checked, every
 component has its first event.
 
-Candidates meet in one of ``bands`` buckets of ``rows`` components. In each of a
-few rounds every text is compared with one other of its buckets, which joins
-large groups without making their pairs. Buckets whose members are then still in
-different components have all pairs across components compared, save those that
-cannot reach the threshold by size and by the number of runs that no other
-candidate has. So a link is lost only if the two texts share no bucket:
-with 42 bands of 6 rows that has a probability of 3e-6 at similarity 0.8.
+Candidates meet in one of ``bands`` buckets of ``rows`` components. Every text is
+first compared with the most central text of its buckets, the one that meets the
+most others, which joins large groups without making their pairs. What buckets
+then still hold in different components is compared by pairs that can reach the
+threshold. With runs ordered from rare to frequent, two similar texts have their
+first common run early in both. If at most ``RARE`` open texts have it, they meet
+by it; if not, all they share is frequent, which is possible only for texts made
+up of frequent runs, and these meet by bucket. Either way what follows that place
+bounds the overlap. So a link is lost only if the two texts share no bucket: with
+42 bands of 6 rows that has a probability of 3e-6 at similarity 0.8.
 
 Edge cases: null and wordless texts have no runs and are classes of their own
 row; repeated rows and ties give equal classes; null ``doc_id`` counts as larger
@@ -41,7 +44,7 @@ from .shared import keep, table
 from .tokens import ALNUM, Words, chunks, mix, windows
 
 ROWS, BANDS, SHINGLE, THRESHOLD = 6, 42, 5, 0.8
-STAR_ROUNDS, BROADCAST_IDS = 2, 250_000
+RARE, BROADCAST_IDS = 8, 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -205,8 +208,8 @@ def near_classes(
         signed.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     )
     met = texts.select("node", F.explode("bands").alias("bucket"))
-    firsts = met.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
-    members = keep(met.join(firsts, "bucket"))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = keep(met.join(sizes, "bucket"))
 
     # the runs of candidates only, from one row each
     ids = texts.join(members.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.text_key")
@@ -215,25 +218,19 @@ def near_classes(
     same = keyed["doc_id"].eqNullSafe(ids["doc_id"]) & (keyed["text_key"] == ids["text_key"])
     runs = keep(shingle_sets(keyed.join(ids, same, "left_semi"), k).where("node IS NOT NULL").dropDuplicates(["node"]))
 
-    # one partner for each text and round: first the smallest, then some text of another component
-    partners = members.where("a <> node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    # one partner for each text: the most central one that leads a bucket of it
+    central = members.groupBy("node").agg(F.sum("size").alias("met"))
+    leads = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("lead"))
+    partners = (
+        members.join(leads, "bucket").where("node <> lead.node")
+        .groupBy(F.col("node").alias("b")).agg(F.max("lead").getField("node").alias("a"))
+    )
     links = keep(_verified(partners, runs, threshold))
     labels = components(links)
-    for i in range(STAR_ROUNDS):
-        apart = _split(members, labels)
-        if apart.isEmpty():
-            break
-        hubs = apart.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(i))).alias("hub"))
-        partners = (
-            apart.join(hubs, "bucket").where("label <> hub.label")
-            .groupBy(F.col("node").alias("b")).agg(F.min_by("hub.node", F.xxhash64("hub.node", F.lit(i))).alias("a"))
-        )
-        links = keep(links.unionByName(_verified(partners, runs, threshold)))
-        labels = components(links)
-    else:
-        more = keep(_verified(_open_pairs(_split(members, labels), runs, threshold), runs, threshold))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    apart = _split(members, labels)
+    more = keep(_verified(_open_pairs(apart, runs, threshold), runs, threshold))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     named = texts.join(labels, "node", "left").select("node", "row", "copies", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("row").alias("first"), F.sum("copies").alias("class_size"))
@@ -256,22 +253,35 @@ def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_pairs(of: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in one bucket but in different components that may still reach the threshold."""
-    there = runs.join(of.select("node").distinct(), "node", "left_semi")
+    """Pairs of texts in different components that may still reach the threshold.
+
+    ``rest`` is how many runs of a text are left from a place on in the order from
+    rare to frequent. A pair that meets at its first common run overlaps by the
+    smaller ``rest`` of the two at most.
+    """
+    there = runs.join(of.select("node", "label").distinct(), "node").select("node", "label", "runs", F.size("runs").alias("n"))
     each = there.select("node", F.explode("runs").alias("run"))
-    lone = (
-        each.groupBy("run").agg(F.min("node").alias("node"), F.count("*").alias("df")).where("df = 1")
-        .groupBy("node").agg(F.count("*").alias("lone"))
+    counts = each.groupBy("run").agg(F.count("*").alias("df"), F.min("node").alias("node"))
+    lone = counts.where("df = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    few = counts.where(F.col("df").between(2, RARE)).select("run", "df")
+    rare = each.join(few, "run").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("rare"))
+    ordered = keep(
+        there.drop("runs").join(lone, "node", "left").join(rare, "node", "left")
+        .withColumn("rare", F.coalesce("rare", F.array().cast("array<struct<df:bigint,run:bigint>>")))
+        .withColumn("rest", F.col("n") - F.coalesce("lone", F.lit(0)))
     )
-    sizes = there.select("node", F.size("runs").alias("n")).join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0)))
-    of = keep(of.join(sizes.where(F.col("shared") >= F.lit(threshold) * F.col("n")).drop("lone"), "node"))
-    a = of.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "shared")))
-    b = of.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "shared")))
-    most = F.least("shared_a", "shared_b")
+    by_run = ordered.select("node", "label", "n", "rest", F.posexplode("rare").alias("at", "one")).select(
+        F.lit(0).alias("kind"), F.col("one.run").alias("key"), "node", "label", "n", (F.col("rest") - F.col("at")).alias("rest")
+    )
+    frequent = ordered.select("node", "n", (F.col("rest") - F.size("rare")).alias("rest"))
+    by_bucket = of.join(frequent, "node").select(F.lit(1).alias("kind"), F.col("bucket").alias("key"), "node", "label", "n", "rest")
+    early = by_run.unionByName(by_bucket).where(F.col("rest") >= F.lit(threshold) * F.col("n"))
+    a, b = (early.select("kind", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "rest"))) for x in "ab")
+    most = F.least("rest_a", "rest_b")
     reach = most >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - most)
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
     return (
-        a.join(b, (a["bucket"] == b["bucket"]) & apart & reach)
+        a.join(b, (a["kind"] == b["kind"]) & (a["key"] == b["key"]) & apart & reach)
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     )
 

@@ -50,6 +50,24 @@ def test_classes_equal_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_chain_of_a_large_group(spark):
+    """Copies that drift from one text: ends are far apart, and links run by frequent and by rare runs."""
+    rnd = random.Random(8)
+    words = [f"v{i}" for i in range(400)]
+    base, rows = rnd.choices(words, k=150), []
+    for _ in range(160):
+        copy = list(base)
+        for _ in range(rnd.choice([0, 2, 3, 4, 5, 6])):
+            copy[rnd.randrange(150)] = rnd.choice(words[:6])
+        rows.append((len(rows), " ".join(copy), 1))
+    for _ in range(30):
+        copy = rows[-1][1].split()
+        copy[rnd.randrange(150)] = rnd.choice(words)
+        rows.append((len(rows), " ".join(copy), 1))
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
 def test_signature_estimates_weighted_jaccard():
     h = np.arange(1, 41, dtype=np.uint64)
     one, two = np.full(40, 6), np.full(40, 3)
