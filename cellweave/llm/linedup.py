@@ -34,28 +34,35 @@ def _text_key() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, pos, k1, k2`` for each line whose key isn't empty."""
+def line_keys(docs: DataFrame, copies: bool = False) -> DataFrame:
+    """``doc_id, text_key, pos, k1, k2`` for each line whose key isn't empty.
+
+    With ``copies`` also ``copy``, which is equal for texts with the same keys in the same order.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, pos, digests = [], [], []
+            row, pos, digests, copy = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
+                before = len(digests)
                 for j, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     if key := line.strip(b" \t\n\x0b\x0c\r").lower():
                         row.append(i)
                         pos.append(j)
                         digests.append(hashlib.blake2b(key, digest_size=16).digest())
+                if copies:
+                    copy += [hashlib.blake2b(b"".join(digests[before:]), digest_size=8).digest()] * (len(digests) - before)
             k = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             at = pa.array(row, pa.int64())
+            more = {"copy": pa.array(np.frombuffer(b"".join(copy), dtype="<i8"))} if copies else {}
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(pos, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1])],
-                ["doc_id", "text_key", "pos", "k1", "k2"],
+                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(pos, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1]), *more.values()],
+                ["doc_id", "text_key", "pos", "k1", "k2", *more],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", _text_key(), "text").mapInArrow(
-        made, f"doc_id {id_type}, text_key bigint, pos int, k1 bigint, k2 bigint"
+        made, f"doc_id {id_type}, text_key bigint, pos int, k1 bigint, k2 bigint" + (", copy bigint" if copies else "")
     )
 
 
@@ -134,18 +141,23 @@ def _packed(positions: pd.Series) -> pd.Series:
     return positions.map(one)
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
+def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, copies_once: bool = False) -> DataFrame:
     """``doc_id, text_key, n_dropped, dropped`` for texts that lose lines.
 
     ``dropped`` is a compressed bitmap by line number; lines beyond its end stay.
     With ``keep_first`` a shared line's first occurrence by (``doc_id``, position)
-    stays, else all go.
+    stays, else all go. With ``copies_once`` documents with the same keys in the
+    same order count as one, so that copies alone don't make a line shared.
     """
-    lines = keep(line_keys(docs))
+    lines = keep(line_keys(docs, copies_once))
     shared = shared_keys(lines, min_docs).withColumnsRenamed({"doc_id": "first_doc", "pos": "first_pos"})
     hit = lines.join(shared, ["k1", "k2"])
     if keep_first:
         hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
+    if copies_once:
+        hit = keep(hit)
+        texts = hit.select("k1", "k2", "copy").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_texts"))
+        hit = hit.join(texts.where(F.col("n_texts") >= min_docs), ["k1", "k2"], "left_semi")
     gone = hit.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("at"))
     return gone.select("doc_id", "text_key", F.size("at").cast("bigint").alias("n_dropped"), _packed("at").alias("dropped"))
 

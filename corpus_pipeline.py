@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that many of the documents share."""
-    return without_lines(docs, drop_bitmaps(docs))
+    """Without the lines that many of the documents share; copies of a text count once, and ``near_dedup`` keeps one of them."""
+    return without_lines(docs, drop_bitmaps(docs, copies_once=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

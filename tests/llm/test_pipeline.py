@@ -24,3 +24,17 @@ def test_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # 20 and 25 are too short, 22 and 23 are near 21, 24 has the benchmark item; the footer goes from the twelve
     assert {r.doc_id: r.n_tokens for r in got} == {**{i: 91 for i in range(12)}, 21: 121}
+
+
+def test_many_copies(spark, tmp_path):
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choices([f"w{i}" for i in range(4000)], k=n))
+    copied = [text(60), text(40)]
+    texts = ["\n".join(copied)] * 12 + [f"{copied[0].upper()} \n\n{copied[1]}"] * 12 + [f"{text(70)}\nshared footer" for _ in range(11)]
+    docs = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text(30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # one of the copies stays with its whole text; the footer goes from the eleven
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(0, 101), *((i, 71) for i in range(24, 35))]
