@@ -75,51 +75,50 @@ def shared_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """
     id_type = lines.schema["doc_id"].dataType.simpleString()
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seen_any = None, False
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last_doc, seen_any = None, None, False
         names = ["k1", "k2", "n_docs", "n_lines", "doc_id", "pos"]
 
-        for pdf in batches:
-            if pdf.empty:
+        # Arrow columns keep their types where a ``doc_id`` is null; pandas would round all of a row's integers
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
-            doc = pdf["rank"].to_numpy()
-            fresh = np.ones(len(pdf), bool)
+            k1, k2, doc, pos = (batch.column(c).to_numpy() for c in ("k1", "k2", "rank", "pos"))
+            fresh = np.ones(len(k1), bool)
             fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
             new_doc = fresh.copy()
             new_doc[1:] |= doc[1:] != doc[:-1]
             at = np.flatnonzero(fresh)
-            out = pd.DataFrame({
-                "k1": k1[at], "k2": k2[at],
-                "n_docs": np.add.reduceat(new_doc, at, dtype=np.int64),
-                "n_lines": np.diff(np.append(at, len(pdf))),
-                "doc_id": pdf["doc_id"].take(at).array, "pos": pdf["pos"].to_numpy()[at],
-            })
-            last_doc = doc[-1]
-            if held is not None:
-                head, tail_doc = held
-                if head["k1"] == k1[0] and head["k2"] == k2[0]:
-                    more = int(out.at[0, "n_docs"]) - int(doc[0] == tail_doc)
-                    out.loc[0, ["n_docs", "n_lines"]] = [head["n_docs"] + more, head["n_lines"] + int(out.at[0, "n_lines"])]
-                    out.loc[0, ["doc_id", "pos"]] = [head["doc_id"], head["pos"]]
-                else:
-                    out = pd.concat([pd.DataFrame([head])[names], out], ignore_index=True)
-            held = (out.iloc[-1].to_dict(), last_doc)
-            out = out.iloc[:-1]
-            if len(out):
-                enough = (out["n_docs"] >= min_docs).to_numpy()
+            n_docs = np.add.reduceat(new_doc, at, dtype=np.int64)
+            n_lines = np.diff(np.append(at, len(k1)))
+            ids, first_pos = batch.column("doc_id").take(pa.array(at)), pos[at]
+            goes_on = held is not None and held.column("k1")[0].as_py() == k1[0] and held.column("k2")[0].as_py() == k2[0]
+            if goes_on:
+                n_docs[0] += held.column("n_docs")[0].as_py() - int(doc[0] == last_doc)
+                n_lines[0] += held.column("n_lines")[0].as_py()
+                ids = pa.concat_arrays([held.column("doc_id"), ids.slice(1)])
+                first_pos[0] = held.column("pos")[0].as_py()
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(k1[at]), pa.array(k2[at]), pa.array(n_docs), pa.array(n_lines, pa.int64()), ids, pa.array(first_pos, pa.int32())], names
+            )
+            if held is not None and not goes_on:
+                out = pa.RecordBatch.from_arrays([pa.concat_arrays([h, o]) for h, o in zip(held.columns, out.columns, strict=True)], names)
+            held, last_doc = out.slice(out.num_rows - 1), doc[-1]
+            out = out.slice(0, out.num_rows - 1)
+            if out.num_rows:
+                enough = out.column("n_docs").to_numpy() >= min_docs
                 if not seen_any:
                     enough[0] = True
                     seen_any = True
-                yield out[enough]
+                yield out.filter(pa.array(enough))
         if held is not None:
-            yield pd.DataFrame([held[0]])[names]
+            yield held
 
     ranked = lines.select("*", F.xxhash64("doc_id").alias("rank"))
     parts = (
         ranked.repartitionByRange("k1", "k2", "doc_id")
         .sortWithinPartitions("k1", "k2", "doc_id", "pos")
-        .mapInPandas(runs, f"k1 bigint, k2 bigint, n_docs bigint, n_lines bigint, doc_id {id_type}, pos int")
+        .mapInArrow(runs, f"k1 bigint, k2 bigint, n_docs bigint, n_lines bigint, doc_id {id_type}, pos int")
     )
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("no"), "doc_id", "pos")).alias("first")
     return (

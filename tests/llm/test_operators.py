@@ -56,6 +56,24 @@ def test_line_dedup(spark, docs, min_docs):
     assert out.columns == docs.columns and out.count() == len(rows())
 
 
+def test_line_keys_stay_whole_beside_null_ids(spark):
+    many = [(i, "\n".join(f"line {k}" for k in range(40))) for i in (None, 1, 2, None)]
+    d = spark.createDataFrame(many, "doc_id bigint, text string").coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        lines = linedup.line_keys(d)
+        want = {(r.k1, r.k2) for r in lines.collect()}
+        got = linedup.shared_keys(lines, 3).collect()
+        bitmaps = linedup.drop_bitmaps(d, 3, keep_first=True)
+        kept = {(r.doc_id, r.n_dropped) for r in bitmaps.collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert len(want) == 40 and {(r.k1, r.k2): (r.n_docs, r.n_lines, r.doc_id) for r in got} == dict.fromkeys(want, (3, 4, None))
+    assert kept == {(1, 40), (2, 40)}
+
+
 def test_licenses(docs):
     got = by_id(licenses.license_matches(docs))
     for i, t, *_ in rows():
