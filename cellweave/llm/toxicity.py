@@ -107,6 +107,7 @@ def lexicon_of(sample: DataFrame, n_voters: int = LEXICON, n_features: int = FEA
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            row = batch.column("row").to_numpy()
             for w in chunks(batch.column("text"), ALNUM):
                 h, text = features(w)
                 order = np.lexsort((text, h))
@@ -116,20 +117,24 @@ def lexicon_of(sample: DataFrame, n_voters: int = LEXICON, n_features: int = FEA
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
                 n = np.diff(np.append(first, len(h)))
                 t = np.add.reduceat(toxic[w.first + text].astype(np.int64), first) if len(h) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(t, pa.int64())], ["h", "n", "t"])
+                rows = np.add.reduceat(row[w.first + text], first) if len(h) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(t, pa.int64()), pa.array(rows, pa.int64())], ["h", "n", "t", "rows"])
 
     sizes = sample.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("bigint")).alias("t")).first()
     n, t = int(sizes.n), int(sizes.t or 0)
     if not t or t == n:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), t, n)
-    counts = sample.select("text", "toxic").mapInArrow(counted, "h bigint, n bigint, t bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    # the sum of a feature's row numbers names the texts it is in; of 40 bits each, so that no sum overflows
+    numbered = sample.select("text", "toxic", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 24).alias("row"))
+    sums = (F.sum(c).alias(c) for c in ("n", "t", "rows"))
+    counts = numbered.mapInArrow(counted, "h bigint, n bigint, t bigint, rows bigint").groupBy("h").agg(*sums)
     a, b, c, d = "(t + 0.5)", f"({t} - t + 0.5)", "(n - t + 0.5)", f"({n - t} - n + t + 0.5)"
-    z = keep(counts.where(F.col("n") >= MIN_TEXTS).select("h", "n", "t", F.expr(f"(ln({a} / {b}) - ln({c} / {d})) / sqrt(1 / {a} + 1 / {c})").alias("z")))
+    z = keep(counts.where(F.col("n") >= MIN_TEXTS).select("h", "n", "t", "rows", F.expr(f"(ln({a} / {b}) - ln({c} / {d})) / sqrt(1 / {a} + 1 / {c})").alias("z")))
     best = z.orderBy(F.desc("z"), "h").limit(n_features).collect()
     best = [r for r in best if r.z >= MIN_Z]
     high = [r.h for r in best]
-    # of features in the same number of texts, such as a word and its beginnings, one votes
-    voting = list({(r.n, r.t): r.h for r in reversed(best)}.values())[::-1][:n_voters]
+    # of features in the same texts, such as a word and its beginnings, one votes
+    voting = list({(r.n, r.t, r.rows): r.h for r in reversed(best)}.values())[::-1][:n_voters]
     low = [r.h for r in z.where(F.col("z") <= -MIN_Z).orderBy("z", "h").limit(n_features).collect()]
     hashes = np.unique(np.array(high + low, dtype=np.int64).view(np.uint64))
     voters = np.searchsorted(hashes, np.array(voting, dtype=np.int64).view(np.uint64))

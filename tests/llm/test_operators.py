@@ -217,5 +217,12 @@ def test_toxicity(spark, docs):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_equal_counts_are_two_voters(spark):
+    said = {0: "scum abcdefgh", 1: "fool ijklmnop"}
+    rows = [(i, f"plain {said.get(i % 6, 'words')}", i % 6 < 2) for i in range(600)]
+    lexicon = toxicity.lexicon_of(spark.createDataFrame(rows, "doc_id bigint, text string, toxic boolean"))
+    assert len(lexicon.voters) == 2  # a word, those beside it and their beginnings are one
+
+
 def test_names():
     assert {q.split("_")[0] for q in entry.QUERIES} == {f"op{n}" for n in range(1, 11)}
