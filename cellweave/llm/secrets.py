@@ -41,9 +41,11 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 WEAK = (
     ("weak_value", "secret", True, re.compile(r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})""", re.ASCII)),
     ("weak_user", "identifier", True, re.compile(r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})""", re.ASCII)),
-    ("weak_token", "secret", False, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[A-Z0-9+/_=-]{0,40}[a-z])(?=[a-z0-9+/_=-]{0,40}[A-Z])([A-Za-z0-9+/_=-]{20,128})(?![A-Za-z0-9+/_=-])")),
+    ("weak_token", "secret", False, re.compile(r"[A-Za-z0-9+/_=-]{20,}")),
     ("weak_endpoint", "endpoint", False, re.compile(r"(?:\b[a-z][a-z0-9+.-]{1,11}://[^\s\"'<>]+)|(?:\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b(?::[0-9]{2,5})?)|(?:\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)", re.ASCII)),
 )
+#: A token is mixed if it has all of these.
+_MIXED = tuple(re.compile(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
 _CLASS = {"assign": "secret", "access": "identifier", "hex": "secret"}
 _LOOK = re.compile(r"[:=/@.]|[0-9]")
 
@@ -64,6 +66,8 @@ def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str,
     for kind, what, named, pattern in WEAK:
         for m in pattern.finditer(text):
             s, e = m.span(1) if m.re.groups else m.span()
+            if kind == "weak_token" and not all(c.search(text, s, e) for c in _MIXED):
+                continue
             if all(e <= a or s >= b for _, a, b in strong):
                 out.append((kind, what, named, s, e))
     return out

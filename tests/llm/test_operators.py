@@ -114,6 +114,15 @@ def test_secrets(docs):
     assert {s.kind for s in got[10].added} == {"weak_value", "weak_user", "weak_endpoint"}
 
 
+def test_long_tokens(spark):
+    tokens = ["aB3" * 6 + "xx", "aB3/" * 43, "z" * 60 + "B3", "aB3" * 1000]
+    d = spark.createDataFrame([(i, f"user: admin {t} end") for i, t in enumerate([*tokens, "z" * 150, "aB3" * 6])], "doc_id int, text string")
+    got = by_id(secrets.credential_spans(d))
+    for i, t in enumerate(tokens):
+        assert [(s.at, s.end) for s in got[i].added if s.kind == "weak_token"] == [(12, 12 + len(t))]
+    assert not got[4].added and not got[5].added
+
+
 @pytest.mark.parametrize("items", [[], [(1, TEXTS[6]), (2, "Apache license"), (3, None), (4, " "), (5, "apache LICENSE"), (6, "wort3")]])
 def test_decontamination(spark, docs, items):
     win = {}
