@@ -5,8 +5,8 @@ pass counts in how many texts each template word occurs. A template is indexed
 under its ``anchors`` rarest words by that count, each with its place. A second
 pass looks up every index word of a text, takes the text place less the template
 place as a vote for where the template begins, and weighs the votes by inverse
-document frequency. The beginning with the greatest weight counts if it has
-``threshold`` of all weight and the template's key phrase stands where it must.
+document frequency. Every beginning counts that has ``threshold`` of all weight
+and the template's key phrase where it must stand.
 
 Everything is a column expression: no row leaves its task, and the index is a
 constant of as many entries as the templates have anchors.
@@ -119,15 +119,15 @@ def license_matches(
         votes = ", ".join(
             f"transform(filter(__hits, h -> h.w = '{w}'), h -> struct(h.i - {i} AS d, cast({weight!r} AS double) AS x))" for w, i, weight in entries
         )
-        start = "cast(struct(NULL AS d, 0D AS x, NULL AS best_d, 0D AS best) AS struct<d:int,x:double,best_d:int,best:double>)"
-        same = "IF(a.d = v.d, a.x + v.x, v.x)"
-        step = f"named_struct('d', v.d, 'x', {same}, 'best_d', IF({same} > a.best, v.d, a.best_d), 'best', greatest({same}, a.best))"
+        start = "cast(struct(NULL AS d, 0D AS x, array() AS found) AS struct<d:int,x:double,found:array<struct<d:int,x:double>>>)"
+        found_so_far = f"IF(a.x >= {threshold * total!r}D, concat(a.found, array(named_struct('d', a.d, 'x', a.x))), a.found)"
+        step = f"named_struct('d', v.d, 'x', IF(a.d = v.d, a.x + v.x, v.x), 'found', IF(a.d = v.d, a.found, {found_so_far}))"
         # votes in order of the beginning they stand for, so that equal ones add up
-        top = f"aggregate(array_sort(concat({votes})), {start}, (a, v) -> {step})"
+        enough = f"aggregate(array_sort(concat({votes})), {start}, (a, v) -> {step}, a -> {found_so_far})"
         offset = t.text.split(t.phrase)[0].count(" ")
         made.append(
-            f"transform(filter(array({top}), b -> b.best >= {threshold * total!r}D AND {stands(f'b.best_d + {offset}', t.phrase)}),"
-            f" b -> struct('{t.label}' AS label, least(b.best / {total!r}D, 1D) AS score, b.best_d AS at))"
+            f"transform(filter({enough}, b -> {stands(f'b.d + {offset}', t.phrase)}),"
+            f" b -> struct('{t.label}' AS label, least(b.x / {total!r}D, 1D) AS score, b.d AS at))"
         )
     none = "cast(array() AS array<struct<label:string,score:double,at:int>>)"
     return found.withColumn("matches", F.expr(f"CASE WHEN size(__hits) = 0 THEN {none} ELSE concat({', '.join(made)}) END")).drop("__words", "__hits")

@@ -83,6 +83,16 @@ def test_licenses(docs):
     assert [m.label for m in got[4].matches] == ["apache-2.0"] and got[4].matches[0].at == 0 and got[6].matches == []
 
 
+def test_licenses_at_every_place(spark):
+    notice = "this work is licensed under the gnu general public license version"
+    texts = [(1, f"{notice} 2 and under the gnu general public license version 3"), (2, f"{notice} 3 but {notice} 3")]
+    at = []
+    for i, t in texts:
+        got = licenses.license_matches(spark.createDataFrame([(i, t)], "doc_id int, text string")).first()
+        at.append([m.at for m in got.matches if m.label == "gpl-3.0"])
+    assert at == [[9], [0, 13]]
+
+
 def test_packing(docs):
     got = packing.packed(docs, max_len=64, n_buckets=3, budget=256, pieces_a_shard=5).collect()
     total = Counter()
