@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import removed, stored
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -14,9 +14,10 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     Each round links every node's larger neighbours to its smallest one, then every
     node's smaller neighbours likewise, until nothing changes. Stars grow together
     in a logarithmic number of rounds, and no node gathers a list of its neighbours.
-    A round's edges are stored in the shared folder.
+    A round's edges are stored in the shared folder and
+    deleted when the next round's are there.
     """
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, path = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _digest(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +28,9 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
             large.join(smallest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
-        edges = keep(small)
+        edges, newer = stored(small)
+        removed(links.sparkSession, path)
+        path = newer
         after = _digest(edges)
         if after == before:
             break

@@ -13,20 +13,30 @@ together, each with a random level, and kept up to level ``w``. So a run costs
 weighted Jaccard similarity. Processes end at a time by which, as checked, every
 component has its first event.
 
-Candidates meet in one of ``bands`` buckets of ``rows`` components. Every text is
-first compared with the most central text of its buckets, the one that meets the
-most others, which joins large groups without making their pairs. What buckets
-then still hold in different components is compared by pairs that can reach the
-threshold. With runs ordered from rare to frequent, two similar texts have their
-first common run early in both. If at most ``RARE`` open texts have it, they meet
-by it; if not, all they share is frequent, which is possible only for texts made
-up of frequent runs, and these meet by bucket. Either way what follows that place
-bounds the overlap. So a link is lost only if the two texts share no bucket: with
-42 bands of 6 rows that has a probability of 3e-6 at similarity 0.8.
+Candidates meet in one of ``bands`` buckets of ``rows`` components, with
+probability 1 - 3e-6 at similarity 0.8 (42 bands of 6). Pairs of a bucket are
+never listed; two steps find its links:
+
+1. Every text is compared with the most central text of its buckets, the one that
+   meets the most others. This joins large groups by stars.
+2. In buckets that still hold different components, texts are compared with the
+   bucket's own most central text, the lead. What only one of the two has is the
+   text's difference ``D`` from the lead. Two texts ``a, b`` of sizes ``n`` reach
+   the threshold ``t`` only if ``|Da ^ Db| <= (na + nb) (1 - t) / (1 + t)``, so
+   their differences must be largely the same: with the items of ``D`` in one
+   order (what the lead lacks first, rare before frequent; then what only the lead
+   has, what most others have before the rest), they have a common item
+   among the first few of both, and what follows it bounds their overlap. Pairs
+   that meet there are compared in full. The number of items that are looked at
+   follows from the sizes alone, see :func:`_prefix`; nothing is capped, and texts
+   that link to the lead meet only texts that don't.
 
 Edge cases: null and wordless texts have no runs and are classes of their own
 row; repeated rows and ties give equal classes; null ``doc_id`` counts as larger
 than any other. A class is named by its smallest ``doc_id`` (null if it has none).
+Texts of any length are read whole, one at a time if they are longer than a chunk;
+an empty table gives no rows. Columns besides ``doc_id`` and ``text`` may have any
+names and types: they are carried as one struct and never referred to.
 """
 
 from __future__ import annotations
@@ -36,7 +46,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -44,7 +53,11 @@ from .shared import keep, table
 from .tokens import ALNUM, Words, chunks, mix, windows
 
 ROWS, BANDS, SHINGLE, THRESHOLD = 6, 42, 5, 0.8
-RARE, BROADCAST_IDS = 8, 250_000
+#: Into how many parts the pairs of one text are dealt when they are joined with its runs.
+SALTS = 256
+#: Bytes of a row of one number in memory, header included.
+_ROW_BYTES = 24
+_SHARED = 1 << 57
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -147,6 +160,11 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
             )
 
 
+def _broadcast_limit(spark: SparkSession) -> int:
+    """The session's own limit on what it broadcasts, in bytes; 0 if it broadcasts nothing."""
+    return max(0, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+
+
 def _text_key() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -181,17 +199,22 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("text").mapInArrow(made, "node binary, runs array<bigint>")
 
 
+def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` and the runs of ``a`` and ``b``, ``ra`` and ``rb``; a text ``a`` in many pairs is dealt over ``SALTS`` tasks."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    of_a = salted.select("a", "salt").distinct().join(left.select(F.col("node").alias("a"), F.col("runs").alias("ra")), "a")
+    return salted.join(right.select(F.col("node").alias("b"), F.col("runs").alias("rb")), "b").join(of_a, ["a", "salt"]).drop("salt")
+
+
 def _verified(pairs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
     """Of ``a, b`` those whose multisets of runs overlap by ``threshold``."""
-    left = runs.select(F.col("node").alias("a"), F.col("runs").alias("ra"))
-    right = runs.select(F.col("node").alias("b"), F.col("runs").alias("rb"))
     both = F.size(F.array_intersect("ra", "rb"))
     return (
-        pairs.join(right, "b").join(left, "a")
+        _joined(pairs, runs, runs)
         .select("a", "b", both.alias("i"), (F.size("ra") + F.size("rb")).alias("t"))
         .where(F.col("i") >= F.lit(threshold) * (F.col("t") - F.col("i")))
         .select("a", "b")
-    )
+    )
 
 
 def near_classes(
@@ -211,26 +234,26 @@ def near_classes(
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(met.join(sizes, "bucket"))
 
-    # the runs of candidates only, from one row each
-    ids = texts.join(members.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.text_key")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    keyed = docs.select("doc_id", _text_key().alias("text_key"), "text")
-    same = keyed["doc_id"].eqNullSafe(ids["doc_id"]) & (keyed["text_key"] == ids["text_key"])
-    runs = keep(shingle_sets(keyed.join(ids, same, "left_semi"), k).where("node IS NOT NULL").dropDuplicates(["node"]))
+    # the runs of candidates only, from one row each; the ids are numbers of fixed width, sent to all tasks if few enough
+    row_key = F.xxhash64("doc_id", "text_key").alias("row_key")
+    ids = keep(texts.join(members.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.text_key").select(row_key))
+    ids = F.broadcast(ids) if ids.count() * _ROW_BYTES <= _broadcast_limit(docs.sparkSession) else ids
+    keyed = docs.select("text", F.xxhash64("doc_id", _text_key()).alias("row_key"))
+    runs = keep(shingle_sets(keyed.join(ids, "row_key", "left_semi"), k).where("node IS NOT NULL").dropDuplicates(["node"]))
 
     # one partner for each text: the most central one that leads a bucket of it
     central = members.groupBy("node").agg(F.sum("size").alias("met"))
-    leads = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("lead"))
+    members = keep(members.join(central, "node"))
+    leads = members.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("lead"))
     partners = (
         members.join(leads, "bucket").where("node <> lead.node")
         .groupBy(F.col("node").alias("b")).agg(F.max("lead").getField("node").alias("a"))
     )
     links = keep(_verified(partners, runs, threshold))
     labels = components(links)
-    apart = _split(members, labels)
-    more = keep(_verified(_open_pairs(apart, runs, threshold), runs, threshold))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    more = _further_links(members, labels, runs, threshold)
+    if more is not None:
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     named = texts.join(labels, "node", "left").select("node", "row", "copies", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("row").alias("first"), F.sum("copies").alias("class_size"))
@@ -246,44 +269,74 @@ def near_classes(
 
 
 def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bucket, node, label`` of buckets whose members are in different components."""
-    of = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return keep(of.join(split, "bucket"))
+    """``bucket, node, label, lead, size`` of buckets whose members are in different components."""
+    of = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("met", "node")).alias("most"))
+    split = split.where("lo <> hi").select("bucket", F.col("most.node").alias("lead"))
+    return keep(of.select("bucket", "node", "label", "size").join(split, "bucket"))
+
+
+def _by_rarity(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, runs`` of ``nodes``, with runs coded so that rarer ones are smaller; those of one text only are below ``_SHARED``."""
+    there = runs.join(nodes, "node", "left_semi").select("node", F.size("runs").alias("n"), "runs")
+    each = there.select("node", F.explode("runs").alias("run"))
+    common = each.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
+    code = F.shiftleft(F.floor(F.log2(F.coalesce("df", F.lit(1)))).cast("bigint"), 57).bitwiseOR(F.shiftrightunsigned("run", 7))
+    return each.join(common, "run", "left").select("node", code.alias("run")).groupBy("node").agg(F.count("*").cast("int").alias("n"), F.collect_list("run").alias("runs"))
 
 
-def _open_pairs(of: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts in different components that may still reach the threshold.
+def _prefix(threshold: float) -> F.Column:
+    """How many items of a difference of size ``d`` from a lead of ``nl`` runs must be looked at, for a text of ``n``.
 
-    ``rest`` is how many runs of a text are left from a place on in the order from
-    rare to frequent. A pair that meets at its first common run overlaps by the
-    smaller ``rest`` of the two at most.
+    With ``r = (1 - t) / (1 + t)`` a partner of ``m`` runs, ``t n <= m <= n / t``, whose
+    difference is ``e`` must have ``(d + e - r (n + m)) / 2`` of the items. As
+    ``e >= d - r (n + m)`` that is ``d - r (n + n / t)`` at least. As ``e >= |m - nl|``
+    it is at least the value at the ``m`` nearest to ``nl``; and where the text links
+    to its lead, the partner does not, so ``e > r (m + nl)``.
     """
-    there = runs.join(of.select("node", "label").distinct(), "node").select("node", "label", "runs", F.size("runs").alias("n"))
-    each = there.select("node", F.explode("runs").alias("run"))
-    counts = each.groupBy("run").agg(F.count("*").alias("df"), F.min("node").alias("node"))
-    lone = counts.where("df = 1").groupBy("node").agg(F.count("*").alias("lone"))
-    few = counts.where(F.col("df").between(2, RARE)).select("run", "df")
-    rare = each.join(few, "run").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("rare"))
-    ordered = keep(
-        there.drop("runs").join(lone, "node", "left").join(rare, "node", "left")
-        .withColumn("rare", F.coalesce("rare", F.array().cast("array<struct<df:bigint,run:bigint>>")))
-        .withColumn("rest", F.col("n") - F.coalesce("lone", F.lit(0)))
+    r = (1 - threshold) / (1 + threshold)
+    n, d, nl = F.col("n"), F.col("d"), F.col("nl")
+    m = F.greatest(threshold * n, F.least(n / threshold, nl))
+    need = F.greatest(d - r * (n + n / threshold), (F.abs(m - nl) + d - r * (n + m)) / 2, F.when(~F.col("far"), (d + r * (nl - n)) / 2))
+    return F.greatest(F.lit(0), F.least(d, F.floor(d - need + 1e-6) + 1)).cast("int")
+
+
+def _further_links(members: DataFrame, labels: DataFrame, runs: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between different components that share a bucket, or None if no bucket has any."""
+    apart = _split(members, labels)
+    if apart.isEmpty():
+        return None
+    coded = keep(_by_rarity(runs, apart.select("node").distinct()))
+    spokes = apart.where("node <> lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg((F.max("size") > 2).alias("more"))
+    # a text's own runs that no one else has come first in its difference; as they can't be met, their number will do
+    shared = coded.select("node", F.filter("runs", lambda x: x >= _SHARED).alias("runs"))
+    both = _joined(spokes, coded, shared).select(
+        "a", "b", "more", F.size("ra").alias("nl"), F.size(F.array_intersect("ra", "rb")).alias("i"),
+        F.concat(F.array_sort(F.array_except("rb", "ra")), F.sort_array(F.array_except("ra", "rb"), asc=False)).alias("items"),
     )
-    by_run = ordered.select("node", "label", "n", "rest", F.posexplode("rare").alias("at", "one")).select(
-        F.lit(0).alias("kind"), F.col("one.run").alias("key"), "node", "label", "n", (F.col("rest") - F.col("at")).alias("rest")
-    )
-    frequent = ordered.select("node", "n", (F.col("rest") - F.size("rare")).alias("rest"))
-    by_bucket = of.join(frequent, "node").select(F.lit(1).alias("kind"), F.col("bucket").alias("key"), "node", "label", "n", "rest")
-    early = by_run.unionByName(by_bucket).where(F.col("rest") >= F.lit(threshold) * F.col("n"))
-    a, b = (early.select("kind", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "rest"))) for x in "ab")
-    most = F.least("rest_a", "rest_b")
-    reach = most >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - most)
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-    return (
-        a.join(b, (a["kind"] == b["kind"]) & (a["key"] == b["key"]) & apart & reach)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    sized = both.join(coded.select(F.col("node").alias("b"), "n"), "b").withColumn("d", F.col("n") + F.col("nl") - 2 * F.col("i"))
+    stars = sized.withColumn("far", F.col("i") < F.lit(threshold) * (F.col("n") + F.col("nl") - F.col("i")))
+    stars = stars.withColumn("lone", F.col("d") - F.size("items")).withColumn("p", _prefix(threshold))
+    looked_at = F.expr("IF(more, slice(items, 1, greatest(p - lone, 0)), cast(array() AS array<bigint>))")
+    stars = keep(stars.select("a", "b", "n", "d", "far", "lone", looked_at.alias("items")))
+    links = stars.where("NOT far").select("a", "b")
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+
+    of = labels.select(F.col("node").alias("b"), "label")
+    met = stars.join(of, "b", "left").select(
+        F.xxhash64("a").alias("lead"), F.col("b").alias("node"), F.coalesce("label", "b").alias("label"), "n", "d", "far", "lone", F.posexplode("items").alias("at", "item")
+    )
+    met = met.select(F.xxhash64("lead", "item").alias("key"), "node", "label", "n", "d", "far", (F.col("d") - F.col("lone") - F.col("at")).alias("rest"))
+    x, y = (met.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "d", "far", "rest"))) for s in "xy")
+    r = (1 - threshold) / (1 + threshold)
+    once = ~F.col("far_y") | (F.col("node_x") < F.col("node_y"))
+    reach = 2 * F.least("rest_x", "rest_y") >= F.col("d_x") + F.col("d_y") - F.lit(r) * (F.col("n_x") + F.col("n_y")) - 1e-6
+    alike = F.least("n_x", "n_y") >= F.lit(threshold) * F.greatest("n_x", "n_y")
+    pairs = (
+        x.where("far_x").join(y, (x["key"] == y["key"]) & (F.col("label_x") != F.col("label_y")) & once & reach & alike)
+        .select(F.col("node_x").alias("b"), F.col("node_y").alias("a")).distinct()
     )
+    return keep(links.unionByName(_verified(pairs, runs, threshold).select("a", "b")))
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,14 +345,17 @@ def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_class(docs: DataFrame, **options: float) -> DataFrame:
-    """``docs`` with only the first row (by ``doc_id``) of each near-duplicate class; wordless rows all stay."""
-    classes = near_classes(docs, **options)
-    stay = classes.where("stays").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
-        F.count("*").alias("rows"), F.first("class_size").alias("size")
+    """``docs`` with only the first row (by ``doc_id``) of each near-duplicate class; wordless rows all stay.
+
+    Of rows that are the same in id and text, and not wordless, any one stays.
+    """
+    classes = near_classes(docs.select("doc_id", "text"), **options)
+    stay = classes.where("stays").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
+        F.count("*").alias("__rows"), F.first("class_size").alias("__size")
     )
-    left = docs.join(stay, docs["doc_id"].eqNullSafe(stay["id"]) & (_text_key() == stay["key"]))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").alias("__doc"), _text_key().alias("__text"))
+    left = own.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")))
     # one of the rows that are the same in id and text; wordless texts excepted, which are classes of one
-    twice = (F.col("rows") > 1) & (F.col("size") > 1)
-    order = W.partitionBy("id", "key").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
-    first = left.where(twice).withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return left.where(~twice).select(docs["*"]).unionByName(first.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    twice = (F.col("__rows") > 1) & (F.col("__size") > 1)
+    first = left.where(twice).groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
+    return left.where(~twice).select("__row").unionByName(first.select("__row")).select("__row.*")
