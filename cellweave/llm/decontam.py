@@ -271,8 +271,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the texts in which a benchmark window occurs."""
-    bad = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("b_id"), F.col("text_key").alias("b_key")).distinct()
-    return docs.join(bad, (_text_key() == F.col("b_key")) & docs["doc_id"].eqNullSafe(F.col("b_id")), "left_anti")
+    bad = contamination(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window).where("n_hit > 0")
+    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").alias("__doc"), _text_key().alias("__text"))
+    return own.join(bad, (F.col("__text") == F.col("__key")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_anti").select("__row.*")
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,8 +55,8 @@ from .tokens import ALNUM, Words, chunks, mix, windows
 ROWS, BANDS, SHINGLE, THRESHOLD = 6, 42, 5, 0.8
 #: Into how many parts the pairs of one text are dealt when they are joined with its runs.
 SALTS = 256
-#: Bytes of a row of one number in memory, header included.
-_ROW_BYTES = 24
+#: Of the filter that is sent to all tasks: 16 MB.
+MAX_FILTER_BITS = 1 << 27
 _SHARED = 1 << 57
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -160,15 +160,15 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
             )
 
 
-def _broadcast_limit(spark: SparkSession) -> int:
-    """The session's own limit on what it broadcasts, in bytes; 0 if it broadcasts nothing."""
-    return max(0, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
-
-
 def _text_key() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _row_key(text_key: F.Column) -> F.Column:
+    """A number of fixed width for the rows of an id and text."""
+    return F.xxhash64("doc_id", text_key)
+
+
 def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each text ``doc_id, text_key, node`` (:func:`contents`), ``n`` runs and ``bands``."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -178,11 +178,36 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int
     )
 
 
-def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``node`` and ``runs``: its hashed runs, repeated ones made distinct by their count."""
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter, as 64-bit words, of the hashed numbers ``key``: 16 bits for each, ``MAX_FILTER_BITS`` at most."""
+    n = keys.count()
+    bits = min(MAX_FILTER_BITS, max(1 << 16, 1 << (16 * n - 1).bit_length()))
+    place = keys.select(F.explode(F.array(F.col("key").bitwiseAND(bits - 1), F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1))).alias("at"))
+    words = place.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"]] = words["bits"]
+    return out.view(np.uint64)
+
+
+def _in_filter(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    last, key = np.uint64((len(words) << 6) - 1), key.view(np.uint64)
+    there = lambda at: (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return there(key & last) & there((key >> np.uint64(32)) & last)
+
+
+def shingle_sets(docs: DataFrame, k: int = SHINGLE, wanted: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``runs``: its hashed runs, repeated ones made distinct by their count.
+
+    With ``wanted``, a table of :func:`_row_key`, only of those rows, and of a few
+    others that its filter can't tell from them, so that no text has to be joined.
+    The filter is of bounded size; when it is full, more of the others come along.
+    """
+    words = None if wanted is None else docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if words is not None:
+                batch = batch.filter(pa.array(_in_filter(words.value, batch.column("key").to_numpy())))
             for w in chunks(batch.column("text"), ALNUM):
                 h, text = shingles(w, k)
                 order = np.lexsort((h, text))
@@ -196,7 +221,7 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(runs))
                 yield pa.RecordBatch.from_arrays([contents(w), lists], ["node", "runs"])
 
-    return docs.select("text").mapInArrow(made, "node binary, runs array<bigint>")
+    return docs.select("text", _row_key(_text_key()).alias("key")).mapInArrow(made, "node binary, runs array<bigint>")
 
 
 def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -234,12 +259,10 @@ def near_classes(
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(met.join(sizes, "bucket"))
 
-    # the runs of candidates only, from one row each; the ids are numbers of fixed width, sent to all tasks if few enough
-    row_key = F.xxhash64("doc_id", "text_key").alias("row_key")
-    ids = keep(texts.join(members.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.text_key").select(row_key))
-    ids = F.broadcast(ids) if ids.count() * _ROW_BYTES <= _broadcast_limit(docs.sparkSession) else ids
-    keyed = docs.select("text", F.xxhash64("doc_id", _text_key()).alias("row_key"))
-    runs = keep(shingle_sets(keyed.join(ids, "row_key", "left_semi"), k).where("node IS NOT NULL").dropDuplicates(["node"]))
+    # the runs of candidates only, from one row each
+    wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.text_key")
+    wanted = keep(wanted.select(_row_key(F.col("text_key")).alias("key")))
+    runs = keep(shingle_sets(docs, k, wanted).where("node IS NOT NULL").dropDuplicates(["node"]))
 
     # one partner for each text: the most central one that leads a bucket of it
     central = members.groupBy("node").agg(F.sum("size").alias("met"))

@@ -21,7 +21,6 @@ results; texts of any length are scanned whole.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -144,7 +143,3 @@ def op5_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(text.format(every)).alias("spans"),
     )
 
-
-def _digest(text: str | None) -> str:
-    """The same as the query's ``base_sha256``, for tests."""
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in strong_spans(text or "")).encode()).hexdigest()

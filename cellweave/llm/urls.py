@@ -1,19 +1,23 @@
 """URLs judged against a list of canonical URLs, by a blocked Bloom filter and an exact join.
 
 A listed entry is a host and a path, ``example.com/en/``: it fits its host and
-all subdomains if the URL's path starts with its path. So a URL can match under
-as many keys as its host has suffixes, times the lengths of the paths in the list.
-
-The list is turned into a blocked Bloom filter, a table of 512-bit blocks in
-which a key sets one bit in each of eight words of its block. Distinct pairs of
-host and path are expanded to keys; those that pass the filter, nearly all true
-hits, are joined with the list itself on the key, which removes the rest. The
-longest fitting entry decides (ties: the longer host, then block). Rows with
-equal URLs are judged once.
-
-Edge cases: a null URL, or one without ``://``, has an empty host and path and
-fits no entry; repeated rows and null ids get their row each; an empty list lets
-all URLs pass.
+all subdomains if the URL's path starts with its path. The list is turned into two
+blocked Bloom filters, tables of 512-bit blocks in which a key sets one bit in each
+of eight words of its block: one of the hosts, one of the whole entries.
+
+Distinct pairs of host and path are expanded to the suffixes of the host. Those that
+pass the first filter are joined with the listed hosts, and expanded by the lengths
+of the paths that the list has for this host, so long lists of other hosts cost
+nothing. What passes the second filter, nearly all true hits, is joined with the
+list itself, which removes the rest. The longest fitting entry decides (ties: the
+longer host, then block). List and filters are stored, so that Spark knows their
+sizes in bytes and broadcasts them only below its limit.
+
+Edge cases: a null URL, or one without ``://`` or host, is judged apart, without
+a join, and fits no entry; URLs of any length are read whole; repeated rows and null
+ids get their row each; an empty list lets all URLs pass; of repeated entries the
+higher rank, then block counts; an empty table gives no rows. Columns named like the
+added ones (``ADDED``) are replaced, all others are carried in a struct.
 """
 
 from __future__ import annotations
@@ -21,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import stored, table
 
-#: The list is broadcast up to so many entries, and the filter up to so many blocks (of 72 bytes).
-BROADCAST_ENTRIES, BROADCAST_BLOCKS = 50_000, 100_000
 BITS_A_KEY, BLOCK_BITS = 16, 512
+ADDED = ("host", "path", "entry", "entry_rank", "entry_verdict")
 
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -65,43 +68,46 @@ def bloom_blocks(keys: DataFrame, n_blocks: int) -> DataFrame:
     return masks.groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(8)))
 
 
+def _passing(rows: DataFrame, key: F.Column, listed: DataFrame, n: int) -> DataFrame:
+    """``rows`` whose ``key`` may be among the ``n`` of ``listed`` (a column ``key``)."""
+    n_blocks = max(1, -(-n * BITS_A_KEY // BLOCK_BITS))
+    blocks = stored(bloom_blocks(listed, n_blocks))[0]
+    out = rows.withColumn("key", key).withColumn("block", F.expr(f"pmod(xxhash64(key), {n_blocks})")).join(blocks, "block")
+    for i in range(8):
+        out = out.where(F.expr(f"(w{i} & {_mask('key', i)}) = {_mask('key', i)}"))
+    return out.select(*rows.columns)
+
+
 def judged(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """``pages`` and ``host, path, entry, entry_verdict``; ``listed`` has ``host, path, verdict, rank``.
+    """``pages`` and ``ADDED``; ``listed`` has ``host, path, verdict, rank``.
 
     Among fitting entries the highest ``rank`` wins, then the longest.
     """
-    listed = listed.where("host IS NOT NULL AND path IS NOT NULL").select(
-        F.concat("host", "path").alias("key"), F.col("host").alias("listed_host"), "verdict", "rank"
-    ).groupBy("key").agg(F.max(F.struct("rank", (F.col("verdict") == "block").alias("b"), "listed_host", "verdict")).alias("e"))
-    # as many lengths as the list has, at most the length of a URL
-    lengths = sorted(r.n for r in listed.select((F.length("key") - F.length("e.listed_host")).alias("n")).distinct().collect())
-    n_keys = listed.count()
-    n_blocks = max(1, -(-n_keys * BITS_A_KEY // BLOCK_BITS))
-    blocks = bloom_blocks(listed.select("key"), n_blocks)
+    whole = lambda host, path: F.concat(host, F.lit("\0"), path)
+    entries = stored(
+        listed.where("host IS NOT NULL AND path IS NOT NULL").groupBy(F.col("host").alias("l_host"), F.col("path").alias("l_path"))
+        .agg(F.max(F.struct("rank", (F.col("verdict") == "block").alias("b"), "verdict")).alias("e"))
+    )[0]
+    lengths = stored(entries.groupBy("l_host").agg(F.collect_set(F.length("l_path")).alias("lengths")))[0]
 
     host, path = canonical(F.col("url"))
-    urls = pages.withColumns({"host": host, "path": path})
+    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c not in ADDED)).alias("row")
+    urls = pages.select(row, host.alias("host"), path.alias("path"))
     pairs = urls.where("host <> ''").select("host", "path").distinct()
     parts = "split(host, '[.]')"
     suffixes = pairs.select("host", "path", F.explode(F.expr(f"transform({parts}, (x, i) -> array_join(slice({parts}, i + 1, size({parts}) - i), '.'))")).alias("suffix"))
-    fitting = ", ".join(f"IF(length(path) >= {n}, left(path, {n}), NULL)" for n in lengths) or "cast(NULL AS string)"
-    keys = (
-        suffixes.select("host", "path", "suffix", F.explode(F.expr(f"array({fitting})")).alias("start"))
-        .where("start IS NOT NULL")
-        .select("host", "path", F.concat("suffix", "start").alias("key"))
-        .withColumn("block", F.expr(f"pmod(xxhash64(key), {n_blocks})"))
+    known = _passing(suffixes, F.col("suffix"), lengths.select(F.col("l_host").alias("key")), lengths.count())
+    starts = known.join(lengths, F.col("suffix") == F.col("l_host")).select(
+        "host", "path", "suffix", F.explode(F.expr("transform(filter(lengths, n -> n <= length(path)), n -> left(path, n))")).alias("start")
     )
-    small = n_blocks <= BROADCAST_BLOCKS
-    passed = keys.join(F.broadcast(blocks) if small else blocks, "block")
-    for i in range(8):
-        passed = passed.where(F.expr(f"(w{i} & {_mask('key', i)}) = {_mask('key', i)}"))
-    entries = F.broadcast(listed) if n_keys <= BROADCAST_ENTRIES else listed.hint("shuffle_hash")
-    hits = passed.select("host", "path", "key").join(entries, "key")
-    rank = F.struct("e.rank", F.length("key").alias("n"), F.length("e.listed_host").alias("h"), "e.b", "key", "e.verdict")
+    passed = _passing(starts, whole(F.col("suffix"), F.col("start")), entries.select(whole(F.col("l_host"), F.col("l_path")).alias("key")), entries.count())
+    hits = passed.join(entries, (F.col("suffix") == F.col("l_host")) & (F.col("start") == F.col("l_path")))
+    entry = F.concat("l_host", "l_path")
+    rank = F.struct("e.rank", F.length(entry).alias("n"), F.length("l_host").alias("h"), "e.b", entry.alias("entry"), "e.verdict")
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select(
-        *(urls[f"`{c}`"] for c in pages.columns), "host", "path", F.col("best.key").alias("entry"), F.col("best.rank").alias("entry_rank"), F.col("best.verdict").alias("entry_verdict")
-    )
+    with_host = urls.where("host <> ''").join(best, ["host", "path"], "left").select("row", "host", "path", "best.entry", F.col("best.rank").alias("entry_rank"), F.col("best.verdict").alias("entry_verdict"))
+    none = {"entry": F.lit(None).cast("string"), "entry_rank": F.lit(None).cast("int"), "entry_verdict": F.lit(None).cast("string")}
+    return with_host.unionByName(urls.where("host = ''").withColumns(none)).select("row.*", *ADDED)
 
 
 def url_list(spark: SparkSession) -> DataFrame:
