@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cells import display_time
+
 BATCH, NO_TX = "_BATCH_", "no_tid"
 
 
@@ -25,24 +27,27 @@ def first_seen(column: str, at: Column) -> Column:
 
 
 def transactions(audit: DataFrame, rows: DataFrame, limit: int = 100) -> DataFrame:
-    """Recent transactions: ``tx, total_count, last_at, columns`` (joined) and the newest entry's ``row_id, updated_by``.
+    """Recent transactions: ``tx, total_count, last_at, columns`` (joined) and the newest entry's ``id, column_name, row_id, updated_by``.
 
     Entries are first grouped by transaction and column, so that a transaction of
     any size sends one row for each of its columns.
     """
     a = alive_or_batch(audit, rows).withColumn("tx", F.coalesce("transaction_id", F.lit(NO_TX)))
-    newest_entry = F.struct("timestamp", "id", "row_id", "updated_by")
+    newest_entry = F.struct("timestamp", "id", "row_id", "updated_by", "column_name")
     by_column = a.groupBy("tx", "column_name").agg(F.count("*").alias("n"), F.max(newest_entry).alias("newest"))
     by_tx = by_column.groupBy("tx").agg(
-        F.sum("n").alias("total_count"),
-        F.max("newest").alias("newest"),
-        F.array_join(first_seen("column_name", F.struct((-F.unix_micros(F.col("newest.timestamp").cast("timestamp"))).alias("t"), (-F.col("newest.id")).alias("i"))), ",").alias("columns"),
+        F.sum("n").alias("total_count"), F.max("newest").alias("newest"), F.array_join(first_seen("column_name", _age(F.col("newest"))), ",").alias("columns")
     )
     return by_tx.orderBy(F.desc("newest.timestamp"), F.desc("newest.id")).limit(limit).select(
-        "tx", "total_count", F.col("newest.timestamp").alias("last_at"), "columns", "newest.row_id", "newest.updated_by"
+        "tx", "total_count", F.col("newest.timestamp").alias("last_at"), "columns", "newest.id", "newest.column_name", "newest.row_id", "newest.updated_by"
     )
 
 
+def _age(entry: Column) -> Column:
+    """Orders entries from the newest on."""
+    return F.struct((-F.unix_micros(entry["timestamp"].cast("timestamp"))).alias("t"), (-entry["id"]).alias("i"))
+
+
 def previews(audit: DataFrame, most: int = 500) -> DataFrame:
     """The ``most`` newest entries of each transaction with their ``nth``."""
     a = audit.withColumn("tx", F.coalesce("transaction_id", F.lit(NO_TX)))
@@ -56,6 +61,41 @@ def transaction_detail(audit: DataFrame, rows: DataFrame, tx: str, limit: int =
     return top.join(keys, F.col("row_id") == F.col("k_id"), "left").drop("k_id")
 
 
+def transaction_summary(audit: DataFrame, tx: str, limit: int = 500) -> DataFrame:
+    """``transaction_id, total_count, columns`` of one transaction: all its entries, and the columns of the newest; no row if it has none."""
+    own = audit.where(F.col("transaction_id") == tx)
+    top = own.orderBy(*newest()).limit(limit).groupBy("column_name").agg(F.max(F.struct("timestamp", "id")).alias("newest"))
+    columns = top.agg(F.array_join(first_seen("column_name", _age(F.col("newest"))), ",").alias("columns"))
+    total = own.agg(F.count("*").alias("total_count")).where("total_count > 0")
+    # one row each
+    return total.crossJoin(columns).select(F.lit(tx).alias("transaction_id"), "total_count", "columns")
+
+
+def groups_after(groups: DataFrame, entries: DataFrame, most: int = 500) -> DataFrame:
+    """Live groups ``tx, seq, total_count, n_logs`` after new entries (``seq, transaction_id``).
+
+    A group counts every entry, keeps at most ``most``, and is as recent as its last one.
+    """
+    new = entries.groupBy(F.coalesce("transaction_id", F.lit(NO_TX)).alias("tx")).agg(F.max("seq").alias("new_seq"), F.count("*").alias("n"))
+    both = groups.join(new, "tx", "full")
+    n = F.coalesce("n", F.lit(0))
+    return both.select(
+        "tx", F.greatest("seq", "new_seq").alias("seq"), (F.coalesce("total_count", F.lit(0)) + n).alias("total_count"),
+        F.least(F.lit(most), F.coalesce("n_logs", F.lit(0)) + n).alias("n_logs"),
+    )
+
+
+def groups_without(logs: DataFrame, totals: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Live groups ``tx, total_count, n_logs`` when the entries of deleted rows go; totals stay, groups without entries go."""
+    left = logs.join(deleted.select("row_id").where(F.col("row_id") != BATCH), "row_id", "left_anti")
+    return left.groupBy("tx").agg(F.count("*").alias("n_logs")).join(totals, "tx").select("tx", "total_count", "n_logs")
+
+
+def todays(audit: DataFrame, now: Column) -> DataFrame:
+    """Entries from the start of the day on."""
+    return audit.where(F.col("timestamp") >= F.date_trunc("day", now))
+
+
 def row_history(audit: DataFrame, row_id: str, column: str | None = None) -> DataFrame:
     """Entries of a row, or of one cell, newest first."""
     a = audit.where(F.col("row_id") == row_id)
@@ -63,10 +103,21 @@ def row_history(audit: DataFrame, row_id: str, column: str | None = None) -> Dat
 
 
 def dashboard(rows: DataFrame, tables: list[str], now: Column) -> DataFrame:
-    """``table_name, n_rows, last_at, status`` for each configured table, in one grouped scan."""
+    """``table_name, n_rows, last_at, last_updated, status`` for each configured table, in one grouped scan; active ones first, then by name.
+
+    ``last_updated`` is a text, ``No Activity`` for a table without rows.
+    """
     counted = rows.groupBy("table_name").agg(F.count("*").alias("n_rows"), F.max(F.coalesce("updated_at", "created_at")).alias("last_at"))
     names = rows.sparkSession.createDataFrame([(t,) for t in tables], "table_name string")
-    idle = F.when(F.unix_timestamp(now) - F.unix_timestamp("last_at") < 3600, "Active").otherwise("Idle")
-    return F.broadcast(names).join(counted, "table_name", "left").select(
-        "table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "last_at", F.when(F.col("last_at").isNull(), "Idle").otherwise(idle).alias("status")
-    )
+    active = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("last_at") < 3600, F.lit(False))
+    text = F.coalesce(F.nullif(display_time(F.col("last_at")), F.lit("")), F.lit("No Activity"))
+    # as many rows as tables are configured
+    return names.join(counted, "table_name", "left").select(
+        "table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "last_at", text.alias("last_updated"), F.when(active, "Active").otherwise("Idle").alias("status")
+    ).orderBy(F.col("status") != "Active", "table_name")
+
+
+def dashboard_totals(board: DataFrame, audit: DataFrame, now: Column) -> DataFrame:
+    """``total_tables, total_rows, today_updates, system_health`` in one row."""
+    total = board.agg(F.count("*").alias("total_tables"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"))
+    return total.crossJoin(todays(audit, now).agg(F.count("*").alias("today_updates"))).withColumn("system_health", F.lit("Healthy"))

@@ -1,7 +1,7 @@
 """Cells with a value from each source, as events and as they stand.
 
 Writes are append-only events ``seq, table_name, row_id, col, source, value,
-updated_by`` (values as texts). The state of a cell is the latest event of each
+updated_by`` (values as texts, their types in an optional ``kind``). The state of a cell is the latest event of each
 source, of which the winning one counts. Nothing is updated in place.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cells import PRIORITY, canonical_column, is_writable, rank
+from ..functions.cells import PRIORITY, canonical_column, is_writable, rank, stripped, value_text
 
 CELL = ["table_name", "row_id", "col"]
 
@@ -22,6 +22,20 @@ def latest_by_source(events: DataFrame) -> DataFrame:
     return events.where(is_writable(F.col("col"))).groupBy(*CELL, "source").agg(last).select(*CELL, "source", "e.*")
 
 
+def live_sources(events: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """:func:`latest_by_source` without what ``removed`` (``CELL, seq, source``) took away."""
+    live = latest_by_source(events)
+    if removed is None:
+        return live
+    gone = removed.groupBy(*CELL, "source").agg(F.max("seq").alias("gone"))
+    return live.join(gone, [*CELL, "source"], "left").where("gone IS NULL OR seq > gone").drop("gone")
+
+
+def current_pins(pins: DataFrame) -> DataFrame:
+    """``CELL, pin`` of each cell that was ever pinned; null if its last pin was cleared."""
+    return pins.groupBy(*CELL).agg(F.max_by(F.struct("source"), "seq")["source"].alias("pin"))
+
+
 def effective(events: DataFrame, pins: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
     """``value, priority_source, is_overwrite, updated_by, n_sources`` of each cell.
 
@@ -29,14 +43,10 @@ def effective(events: DataFrame, pins: DataFrame | None = None, removed: DataFra
     it has a value; ``removed`` (``CELL, seq, source``) takes away a source's
     earlier events. ``updated_by`` is the last writer, even of a masked value.
     """
-    live = latest_by_source(events)
-    if removed is not None:
-        gone = removed.groupBy(*CELL, "source").agg(F.max("seq").alias("gone"))
-        live = live.join(gone, [*CELL, "source"], "left").where("gone IS NULL OR seq > gone").drop("gone")
+    live = live_sources(events, removed)
     order = rank(F.col("source"))
     if pins is not None:
-        last = pins.groupBy(*CELL).agg(F.max_by("source", "seq").alias("pin"))
-        live = live.join(last, CELL, "left")
+        live = live.join(current_pins(pins), CELL, "left")
         order = F.struct((~F.col("source").eqNullSafe(F.col("pin"))).alias("other"), order.alias("r"))
     return live.groupBy(*CELL).agg(
         F.min_by("value", order).alias("value"),
@@ -47,34 +57,36 @@ def effective(events: DataFrame, pins: DataFrame | None = None, removed: DataFra
     )
 
 
-def changes(events: DataFrame) -> DataFrame:
-    """What each event did: ``seq, CELL, source, updated_by, old_value, new_value, is_new, changed``.
+def changes(events: DataFrame, pins: DataFrame | None = None) -> DataFrame:
+    """``events`` and what each did: ``old_value, new_value, is_new`` (the cell's first), ``differs`` in text, ``changed``.
 
     For each known source its last value up to the event is carried along; the
-    first by priority is the effective value. Unlisted sources are taken in order
-    of their ranks from the map of all values so far.
+    first by priority is the effective value. Of unlisted sources the least rank so
+    far is carried, and its value by a second window. A pinned source counts before
+    all others from its first event on.
     """
     e = events.where(is_writable(F.col("col")))
+    kind = F.col("kind") if "kind" in events.columns else F.lit("str")
     upto = W.partitionBy(*CELL).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    boxed = F.struct("value")
-    known = [F.last(F.when(F.col("source") == s, boxed), ignorenulls=True).over(upto) for s in sorted(PRIORITY, key=PRIORITY.get)]
+    boxed = F.struct("value", kind.alias("kind"))
+    by = lambda cond: F.last(F.when(cond, boxed), ignorenulls=True).over(upto)
+    ways = [by(F.col("source") == s) for s in sorted(PRIORITY, key=PRIORITY.get)]
+    if pins is not None:
+        e = e.join(current_pins(pins), CELL, "left")
+        ways.insert(0, by(F.col("source") == F.col("pin")))
     other = ~F.col("source").isin(*PRIORITY)
-    # the least rank so far wins; its latest value is carried by a second window
-    least = F.min(F.when(other, rank(F.col("source")))).over(upto)
-    e = e.withColumn("best_other", least["source"])
-    is_best = other & (F.col("source") == F.col("best_other"))
-    rest = F.last(F.when(is_best, boxed), ignorenulls=True).over(upto)
-    e = e.withColumn("now", F.coalesce(*known, rest))
-    before = F.lag("now").over(W.partitionBy(*CELL).orderBy("seq"))
-    first = F.row_number().over(W.partitionBy(*CELL).orderBy("seq")) == 1
-    text = lambda c: F.coalesce(c, F.lit("None"))
-    out = e.select("seq", *CELL, "source", "updated_by", before["value"].alias("old_value"), F.col("now.value").alias("new_value"), first.alias("is_new"))
-    return out.withColumn("changed", F.col("is_new") | (text(F.col("old_value")) != text(F.col("new_value"))))
+    e = e.withColumn("best_other", F.min(F.when(other, rank(F.col("source")))).over(upto)["source"])
+    e = e.withColumn("now", F.coalesce(*ways, by(other & (F.col("source") == F.col("best_other")))))
+    cell = W.partitionBy(*CELL).orderBy("seq")
+    out = e.withColumns({"before": F.lag("now").over(cell), "is_new": F.row_number().over(cell) == 1})
+    text = lambda c: F.coalesce(value_text(c["value"], c["kind"]), F.lit("None"))
+    differs = text(F.col("before")) != text(F.col("now"))
+    return out.select(*events.columns, F.col("before.value").alias("old_value"), F.col("now.value").alias("new_value"), "is_new", differs.alias("differs"), (F.col("is_new") | differs).alias("changed"))
 
 
 def audit_of(events: DataFrame) -> DataFrame:
     """Audit entries: one for each changed cell a user wrote; for other sources one for each row and ``tx``."""
-    c = changes(events).where("changed").join(events.select("seq", "tx"), "seq")
+    c = changes(events).where("changed")
     users = c.where("source = 'user'").select("tx", "table_name", "row_id", F.col("col").alias("column_name"), "old_value", "new_value", "source", "updated_by")
     rows = c.where("source <> 'user'").groupBy("tx", "table_name", "row_id", "source").agg(
         F.count_distinct("col").alias("n"), F.max("updated_by").alias("updated_by")
@@ -93,7 +105,7 @@ def upserted(rows: DataFrame, updates: DataFrame) -> DataFrame:
     An update's row is the one of its ``row_id``, else the one of its trimmed key;
     updates of one new key are one new row.
     """
-    key = F.nullif(F.trim("business_key"), F.lit(""))
+    key = F.nullif(stripped(F.col("business_key")), F.lit(""))
     u = updates.select("seq", F.col("row_id").alias("given"), key.alias("business_key"))
     by_id = rows.select(F.col("row_id").alias("given"), F.col("row_id").alias("found_id"))
     by_key = rows.where("business_key IS NOT NULL").groupBy("business_key").agg(F.min("row_id").alias("found_key"))
@@ -112,4 +124,3 @@ def without_rows(rows: DataFrame, deleted: DataFrame) -> DataFrame:
 def merged_columns(cells: DataFrame, display: list[str]) -> DataFrame:
     """Cells whose columns differ in case only become one; each source's latest value stays."""
     return latest_by_source(cells.withColumn("col", canonical_column(F.col("col"), display)))
-

@@ -108,9 +108,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.ids_at(b.orders(spark, sf_dir), grid.Order("id"), [7, 3, 7, 400, 49_000])
 
 
-@query("tx_review_rows", "SELECT row_id, business_key FROM live WHERE row_id IN (SELECT row_id FROM audit WHERE transaction_id = '8/2024-01-01')")
+# the transaction is the first, by name, that has rows
+_TX = "(SELECT min(transaction_id) FROM audit JOIN live USING (row_id))"
+
+
+@query("tx_review_rows", f"SELECT row_id, business_key FROM live WHERE row_id IN (SELECT row_id FROM audit WHERE transaction_id = {_TX})")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.in_transaction(b.customers(spark, sf_dir), b.audit(spark, sf_dir), "8/2024-01-01")
+    audit, rows = b.audit(spark, sf_dir), b.customers(spark, sf_dir)
+    tx = audit.join(rows, "row_id", "left_semi").agg(F.min("transaction_id")).first()[0]
+    return grid.in_transaction(rows, audit, tx)
 
 
 @query("tx_detail", """SELECT id, strftime(a.timestamp, '%Y-%m-%d %H:%M:%S') AS at, a.row_id, column_name, business_key FROM (SELECT * FROM audit WHERE transaction_id = '7/2024-01-01' ORDER BY timestamp DESC, id DESC LIMIT 500) a LEFT JOIN live USING (row_id)""")
@@ -121,10 +127,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recent_transactions", """, a AS (SELECT a.*, coalesce(transaction_id, 'no_tid') AS tx FROM audit a LEFT JOIN live l USING (row_id) WHERE row_id = '_BATCH_' OR l.row_id IS NOT NULL),
 c AS (SELECT tx, column_name, max(timestamp) AS m FROM a GROUP BY ALL), j AS (SELECT tx, string_agg(column_name, ',' ORDER BY m DESC) AS columns FROM c GROUP BY tx)
-SELECT tx, total_count, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, columns FROM (SELECT tx, count(*) AS total_count, max(timestamp) AS last_at FROM a GROUP BY tx) JOIN j USING (tx) ORDER BY last_at DESC LIMIT 100""")
+SELECT tx, total_count, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, columns, id, column_name, row_id, updated_by FROM (SELECT tx, count(*) AS total_count, max(timestamp) AS last_at, arg_max(id, timestamp) AS id, arg_max(column_name, timestamp) AS column_name, arg_max(row_id, timestamp) AS row_id, arg_max(updated_by, timestamp) AS updated_by FROM a GROUP BY tx) JOIN j USING (tx) ORDER BY last_at DESC LIMIT 100""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = history.transactions(b.audit(spark, sf_dir), b.customers(spark, sf_dir))
-    return t.select("tx", "total_count", cells.display_time(F.col("last_at")).alias("last_at"), "columns")
+    return t.withColumn("last_at", cells.display_time(F.col("last_at")))
 
 
 @query("tx_preview_cap", "SELECT tx, id, nth FROM (SELECT coalesce(transaction_id, 'no_tid') AS tx, id, row_number() OVER (PARTITION BY coalesce(transaction_id, 'no_tid') ORDER BY timestamp DESC, id DESC) AS nth FROM audit) WHERE nth <= 5")
@@ -148,16 +154,31 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.agg(F.count("*").alias("n"), F.count_if(F.col("row_id") == history.BATCH).alias("n_batch"))
 
 
-@query("dashboard", """, t AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS table_name, o_orderdate AS updated FROM orders),
+_BOARD = """, t AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS table_name, o_orderdate AS updated FROM orders),
 d AS (SELECT n.table_name, count(updated) AS n_rows, max(updated) AS m FROM (SELECT unnest(['finished', 'open', 'empty']) AS table_name) n LEFT JOIN t USING (table_name) GROUP BY 1)
-SELECT table_name, n_rows, coalesce(strftime(m, '%Y-%m-%d %H:%M:%S'), '') AS last_at, CASE WHEN epoch(TIMESTAMP '1998-12-01 00:30:00') - epoch(m) < 3600 THEN 'Active' ELSE 'Idle' END AS status FROM d""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+"""
+
+
+def _board(spark: SparkSession, sf_dir: str, now: str) -> DataFrame:
     s = F.col("o_orderstatus")
     rows = b.read(spark, sf_dir, "orders").select(
         F.when(s == "F", "finished").when(s == "O", "open").otherwise("other").alias("table_name"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.lit(None).cast("timestamp").alias("created_at")
     )
-    d = history.dashboard(rows, ["finished", "open", "empty"], F.lit("1998-12-01 00:30:00").cast("timestamp"))
-    return d.withColumn("last_at", cells.display_time(F.col("last_at")))
+    return history.dashboard(rows, ["finished", "open", "empty"], F.lit(now).cast("timestamp"))
+
+
+@query("dashboard", _BOARD + """SELECT table_name, n_rows, coalesce(strftime(m, '%Y-%m-%d %H:%M:%S'), 'No Activity') AS last_updated, CASE WHEN epoch(TIMESTAMP '2001-07-31 00:30:00') - epoch(m) < 3600 THEN 'Active' ELSE 'Idle' END AS status,
+row_number() OVER (ORDER BY coalesce(epoch(TIMESTAMP '2001-07-31 00:30:00') - epoch(m) < 3600, false) DESC, table_name) - 1 AS place FROM d""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    board = _board(spark, sf_dir, "2001-07-31 00:30:00").select("table_name", "n_rows", "last_updated", "status").collect()
+    # a row for each configured table, in the order they are shown
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(board)], "table_name string, n_rows bigint, last_updated string, status string, place bigint")
+
+
+@query("dashboard_totals", _BOARD + "SELECT count(*) AS total_tables, sum(n_rows)::BIGINT AS total_rows, (SELECT count(*) FROM audit WHERE timestamp >= TIMESTAMP '2024-01-20 00:00:00') AS today_updates, 'Healthy' AS system_health FROM d")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-01-20 15:00:00").cast("timestamp")
+    return history.dashboard_totals(_board(spark, sf_dir, "2001-07-31 00:30:00"), b.audit(spark, sf_dir), now)
 
 
 _CELL = "row_id, col, value, priority_source, is_overwrite, updated_by, n_sources"
@@ -221,14 +242,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layering.upserted(b.parts(spark, sf_dir), o.select(F.col("o_orderkey").alias("seq"), given.alias("row_id"), key.alias("business_key")))
 
 
-@query("business_key_lookup", "SELECT min(row_id) AS row_id FROM parts WHERE business_key = '17'")
+@query("business_key_lookup", "SELECT row_id FROM parts WHERE business_key = '17' ORDER BY row_id LIMIT 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.parts(spark, sf_dir).where(F.col("business_key") == F.trim(F.lit(" 17 "))).agg(F.min("row_id").alias("row_id"))
+    return grid.found_by_key(b.parts(spark, sf_dir), " 17 ").select("row_id")
 
 
 @query("point_lookup", f"SELECT {_P} FROM parts WHERE row_id = 'part-00000042'")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.parts(spark, sf_dir).where("row_id = 'part-00000042'").select(*_P.split(", "))
+    return grid.found_row(b.parts(spark, sf_dir), "part-00000042").select(*_P.split(", "))
 
 
 @query("delete_antijoin", "SELECT row_id FROM parts WHERE row_id NOT IN (SELECT row_id FROM parts WHERE size < 10)")
@@ -258,11 +279,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.tsv(b.orders(spark, sf_dir), ["business_key", "status", "priority"])
 
 
-@query("matrix_unpivot", """, c AS (SELECT p_partkey AS id, unnest([p_name, ' ' || p_size || ' ', '', p_retailprice::DECIMAL(10,2)::VARCHAR]) AS z, unnest([0, 1, 2, 3]) AS x FROM part)
-SELECT id, 0 AS y, x, trim(z) AS z, regexp_full_match(trim(z), '[0-9]+\\.?[0-9]*|\\.[0-9]+') AS is_number FROM c WHERE trim(z) <> ''""")
+@query("matrix_unpivot", """, c AS (SELECT p_partkey AS id, unnest([p_name || ', ' || p_brand, ' ' || p_size || ' ', '', p_retailprice::DECIMAL(10,2)::VARCHAR, 'say "x"', '1.2.3']) AS z, unnest([0, 1, 2, 3, 4, 5]) AS x FROM part)
+SELECT id, 0 AS y, x, trim(z) AS z, regexp_full_match(trim(z), '[0-9]+\\.?[0-9]*|\\.[0-9]+') AS is_number, try_cast(CASE WHEN x IN (1, 3) THEN trim(z) END AS DOUBLE) AS number FROM c WHERE trim(z) <> ''""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat_ws(",", "p_name", F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" ")), F.lit(""), F.col("p_retailprice").cast("decimal(10,2)").cast("string"))
-    return exchange.matrix_cells(b.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("y"), line.alias("line")))
+    quoted = F.concat(F.lit('"'), F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit('"'))
+    line = F.concat_ws(",", quoted, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" ")), F.lit(""), F.col("p_retailprice").cast("decimal(10,2)").cast("string"), F.lit('"say ""x"""'), F.lit("1.2.3"))
+    return exchange.matrix_of(b.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), line.alias("text")))
 
 
 @query("paste_mapping", "SELECT row_id, t.name, value FROM (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS value, unnest(['name', 'created_at', 'kind']) AS name FROM part) t JOIN parts ON row_id = 'part-' || lpad((p_partkey + 5)::VARCHAR, 8, '0') WHERE t.name <> 'created_at'")
@@ -317,10 +339,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layering.merged_columns(b.cell_events(spark, sf_dir).withColumn("col", mixed), display).select("row_id", "col", "source", "value")
 
 
-@query("ingest_regex_rows", """SELECT p_partkey::VARCHAR AS file, 'lot-' || p_partkey AS lot, p_name AS name, p_size::VARCHAR AS size, CASE WHEN p_size > 25 THEN 'true' ELSE 'none' END AS flag FROM part WHERE p_size > 5""")
+@query("ingest_regex_rows", """SELECT p_partkey::VARCHAR AS file, 'lot-' || p_partkey AS lot, p_name AS name, p_size::VARCHAR AS size, CASE WHEN p_size > 25 THEN 'true' ELSE 'none' END AS flag, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'any' END AS brand FROM part WHERE p_size > 5""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks are matched on stripped lines, and a required column with a default rejects no line."""
     p = b.read(spark, sf_dir, "part")
-    body = F.concat(F.lit("name="), F.col("p_name"), F.lit(" size="), F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).otherwise("n/a"), F.when(F.col("p_size") > 25, F.lit(" flag=YES")).otherwise(F.lit("")))
-    text = F.concat_ws("\n", F.concat(F.lit("lot: lot-"), F.col("p_partkey").cast("string")), F.lit("lot ignored name=early size=9"), F.lit("== begin"), F.lit(""), body, F.lit("== end"), F.lit("name=late size=9"))
-    rules = Rules([Rule("name", r"name=(\S+ \S+)"), Rule("size", r"size=(\S+)", "int", required=True), Rule("flag", r"flag=(\S+)", "bool", default="none")], header=[Rule("lot", r"^lot: (\S+)")], start="== begin", end="== end")
-    return rows_of(p.select(F.col("p_partkey").cast("string").alias("file"), text.alias("text")), rules).select("file", "lot", "name", "size", "flag")
+    size = F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).otherwise("n/a")
+    body = F.concat(
+        F.lit("\t name="), F.col("p_name"), F.lit(" size="), size, F.when(F.col("p_size") > 25, F.lit(" flag=YES")).otherwise(F.lit("")),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" brand="), F.col("p_brand"))).otherwise(F.lit("")), F.lit(" \r"),
+    )
+    text = F.concat_ws("\n", F.concat(F.lit("lot: lot-"), F.col("p_partkey").cast("string")), F.lit("lot ignored name=early size=9"), F.lit("  == begin \t"), F.lit(""), body, F.lit("\t== end"), F.lit("name=late size=9"))
+    rules = Rules(
+        [Rule("name", r"name=(\S+ \S+)"), Rule("size", r"size=(\S+)", "int", required=True), Rule("flag", r"flag=(\S+)", "bool", default="none"), Rule("brand", r"brand=(\S+)", required=True, default="any")],
+        header=[Rule("lot", r"^lot: (\S+)")], start="^== begin$", end="^== end$",
+    )
+    return rows_of(p.select(F.col("p_partkey").cast("string").alias("file"), text.alias("text")), rules).select("file", "lot", "name", "size", "flag", "brand")
+
+
+from . import extended  # noqa: E402, F401 - adds its queries

@@ -13,9 +13,10 @@ from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cells import stripped
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -45,6 +46,14 @@ class Rules:
     file_name: list[Rule] = field(default_factory=list)
     start: str | None = None
     end: str | None = None
+    table: str | None = None
+
+    @classmethod
+    def of(cls, config: dict) -> Rules:
+        """From a configuration file's ``rules, header_rules, filename_rules, table_start_pattern, table_end_pattern, table_name``."""
+        made = lambda name: [Rule(r["column"], r["regex"], r.get("type", "str"), bool(r.get("required")), r.get("default")) for r in config.get(name, [])]
+        marks = (config.get(f"table_{x}_pattern") or None for x in ("start", "end"))
+        return cls(made("rules"), made("header_rules"), made("filename_rules"), *marks, config.get("table_name"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -53,28 +62,40 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(texts: DataFrame, rules: Rules) -> DataFrame:
-    """``file, n, line, part`` of lines that aren't blank: ``header``, ``body`` or, for marks and what is outside, null."""
-    lines = texts.select("file", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
-    before = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    is_start = F.col("line").rlike(rules.start) if rules.start else F.lit(False)
-    lines = lines.withColumn("is_start", is_start).withColumn("started", F.coalesce(F.bool_or("is_start").over(before), F.lit(False)) if rules.start else F.lit(True))
-    inside = F.col("started") & ~(F.col("is_start") & ~F.col("started"))
-    is_end = (F.col("line").rlike(rules.end) & inside) if rules.end else F.lit(False)
-    lines = lines.withColumn("is_end", is_end).withColumn("ended", F.coalesce(F.bool_or("is_end").over(before), F.lit(False)))
-    part = F.when(inside & ~F.col("is_end") & ~F.col("ended"), "body").when(~F.col("started") & ~F.col("is_start"), "header")
-    return lines.select("file", "n", F.trim("line").alias("line"), part.alias("part")).where("line <> ''")
+    """``file, n, line, part``: stripped lines of the ``body`` that aren't blank, and lines of the ``header`` as they are.
+
+    The body lies between the first stripped line with the start mark and the next
+    with the end mark; the header is all before the first line, as it is, with the
+    start mark, or the whole file if there is no such mark. Marks are found within
+    the row of the file, so lines aren't shuffled.
+    """
+    # numbers of lines are from 0, those of found marks from 1; 0 is none
+    found = lambda lines, mark: F.array_position(F.transform(lines, lambda x: x.rlike(mark)), F.lit(True))
+    out = texts.select("file", F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n").alias("raw"))
+    out = out.withColumns({"lines": F.transform("raw", lambda x: stripped(x)), "size": F.size("raw"), "first": F.lit(0), "head": F.size("raw")})
+    if rules.start:
+        at, raw_at = found(F.col("lines"), rules.start), found(F.col("raw"), rules.start)
+        out = out.withColumns({"first": F.when(at > 0, at).otherwise(F.col("size")), "head": F.when(raw_at > 0, raw_at - 1).otherwise(F.col("size"))})
+    end = found(F.slice("lines", F.col("first").cast("int") + 1, F.col("size")), rules.end) if rules.end else F.lit(0)
+    out = out.withColumn("last", F.when(end > 0, F.col("first") + end - 2).otherwise(F.col("size") - 1))
+    each = out.select("file", "first", "last", "head", F.posexplode(F.arrays_zip("raw", "lines")).alias("n", "l"))
+    body = F.when(F.col("n").between(F.col("first"), F.col("last")) & (F.col("l.lines") != ""), F.struct(F.col("l.lines").alias("line"), F.lit("body").alias("part")))
+    header = F.when(F.col("n") < F.col("head"), F.struct(F.col("l.raw").alias("line"), F.lit("header").alias("part")))
+    return each.select("file", "n", F.inline(F.array_compact(F.array(body, header))))
 
 
 def rows_of(texts: DataFrame, rules: Rules) -> DataFrame:
     """``file, n`` and the rules' columns, as texts, of each kept line.
 
-    A line is kept if some rule matched and cast and no required one failed.
-    Defaults fill what is missing; body columns override file and header ones.
+    A line is kept if some rule matched and cast, and every required column has a
+    value or a default. Defaults fill what is missing; body columns override file and header ones.
     """
     lines = lines_of(texts, rules)
     line = F.col("line")
     got = [r.value(line) for r in rules.body]
-    keep = reduce(or_, (g.isNotNull() for g in got)) & reduce(and_, (g.isNotNull() for r, g in zip(rules.body, got, strict=True) if r.required), F.lit(True))
+    keep = reduce(or_, (g.isNotNull() for g in got)) & reduce(
+        and_, (F.coalesce(g, F.lit(r.default)).isNotNull() for r, g in zip(rules.body, got, strict=True) if r.required), F.lit(True)
+    )
     own = [F.coalesce(g, F.lit(r.default)).alias(r.column) for r, g in zip(rules.body, got, strict=True)]
     body = lines.where("part = 'body'").where(keep).select("file", "n", *own)
     names = {r.column for r in rules.body}
@@ -84,13 +105,18 @@ def rows_of(texts: DataFrame, rules: Rules) -> DataFrame:
     heads = [r for r in rules.header if r.column not in names]
     if not heads:
         return body
-    # without a start mark the whole file is header, too
-    part = "part = 'header'" if rules.start else "true"
     last = [F.max_by(r.value(line), F.when(r.found(line), F.col("n"))).alias(r.column) for r in heads]
-    return body.join(lines.where(part).groupBy("file").agg(*last), "file", "left")
+    return body.join(lines.where("part = 'header'").groupBy("file").agg(*last), "file", "left")
 
 
 def keyed(rows: DataFrame, key: str = "id") -> DataFrame:
     """Rows that have a business key, with it as ``business_key``."""
     name = next((c for c in reversed(rows.columns) if c.lower() == key.lower()), None)
-    return rows.limit(0).withColumn("business_key", F.lit(None).cast("string")) if name is None else rows.withColumn("business_key", F.trim(name)).where(F.col(name).isNotNull())
+    return rows.limit(0).withColumn("business_key", F.lit(None).cast("string")) if name is None else rows.withColumn("business_key", stripped(F.col(name))).where(F.col(name).isNotNull())
+
+
+def canonical(rows: DataFrame, display: list[str]) -> DataFrame:
+    """``rows`` whose columns have the names of ``display`` that equal them but for case; later columns win."""
+    named = {c.lower(): c for c in reversed(display)}
+    last = {named.get(c.lower(), c): c for c in rows.columns}
+    return rows.select(*(F.col(f"`{c}`").alias(n) for n, c in last.items()))

@@ -1,7 +1,8 @@
-"""Files dropped in a folder, read by rules into events as they come, and live views of event streams."""
+"""Files dropped in a folder, read by rules or a parser into rows as they come, and live views of event streams."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,28 +10,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.cells import uploader
-from ..sources.rules import Rules, keyed, rows_of
+from ..sources.parsers import Parser, good, parsed, quarantined, texts
+from ..sources.rules import Rules, canonical, keyed, rows_of
+from ..sources.store import Store, archive
+from ..storage import stored
+
+Write = Callable[[DataFrame, int], None]
+
+
+def _name(file: F.Column) -> F.Column:
+    return F.url_decode(F.element_at(F.split(file, "/"), -1))
+
+
+def signed(rows: DataFrame, source: str) -> DataFrame:
+    """``rows`` of a ``file`` with ``tx``, a hash of its path so that a repeated batch writes the same, ``source`` and ``updated_by``."""
+    who = uploader(_name(F.col("file")))
+    return rows.withColumns({"tx": F.md5("file"), "source": F.when(who.isNotNull(), "user").otherwise(source), "updated_by": F.coalesce(who, F.lit(source))})
 
 
 def ingest(
-    spark: SparkSession, folder: str, rules: Rules, key: str, checkpoint: str, write: Callable[[DataFrame, int], None], source: str = "batch_ingester"
-) -> StreamingQuery:
+    spark: SparkSession, folder: str, rules: Rules | Parser, key: str, checkpoint: str, write: Write, source: str = "batch_ingester", display: list[str] | None = None,
+    archives: str | None = None, quarantine: Write | None = None, files_a_batch: int = 1000,
+) -> StreamingQuery:
     """Each new file of ``folder`` once: its rows go to ``write(rows, batch_id)`` with ``tx, source, updated_by``.
 
-    A file's transaction is a hash of its path, so a repeated batch writes the same.
+    Rows without a business key are left out. By ``rules`` they have the rules'
+    columns, by a parser a map ``row``. Files that can't be read go to
+    ``quarantine`` with the error and stay where they are. When a batch is written,
+    its other files move to ``archives``. A batch is all or nothing: if ``write``
+    fails, the query does, and the batch is repeated when it starts again. Spark's
+    log of files sees to it that no file is taken twice.
     """
-    files = spark.readStream.schema("value string").format("text").option("wholetext", True).load(folder)
-    texts = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_a_batch).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
 
     def batch(part: DataFrame, batch_id: int) -> None:
-        rows = keyed(rows_of(part, rules), key)
-        name = F.element_at(F.split("file", "/"), -1)
-        who = uploader(F.url_decode(name))
-        write(rows.withColumns({"tx": F.md5("file"), "source": F.when(who.isNotNull(), "user").otherwise(source), "updated_by": F.coalesce(who, F.lit(source))}), batch_id)
+        files = part.select(F.col("path").alias("file"), "content")
+        if isinstance(rules, Rules):
+            valid, bad = texts(files)
+            # Spark names files by URIs; rules see the names users gave
+            rows = rows_of(valid, rules)
+            rows = keyed(canonical(rows, display or []), key)
+        else:
+            every = stored(parsed(files, rules))
+            bad = quarantined(every)
+            own = F.filter(F.map_entries("row"), lambda e: F.lower(e["key"]) == key.lower())
+            rows = good(every).withColumn("business_key", F.btrim(F.element_at(own, -1)["value"])).where("business_key IS NOT NULL")
+        write(signed(rows, source), batch_id)
+        if quarantine is not None:
+            quarantine(bad, batch_id)
+        if archives is not None:
+            # at most ``files_a_batch`` names
+            for f in files.select("file").join(bad.select("file").distinct(), "file", "left_anti").collect():
+                archive(spark, f.file, archives, int(time.time()))
+
+    return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_all(store: Store, write: Callable[[str, DataFrame, int], None], parsers: dict[str, Parser] | None = None, keys: dict[str, str] | None = None) -> dict[str, StreamingQuery]:
+    """A stream for each table's folder that has a configuration or a registered parser; others are passed over."""
+    queries = {}
+    for table in store.tables:
+        folder = store.workspace(table)
+        config, parser = store.configuration(table), (parsers or {}).get(table)
+        if config is None and parser is None:
+            continue
+        rules = parser or Rules.of(config)
+        name = (config or {}).get("table_name") or table
+        queries[table] = ingest(
+            store.spark, f"{folder}/raws", rules, (keys or {}).get(table, "id"), f"{folder}/checkpoint", lambda rows, i, name=name: write(name, rows, i),
+            "custom_script" if parser else "batch_ingester", store.tables[table], f"{folder}/archives",
+        )
+    return queries
 
 
 def counts_by_window(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Entries by transaction window and type; late ones beyond ``late`` are left out of a stream. An extension."""
+    """Entries by window and type; late ones beyond ``late`` are left out of a stream. An extension."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import cells
 from cellweave.operators import exchange, grid, layering
-from cellweave.sources.rules import Rule, Rules, keyed, rows_of
-from cellweave.streaming.ingest import ingest
+from cellweave.sources import parsers, store
+from cellweave.sources.rules import Rule, Rules, canonical, keyed, lines_of, rows_of
+from cellweave.streaming.ingest import ingest, ingest_all
 
 EVENTS = "seq long, tx string, table_name string, row_id string, col string, source string, value string, updated_by string"
 
@@ -99,3 +100,126 @@ def test_files_are_ingested_once(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(tmp_path / "in"), rules, "k", str(tmp_path / "ck"), write).awaitTermination(60)
     assert sorted((r.business_key, r.v, r.source, r.updated_by) for r in got) == [("1", "a", "user", "ann"), ("2", "b", "user", "ann")]
+
+
+def test_required_columns_may_have_defaults(spark):
+    rules = lambda **k: Rules([Rule("a", r"a=(\d)", "int", **k), Rule("b", r"b=(\w)")])
+    rows = lambda r: sorted((x.a, x.b) for x in rows_of(spark.createDataFrame([("f", "b=x\na=1 b=y\nnothing\n")], "file string, text string"), r).collect())
+    assert rows(rules(required=True)) == [("1", "y")]
+    assert rows(rules(required=True, default="7")) == [("1", "y"), ("7", "x")]
+
+
+def test_marks_are_matched_on_stripped_lines_in_the_body_and_on_raw_ones_in_the_header(spark):
+    text = "one\r\n  == begin\t\r\ntwo\n\u00a0\n\tthree \r== end\nfour"
+    got = lines_of(spark.createDataFrame([("f", text), ("g", None), ("h", "no mark")], "file string, text string"), Rules([], start="^== begin$", end="^== end$")).collect()
+    assert [(r.file, r.line) for r in got if r.part == "body"] == [("f", "two"), ("f", "three")]
+    assert [r.line for r in got if r.part == "header" and r.file == "f"] == ["one", "  == begin\t", "two", "\u00a0", "\tthree ", "== end", "four"]
+    assert [r.part for r in got if r.file == "h"] == ["header"]
+
+
+def test_canonical_names(spark):
+    df = spark.createDataFrame([("1", "2", "3")], "PART_NO string, part_no_2 string, Other string")
+    assert canonical(df, ["part_no", "Part_No"]).columns == ["part_no", "part_no_2", "Other"]
+
+
+def test_matrix_of_quoted_records(spark):
+    text = '1,"a,b",\n"two\nlines",.5, "x"\r\n\r\n"say ""hi""",1.2.3'
+    got = exchange.matrix_of(spark.createDataFrame([(1, text), (2, None)], "id int, text string")).collect()
+    assert sorted((r.x, r.y, r.z, r.number) for r in got if r.y < 2) == [(0, 0, "1", 1.0), (0, 1, "two\nlines", None), (1, 0, "a,b", None), (1, 1, ".5", 0.5), (2, 1, '"x"', None)]
+    assert [(r.z, r.is_number) for r in got if r.y > 1] == [('say "hi"', False), ("1.2.3", False)]
+
+
+def test_lengths_and_chunks():
+    assert [grid.should_search(q) for q in ("", "a", "ab", "abc")] == [True, False, False, True]
+    assert [grid.aligned_skip(r, 50) for r in (0, 49, 50, 120)] == [0, 0, 50, 100]
+    assert [grid.adapted_chunk(100, s) for s in (0.1, 0.52, 0.9)] == [110, 100, 90]
+    assert (grid.adapted_chunk(990, 0.1), grid.adapted_chunk(51, 1), grid.adapted_chunk(300, 0.1, batch=True)) == (1000, 50, 300)
+
+
+def test_deep_pages_are_slices_of_numbered_rows(spark, monkeypatch):
+    g = spark.createDataFrame([(f"r{i:03}", str(i % 7) if i % 5 else None) for i in range(90)], "row_id string, business_key string")
+    want = [(r.row_id, r.position) for r in grid.page(g, grid.Order("id", True), 40, 9).orderBy("position").collect()]
+    monkeypatch.setattr(grid, "DEEP", 10)
+    assert [(r.row_id, r.position) for r in grid.page(g, grid.Order("id", True), 40, 9).orderBy("position").collect()] == want
+
+
+def test_ids_are_ordered_by_time(spark):
+    rows = [("2024-01-01 00:00:00", "b"), ("2024-01-01 00:00:01", "a")]
+    ids = [r[0] for r in spark.createDataFrame(rows, "t string, s string").select(cells.time_ordered_id(F.col("t").cast("timestamp"), F.col("s"))).collect()]
+    assert ids == sorted(ids) and all(len(i) == 36 and i[14] == "7" for i in ids)
+
+
+def test_sanitised(spark):
+    got = spark.createDataFrame([(b"a\xffb\xc3",), ("ok \ufffd".encode(),), (None,)], "b binary").select(cells.sanitised(F.col("b").cast("string"))).collect()
+    assert [r[0] for r in got] == ["ab", "ok \ufffd", None]
+
+
+def test_parser_attempts(spark):
+    def parser(name, content):
+        if name == "locked":
+            raise PermissionError("locked")
+        return [{"n": name, "none": None}] if name != "bad" else 1 / 0
+
+    files = spark.createDataFrame([("/x/good", b"1"), ("/x/bad", b"2"), ("/x/locked", b"3")], "file string, content binary")
+    rows = parsers.parsed(files, parser)
+    assert [r.row for r in parsers.good(rows).collect()] == [{"n": "good", "none": None}]
+    assert sorted(r.error.split(":")[0] for r in parsers.quarantined(rows).collect()) == ["PermissionError", "ZeroDivisionError"]
+
+
+def test_ingestion_to_the_end(spark, tmp_path):
+    """Two tables, by rules and by a parser: rows are written, good files are archived, also under a taken name, bad ones stay."""
+    s = store.Store(spark, str(tmp_path), {"parts": ["Part_No"], "shapes": [], "idle": []})
+    for t in s.tables:
+        s.workspace(t)
+    s.configure("parts", {"rules": [{"column": "part_no", "regex": r"p=(\w+)"}, {"column": "qty", "regex": r"q=(\d+)", "type": "int"}]})
+    name = s.upload("parts", "a.log", b"p=x q=1\np=y q=2\n", "ann")
+    s.paste("shapes", "ignored")
+    (tmp_path / "workspace/parts/raws/bad.log").write_bytes(b"p=z \xff")
+    (tmp_path / "workspace/parts/archives" / name).write_text("taken")
+    got = []
+    run = lambda: [q.awaitTermination(60) for q in ingest_all(s, lambda t, rows, i: got.extend((t, r.asDict()) for r in rows.collect()), {"shapes": lambda n, c: [{"ID": n[:5], "size": len(c)}]}, {"parts": "PART_NO"}).values()]
+    run()
+    run()
+    parts = sorted((r["business_key"], r["qty"], r["source"], r["updated_by"]) for t, r in got if t == "parts")
+    assert parts == [("x", "1", "user", "ann"), ("y", "2", "user", "ann")]
+    assert [(r["business_key"], r["row"], r["source"]) for t, r in got if t == "shapes"] == [("paste", {"ID": "paste", "size": "7"}, "custom_script")]
+    left = sorted(p.name for p in (tmp_path / "workspace/parts/raws").iterdir() if not p.name.startswith("."))
+    kept = sorted(p.name for p in (tmp_path / "workspace/parts/archives").iterdir() if not p.name.startswith("."))
+    assert left == ["bad.log"] and len(kept) == 2 and name in kept and name[:4] == "user"
+    assert s.configuration("idle") is None
+
+
+def test_store_reset_needs_to_be_sure(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), {"t": []})
+    assert s.versions() == []
+    s.create()
+    s.create()
+    assert s.versions() == [1] and s.read().count() == 0
+    with pytest.raises(ValueError):
+        s.reset()
+    s.write(s.read())
+    s.reset(sure=True)
+    assert s.versions() == [1]
+
+
+def test_store_reads_one_table_only(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.write(spark.sql("SELECT 't' || id % 3 AS table_name, 'r' || id AS row_id, NULL AS business_key, map('a', 'b') AS data, now() AS created_at, now() AS updated_at FROM range(30)"))
+    one = s.read("t1")
+    assert one.count() == 10 and all("table_name=t1" in f for f in one.inputFiles()) or "PartitionFilters: [isnotnull(table_name" in one._jdf.queryExecution().toString()
+
+
+def test_copy_over_jdbc(spark, tmp_path):
+    """Between two in-memory databases, with the driver that comes with Spark."""
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no JDBC driver")
+    a, b = ({"url": f"jdbc:derby:memory:{x};create=true", "driver": driver} for x in ("one", "two"))
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "id int, name string")
+    for end in (a, b):
+        (rows if end is a else rows.limit(0)).write.format("jdbc").options(**end, dbtable="t").save()
+    store.copied_over_jdbc(spark, a, b, {"t": {"partitionColumn": "id", "lowerBound": "0", "upperBound": "20", "numPartitions": "4"}})
+    got = spark.read.format("jdbc").options(**b, dbtable="t").load()
+    assert sorted((r[0], r[1]) for r in got.collect()) == sorted((i, f"n{i}") for i in range(20))
