@@ -8,24 +8,27 @@ over it finds the ``n_buckets`` upper bounds for which padding every piece to it
 bucket's bound wastes least. A batch of a bucket with bound ``b`` has
 ``budget // b`` pieces.
 
-Pieces are numbered within a bucket without bringing the bucket to one task:
-each bucket is dealt over ``shards`` groups by a hash, numbered there, and moved
-on by the counts of the groups before it. So batches depend on the rows only.
-
-Edge cases: null, empty and blank texts are one piece, the end token alone;
-repeated rows are packed each; an empty table gives no rows.
+Pieces are numbered within a bucket by length and id without bringing the bucket
+to one task: they are range-partitioned by this order, and a piece's number follows
+from its place in its partition and the sizes of those before. So batches depend on
+the rows only, not on the size or layout of the table, and hold like lengths.
+
+Edge cases: null, empty and blank texts are one piece, the end token alone; a null
+``doc_id`` comes first among equal lengths; texts of any length are cut, none is
+dropped; repeated rows and ties are packed each; an empty table gives no rows.
+Columns besides ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .shared import keep, table
 
-MAX_LEN, BUCKETS, BUDGET, PIECES_A_SHARD = 2048, 8, 65_536, 250_000
+MAX_LEN, BUCKETS, BUDGET = 2048, 8, 65_536
 _WORD_GAP = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -59,9 +62,7 @@ def bucket_bounds(histogram: dict[int, int], n_buckets: int) -> list[int]:
     return out[::-1]
 
 
-def packed(
-    docs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = BUCKETS, budget: int = BUDGET, pieces_a_shard: int = PIECES_A_SHARD
-) -> DataFrame:
+def packed(docs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """A row for each piece: ``doc_id, piece, first_token, n_tokens, bucket, padded_len, batch, slot``.
 
     ``batch`` counts from 0 within its ``bucket``, ``slot`` within its batch.
@@ -81,30 +82,15 @@ def packed(
     # at most max_len rows
     histogram = {r.n_tokens: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}
     bounds = bucket_bounds(histogram, n_buckets)
-    shards = max(1, -(-sum(histogram.values()) // pieces_a_shard))
     bucket, padded = F.lit(None).cast("int"), F.lit(None).cast("bigint")
     for i, b in reversed(list(enumerate(bounds))):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(i)).otherwise(bucket)
         padded = F.when(F.col("n_tokens") <= b, F.lit(b).cast("bigint")).otherwise(padded)
-    # a fixed number of groups a shard keeps groups small; shards grow with the corpus
-    dealt = pieces.withColumns({"bucket": bucket, "padded_len": padded}).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(32 * shards)).cast("int")
-    )
-    sizes = dealt.groupBy("bucket", "shard").count()
-    moved = sizes.select(
-        "bucket", "shard", (F.sum("count").over(W.partitionBy("bucket").orderBy("shard")) - F.col("count")).alias("before")
-    )
-    order = W.partitionBy("bucket", "shard").orderBy("n_tokens", "doc_id", "piece")
-    nth = F.col("before") + F.row_number().over(order) - 1
+    dealt = numbered(pieces.withColumns({"bucket": bucket, "padded_len": padded}), [F.asc("n_tokens"), F.asc("doc_id"), F.asc("piece")], ["bucket"])
     rows = F.floor(F.lit(budget) / F.col("padded_len"))
-    return (
-        dealt.join(moved, ["bucket", "shard"])
-        .withColumn("nth", nth)
-        .select(
-            "doc_id", "piece", "first_token", "n_tokens", "bucket", "padded_len",
-            F.floor(F.col("nth") / rows).alias("batch"), (F.col("nth") % rows).alias("slot"),
-        )
-    )
+    return dealt.select(
+        "doc_id", "piece", "first_token", "n_tokens", "bucket", "padded_len", F.floor(F.col("nth") / rows).alias("batch"), (F.col("nth") % rows).alias("slot")
+    )
 
 
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
