@@ -17,9 +17,12 @@ window is ten consecutive words of a benchmark item, or a shorter item as a whol
 The benchmark is processed in blocks of bounded size, each against all texts, so
 what is sent to the tasks is bounded whatever the benchmark's size.
 
-Edge cases: null and empty texts have no words and are clean; items without words
-never occur; items of equal words are searched once and all reported; repeated
-rows get the same result each; an empty benchmark finds nothing.
+Edge cases: null and empty texts have no words and are clean; texts of any length
+are read whole; items without words never occur; items of equal words are searched
+once and all reported; ties in rarity go to the earlier word; repeated rows get the
+same result each; an empty benchmark finds nothing, and an empty table gives no rows.
+Columns besides ids and texts are not read; :func:`keep_clean` carries them in a
+struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keep, table
+from .shared import keep, stored, table
 from .tokens import ALNUM, chunks
 
 WINDOW, SLOP, NEAR_SHARE, MIN_NEAR = 10, 4, 0.6, 4
-BLOCK_CHARS, BROADCAST_DOCS = 2_000_000, 50_000
+BLOCK_CHARS = 2_000_000
 
 
 def _text_key() -> F.Column:
@@ -153,12 +156,11 @@ def _compared(docs: DataFrame, wanted: DataFrame, block: Block, window: int) ->
     """``doc_id, text_key, item, spans``: where runs of a window's length begin and end (exclusive), for ``wanted`` beginnings."""
     shared = docs.sparkSession.sparkContext.broadcast((block.words, block.begin))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    wanted = keep(wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "at")).alias("w")))
-    small = wanted.count() <= BROADCAST_DOCS
-    w = wanted.withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"})
-    keyed = docs.select("doc_id", _text_key(), "text").dropDuplicates(["doc_id", "text_key"]) if not small else docs.select("doc_id", _text_key(), "text")
-    same = (keyed["text_key"] == w["w_key"]) & keyed["doc_id"].eqNullSafe(w["w_id"])
-    both = keyed.join(F.broadcast(w) if small else w, same).select("doc_id", "text_key", "text", "w")
+    # stored, so that Spark knows its size in bytes and broadcasts it only below its limit
+    wanted = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("item", "at")).alias("w"))
+    w = stored(wanted)[0]
+    keyed = docs.select("doc_id", _text_key(), "text")
+    both = keyed.join(w, (keyed["text_key"] == w["w_key"]) & keyed["doc_id"].eqNullSafe(w["w_id"])).select("doc_id", "text_key", "text", "w")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, begin = shared.value
@@ -192,7 +194,8 @@ def _compared(docs: DataFrame, wanted: DataFrame, block: Block, window: int) ->
             )
 
     found = both.mapInArrow(runs, f"doc_id {id_type}, text_key bigint, item int, spans array<struct<begin:int,end:int>>")
-    return found.dropDuplicates(["doc_id", "text_key", "item"]) if small else found
+    # repeated rows have the same matches
+    return found.dropDuplicates(["doc_id", "text_key", "item"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:

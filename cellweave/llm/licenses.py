@@ -11,8 +11,10 @@ and the template's key phrase where it must stand.
 Everything is a column expression: no row leaves its task, and the index is a
 constant of as many entries as the templates have anchors.
 
-Edge cases: null and empty texts have no words; repeated rows are scanned each;
-without any texts the counts are zero and the index still stands.
+Edge cases: null and empty texts have no words; texts of any length are read whole;
+equal words count equally, ties in rarity go by the word; repeated rows are scanned
+each; without any texts the counts are zero, the index still stands, and there are no
+rows. Columns named like the added ones (``n_words, base, matches``) are replaced.
 """
 
 from __future__ import annotations

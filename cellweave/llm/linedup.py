@@ -9,7 +9,9 @@ partial counts, one for each partition, are then added up.
 
 Edge cases: null and empty texts have one empty line; rows that share a
 ``doc_id`` count as one document, null being one id; identical rows get the
-same bitmap; lines of any length are hashed whole.
+same bitmap; lines and texts of any length are read whole; an empty table gives no
+rows. Columns besides ``doc_id`` and ``text`` are carried by :func:`without_lines`
+under names of their own and never referred to.
 """
 
 from __future__ import annotations

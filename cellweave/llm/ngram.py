@@ -23,7 +23,8 @@ files remain until the shared folder is cleared.
 The order is two: three would need, for these texts, about 15 bytes a token for
 keys and probabilities alone, which is all the disk that an input may take.
 
-Edge cases: null and empty texts are one end; a null ``doc_id`` is held out (its
+Edge cases: null and empty texts are one end; texts of any length are read whole;
+columns besides ``doc_id`` and ``text`` are not read, whatever their names; a null ``doc_id`` is held out (its
 remainder is taken of an empty text's checksum, 0); repeated rows count each;
 without training texts every token has probability 1/(V+1) = 1.
 """

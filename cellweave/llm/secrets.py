@@ -16,7 +16,9 @@ at least one of the two being assigned or strong. Parts are dealt to slices of
 text's length, and the join is a semi-join: no pairs are made.
 
 Edge cases: null and empty texts have no spans; identical rows give identical
-results; texts of any length are scanned whole.
+results; texts and tokens of any length are scanned whole; spans that begin at the
+same place are ordered by kind; an empty table gives no rows. Columns besides
+``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,11 +2,15 @@
 
 A batch's texts lie one behind another in one UTF-8 buffer. A word's hash is a
 polynomial in its bytes, taken from one running sum over the buffer, then mixed.
+Such polynomials modulo 2^64 can be made to collide by long words of a certain
+pattern (Thue-Morse words from about a thousand letters on), so words of more than
+``LONG_WORD`` bytes are hashed by BLAKE2 instead.
 Memory is a small multiple of :data:`CHUNK_BYTES`, or of the longest text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+LONG_WORD = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 
@@ -33,6 +38,8 @@ BLANK = _table({0x20, *range(0x09, 0x0E)})
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[0x41:0x5B] += np.uint64(0x20)
 
+_LOWER_BYTES = bytes(i + 0x20 if 0x41 <= i < 0x5B else i for i in range(256))
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -109,6 +116,9 @@ def words_of(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, first: int
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_LOWER[data] * up[:n], out=total[1:])
     hashed = mix((total[end] - total[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        lower = data[start[i] : end[i]].tobytes().translate(_LOWER_BYTES)
+        hashed[i] = int.from_bytes(hashlib.blake2b(lower, digest_size=8).digest(), "little")
     begin = np.searchsorted(start, bounds)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(begin))
     return Words(first, len(bounds) - 1, text, hashed, start, end, data, begin, bounds, total)

@@ -94,7 +94,7 @@ def test_licenses_at_every_place(spark):
 
 
 def test_packing(docs):
-    got = packing.packed(docs, max_len=64, n_buckets=3, budget=256, pieces_a_shard=5).collect()
+    got = packing.packed(docs, max_len=64, n_buckets=3, budget=256).collect()
     total = Counter()
     for r in got:
         assert r.n_tokens <= r.padded_len
@@ -211,5 +211,14 @@ def test_quality(spark, docs):
     assert quality.keep_good(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_long_words_don_t_collide():
+    """Thue-Morse words over two letters have the same polynomial modulo 2^64, whatever its base."""
+    from cellweave.llm.tokens import string_hash
+
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate({97: 98, 98: 97})
+    assert len({*string_hash(f"{one} {other} {one.upper()}")}) == 2
+
+
 def test_names():
     assert {q.split("_")[0] for q in entry.QUERIES} == {f"op{n}" for n in range(1, 11)}
