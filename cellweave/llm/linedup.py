@@ -1,4 +1,4 @@
-"""Lines that many documents share: which to drop, as compressed bitmaps.
+"""Lines that many documents share: which to keep, as compressed bitmaps.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z
 lower-cased; an empty key is never shared. Keys are 128-bit hashes. Lines are
@@ -163,33 +163,59 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     return gone.select("doc_id", "text_key", F.size("at").cast("bigint").alias("n_dropped"), _packed("at").alias("dropped"))
 
 
-def _kept(text: str | None, dropped: bytes | None) -> tuple[str, int]:
-    lines = (text or "").split("\n")
-    n = len(lines)
+def keep_bitmaps(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n_lines, n_dropped, kept`` for every row: a compressed bitmap with a bit for each line, set where it stays."""
+
+    @F.pandas_udf(T.BinaryType())
+    def turned(n_lines: pd.Series, bitmap: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(np.packbits(_stays(n, d)).tobytes()) for n, d in zip(n_lines, bitmap, strict=True)])
+
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    d = dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n_dropped", "dropped")
+    each = docs.select("doc_id", _text_key(), n_lines.alias("n_lines"))
+    both = each.join(d, each["doc_id"].eqNullSafe(d["__id"]) & (each["text_key"] == d["__key"]), "left")
+    return both.select("doc_id", "text_key", "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"), turned("n_lines", "dropped").alias("kept"))
+
+
+def _stays(n: int, dropped: bytes | None) -> np.ndarray:
+    """For each of ``n`` lines whether it stays."""
+    out = np.ones(n, bool)
     if dropped is not None:
         bits = np.unpackbits(np.frombuffer(zlib.decompress(dropped), np.uint8))[:n]
-        lines = [x for x, b in zip(lines, bits, strict=False) if not b] + lines[len(bits) :]
-    return "\n".join(lines), n
+        out[: len(bits)] = bits == 0
+    return out
+
+
+def runs_of(stays: np.ndarray) -> str:
+    """A bitmap as the lengths of its runs of kept, dropped, kept, ... lines."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], stays, [not stays[-1]]]).astype(np.int8)))
+    return ",".join(map(str, np.diff(np.concatenate([[0], edges])).tolist()))
+
+
+def _kept(text: str | None, dropped: bytes | None) -> tuple[str, np.ndarray]:
+    lines = (text or "").split("\n")
+    stays = _stays(len(lines), dropped)
+    return "\n".join(x for x, s in zip(lines, stays.tolist(), strict=True) if s), stays
 
 
 def without_lines(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) -> DataFrame:
     """``docs`` with the marked lines gone from ``text``.
 
-    With ``digest`` instead ``doc_id, n_lines, n_dropped, kept_sha256``.
+    With ``digest`` instead ``doc_id, n_lines, n_dropped, kept_sha256, keep_runs``.
     """
     keyed = docs.withColumn("__text_key", _text_key())
     b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n_dropped", F.col("dropped").alias("__dropped"))
     both = keyed.join(b, keyed["doc_id"].eqNullSafe(b["__id"]) & (keyed["__text_key"] == b["__key"]), "left")
     if digest:
 
-        @F.pandas_udf("n_lines long, kept_sha256 string")
+        @F.pandas_udf("n_lines long, kept_sha256 string, keep_runs string")
         def summed(text: pd.Series, dropped: pd.Series) -> pd.DataFrame:
             out = [_kept(t, d) for t, d in zip(text, dropped, strict=True)]
             sha = [hashlib.sha256(t.encode()).hexdigest() for t, _ in out]
-            return pd.DataFrame({"n_lines": [n for _, n in out], "kept_sha256": sha})
+            return pd.DataFrame({"n_lines": [len(s) for _, s in out], "kept_sha256": sha, "keep_runs": [runs_of(s) for _, s in out]})
 
         done = both.select(docs["doc_id"], F.coalesce(b["n_dropped"], F.lit(0)).cast("bigint").alias("n_dropped"), summed(docs["text"], "__dropped").alias("x"))
-        return done.select("doc_id", "x.n_lines", "n_dropped", "x.kept_sha256")
+        return done.select("doc_id", "x.n_lines", "n_dropped", "x.kept_sha256", "x.keep_runs")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, dropped: pd.Series) -> pd.Series:
@@ -211,8 +237,12 @@ WITH lines AS (
       SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
              generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
       FROM documents))),
-shared AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.key IS NOT NULL) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
-FROM lines l LEFT JOIN shared s ON l.key = s.key GROUP BY doc_id
+shared AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT l.doc_id, l.pos, l.line, s.key IS NOT NULL AS gone FROM lines l LEFT JOIN shared s ON l.key = s.key),
+islands AS (SELECT doc_id, gone, pos, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS g FROM marked),
+runs AS (SELECT doc_id, gone, min(pos) AS first, count(*) AS n FROM islands GROUP BY doc_id, gone, g),
+coded AS (SELECT doc_id, CASE WHEN bool_or(gone AND first = 1) THEN '0,' ELSE '' END || string_agg(n, ',' ORDER BY first) AS keep_runs FROM runs GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256, any_value(keep_runs) AS keep_runs
+FROM marked JOIN coded USING (doc_id) GROUP BY doc_id
 """.replace("lower_az(btrim)", "translate(btrim, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .shared import keep, table
 from .tokens import ALNUM, Words, chunks, mix, string_hash
 
-MAX_LABELLED, MAX_UNLABELLED = 50_000, 50_000
+MAX_LABELLED, MAX_UNLABELLED = 20_000, 20_000
 FDR, MIN_TEXTS, ROUNDS, MIN_CORRELATION, L2, THRESHOLD = 0.05, 4, 8, 0.1, 0.3, 0.7
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 LEVELS = (1, 2, 4)
@@ -379,22 +379,28 @@ class Classifier:
     weights: np.ndarray  #: of each feature
 
 
-def fitted(hits: list[np.ndarray], target: np.ndarray, n_features: int, l2: float = L2, rounds: int = 1000) -> Classifier:
-    """Logistic regression on soft targets, by accelerated gradient steps with a bound on the curvature."""
-    row = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
-    col = np.concatenate(hits) if len(row) else np.zeros(0, int)
-    per_row, w, b = np.bincount(row, minlength=len(hits)), np.zeros(n_features), 0.0
-    step = 1 / (0.25 * np.maximum(np.bincount(col, weights=per_row[row] + 1.0, minlength=n_features), 1) + l2)
-    step_b = 1 / (0.25 * max(1.0, (per_row + 1.0).sum()))
+def fitted(n_hits: np.ndarray, hits: np.ndarray, target: np.ndarray, n_features: int, l2: float = L2, rounds: int = 1000) -> Classifier:
+    """Logistic regression on soft targets, by accelerated gradient steps with a bound on the curvature, until steps are tiny.
+
+    ``n_hits`` are the numbers of features of each text, ``hits`` the features, text after text.
+    """
+    n = len(n_hits)
+    row = np.repeat(np.arange(n, dtype=np.int32), n_hits)
+    w, b = np.zeros(n_features), 0.0
+    step = 1 / (0.25 * np.maximum(np.bincount(hits, weights=(n_hits + 1.0)[row], minlength=n_features), 1) + l2)
+    step_b = 1 / (0.25 * max(1.0, (n_hits + 1.0).sum()))
     w1, b1, t = w, b, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(b1 + np.bincount(row, weights=w1[col], minlength=len(hits)), -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(b1 + np.bincount(row, weights=w1[hits], minlength=n), -500, 500)))
         g = p - target
-        w2 = w1 - step * (np.bincount(col, weights=g[row], minlength=n_features) + l2 * w1)
+        w2 = w1 - step * (np.bincount(hits, weights=g[row], minlength=n_features) + l2 * w1)
         b2 = b1 - step_b * g.sum()
+        moved = max(np.abs(w2 - w).max(initial=0), abs(b2 - b))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w1, b1 = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
+        if moved < 1e-4:
+            break
     return Classifier(float(b), w)
 
 
@@ -405,9 +411,12 @@ def learned(found: DataFrame, lexicon: Lexicon) -> tuple[LabelModel, Classifier]
     model = label_model(ballots, lexicon)
     # two samples of bounded size
     own = found.where("toxic IS NOT NULL").unionByName(_sampled(found.where("toxic IS NULL"), MAX_UNLABELLED))
-    rows = own.select("doc_id", "hits", "ballot").toPandas().sort_values(["doc_id", "ballot"])
-    target = model.posterior(_bits(rows["ballot"].to_numpy()))
-    return model, fitted([np.asarray(h, dtype=np.int64) for h in rows["hits"]], target, lexicon.n_features)
+    rows = own.select("doc_id", "hits", "ballot").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("ballot", "ascending")])
+    if not rows.num_rows:
+        return model, Classifier(0.0, np.zeros(lexicon.n_features))
+    lists = rows.column("hits").combine_chunks()
+    target = model.posterior(_bits(rows.column("ballot").to_numpy()))
+    return model, fitted(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), target, lexicon.n_features)
 
 
 def scored(found: DataFrame, classifier: Classifier) -> DataFrame:

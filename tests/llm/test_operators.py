@@ -39,20 +39,30 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("min_docs", [2, 3])
-def test_line_dedup(spark, docs, min_docs):
+@pytest.mark.parametrize("min_docs, keep_first", [(2, False), (3, False), (2, True)])
+def test_line_dedup(spark, docs, min_docs, keep_first):
     key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
-    seen = {}
-    for i, t, *_ in rows():
-        for x in (t or "").split("\n"):
+    seen, first = {}, {}
+    # null ids come before others
+    for i, t, *_ in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0)):
+        for n, x in enumerate((t or "").split("\n")):
             seen.setdefault(key(x), set()).add(i)
-    got = by_id(linedup.without_lines(docs, linedup.drop_bitmaps(docs, min_docs), digest=True))
+            first.setdefault(key(x), (i, n))
+    bitmaps = linedup.drop_bitmaps(docs, min_docs, keep_first)
+    got, kept = by_id(linedup.without_lines(docs, bitmaps, digest=True)), by_id(linedup.keep_bitmaps(docs, bitmaps))
     for i, t, *_ in rows():
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not key(x) or len(seen[key(x)]) < min_docs]
+        stays = [not key(x) or len(seen[key(x)]) < min_docs or (keep_first and first[key(x)] == (i, n)) for n, x in enumerate(lines)]
+        whole = "\n".join(x for x, s in zip(lines, stays) if s)
         r = got[i]
-        assert (r.n_lines, r.n_dropped, r.kept_sha256) == (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
-    out = linedup.without_lines(docs, linedup.drop_bitmaps(docs, min_docs))
+        assert (r.n_lines, r.n_dropped, r.kept_sha256) == (len(lines), stays.count(False), hashlib.sha256(whole.encode()).hexdigest())
+        bits, runs = [], [int(n) for n in r.keep_runs.split(",")]
+        for k, n in enumerate(runs):
+            bits += [k % 2 == 0] * n
+        assert bits == stays
+        packed = zlib.decompress(kept[i].kept)
+        assert [bool(packed[n // 8] >> (7 - n % 8) & 1) for n in range(len(lines))] == stays and kept[i].n_dropped == stays.count(False)
+    out = linedup.without_lines(docs, bitmaps)
     assert out.columns == docs.columns and out.count() == len(rows())
 
 
