@@ -17,8 +17,9 @@ Files lie in the folder all executors share, are written under a temporary name
 and then renamed, so a repeated task does no harm. Scoring maps them (from other
 file systems than a mounted one, a copy whose name is removed at once) and looks
 up each batch's distinct words and pairs in sorted order. A worker's memory thus
-holds its batches, not the model. Only sums by shard come to the driver. The
-files remain until the shared folder is cleared.
+holds its batches, not the model. Only sums by shard come to the driver. Shards
+grow in number with the texts' bytes, not in size. The query deletes the files when
+its scores are stored; :func:`train` alone leaves them to the caller.
 
 The order is two: three would need, for these texts, about 15 bytes a token for
 keys and probabilities alone, which is all the disk that an input may take.
@@ -46,10 +47,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_folder, keep, table
+from .shared import fresh_folder, keep, removed, stored, table
 from .tokens import BLANK, Words, chunks, mix
 
-FOLDS, TOKENS_A_SHARD, BUFFER = 10, 4_000_000, 2_000_000
+FOLDS, TOKENS_A_SHARD, BYTES_A_SHARD, BUFFER = 10, 4_000_000, 16_000_000, 2_000_000
 END = np.uint64(0x3C9F51B7A0D24E68)
 _U64, _U32 = np.dtype("<u8"), np.dtype("<u4")
 
@@ -369,8 +370,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 def train(docs: DataFrame) -> Model:
     """The model of all of ``docs``."""
     spark = docs.sparkSession
-    folder, shards = fresh_folder(spark, "ngrams"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("text")
+    folder, texts = fresh_folder(spark, "ngrams"), docs.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_SHARD))
     words = texts.mapInArrow(lambda it: _count_words(shards, it), _BLOB).groupBy("shard")
     merged = words.applyInArrow(lambda t: _merge_words(folder, t), "shard int, n bigint, total bigint").collect()
     model = Model(folder, shards, {r.shard: (r.n, r.total) for r in merged})
@@ -437,5 +439,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(~held_out()))
-    out = scored(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
+    out = stored(scored(docs, model))[0].withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
+    removed(spark, model.folder)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
