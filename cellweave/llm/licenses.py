@@ -1,12 +1,14 @@
 """Licence notices in texts, by a positional index of the notices' rarest words.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. One
-pass counts in how many texts each template word occurs. A template is indexed
-under its ``anchors`` rarest words by that count, each with its place. A second
-pass looks up every index word of a text, takes the text place less the template
-place as a vote for where the template begins, and weighs the votes by inverse
-document frequency. Every beginning counts that has ``threshold`` of all weight
-and the template's key phrase where it must stand.
+pass counts in how many texts each template word occurs. The index has the postings
+(template, place) of each template's ``anchors`` rarest words by that count. A
+second pass looks up those of a text's words that are in it, which are its licence
+words of the highest inverse document frequency, whatever template they are of. The
+text place less the template place is a vote for where the template begins, weighed
+by inverse document frequency; votes are intersected by sorting them by template and
+beginning. Every beginning counts that has ``threshold`` of all weight and the
+template's key phrase where it must stand.
 
 Everything is a column expression: no row leaves its task, and the index is a
 constant of as many entries as the templates have anchors.
@@ -115,24 +117,32 @@ def license_matches(
         )
     found = found.withColumn("base", F.expr(f"array_sort(concat({', '.join(each)}))"))
 
-    made = []
-    for t, entries in zip(templates, index, strict=True):
-        total = sum(w for *_, w in entries)
-        votes = ", ".join(
-            f"transform(filter(__hits, h -> h.w = '{w}'), h -> struct(h.i - {i} AS d, cast({weight!r} AS double) AS x))" for w, i, weight in entries
-        )
-        start = "cast(struct(NULL AS d, 0D AS x, array() AS found) AS struct<d:int,x:double,found:array<struct<d:int,x:double>>>)"
-        found_so_far = f"IF(a.x >= {threshold * total!r}D, concat(a.found, array(named_struct('d', a.d, 'x', a.x))), a.found)"
-        step = f"named_struct('d', v.d, 'x', IF(a.d = v.d, a.x + v.x, v.x), 'found', IF(a.d = v.d, a.found, {found_so_far}))"
-        # votes in order of the beginning they stand for, so that equal ones add up
-        enough = f"aggregate(array_sort(concat({votes})), {start}, (a, v) -> {step}, a -> {found_so_far})"
-        offset = t.text.split(t.phrase)[0].count(" ")
-        made.append(
-            f"transform(filter({enough}, b -> {stands(f'b.d + {offset}', t.phrase)}),"
-            f" b -> struct('{t.label}' AS label, least(b.x / {total!r}D, 1D) AS score, b.d AS at))"
-        )
+    # one lookup for all templates: a template's number and a word's place in it
+    postings: dict[str, list[str]] = {}
+    for n, entries in enumerate(index):
+        for w, i, weight in entries:
+            postings.setdefault(w, []).append(f"named_struct('t', {n}, 'i', {i}, 'x', cast({weight!r} AS double))")
+    lookup = ", ".join(f"'{w}', array({', '.join(p)})" for w, p in sorted(postings.items()))
+    totals = [sum(w for *_, w in entries) for entries in index]
+    of = lambda values, t: f"element_at(array({', '.join(values)}), {t} + 1)"
+    kind = "array<struct<t:int,d:int,x:double>>"
+    votes = f"flatten(transform(__hits, h -> transform(coalesce(element_at(map({lookup}), h.w), array()), p -> named_struct('t', p.t, 'd', h.i - p.i, 'x', p.x))))"
+    start = f"named_struct('t', cast(NULL AS int), 'd', cast(NULL AS int), 'x', 0D, 'found', cast(array() AS {kind}))"
+    needed = of([f"{threshold * x!r}D" for x in totals], "a.t")
+    found_so_far = f"IF(a.x >= {needed}, concat(a.found, array(named_struct('t', a.t, 'd', a.d, 'x', a.x))), a.found)"
+    same = "a.t = v.t AND a.d = v.d"
+    step = f"named_struct('t', v.t, 'd', v.d, 'x', IF({same}, a.x + v.x, v.x), 'found', IF({same}, a.found, {found_so_far}))"
+    # votes in order of the beginning they stand for, so that equal ones add up
+    enough = f"aggregate(array_sort(cast({votes} AS {kind})), {start}, (a, v) -> {step}, a -> {found_so_far})"
+    phrases = [t.phrase for t in templates]
+    at = "(b.d + " + of([str(t.text.split(t.phrase)[0].count(" ")) for t in templates], "b.t") + ")"
+    part = f"array_join(slice(__words, greatest({at}, 0) + 1, {of([str(len(p.split())) for p in phrases], 'b.t')}), ' ')"
+    phrase = of([f"'{p}'" for p in phrases], "b.t")
+    proved = f"{at} >= 0 AND lower({part}) = {phrase} AND octet_length({part}) = octet_length({phrase})"
+    label, score = of([f"'{t.label}'" for t in templates], "b.t"), f"least(b.x / {of([f'{x!r}D' for x in totals], 'b.t')}, 1D)"
+    matches = f"transform(filter({enough}, b -> {proved}), b -> struct({label} AS label, {score} AS score, b.d AS at))"
     none = "cast(array() AS array<struct<label:string,score:double,at:int>>)"
-    return found.withColumn("matches", F.expr(f"CASE WHEN size(__hits) = 0 THEN {none} ELSE concat({', '.join(made)}) END")).drop("__words", "__hits")
+    return found.withColumn("matches", F.expr(f"CASE WHEN size(__hits) = 0 THEN {none} ELSE {matches} END")).drop("__words", "__hits")
 
 
 def op3_rare_word_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,47 @@ def test_op3(spark, folder):
         assert r.labels == ",".join(sorted(set(filter(None, r.labels.split(",")))))
 
 
+def test_op3_labels_and_scores(spark, tmp_path):
+    """The method's own part by plain Python, on notices that are whole, damaged, repeated and run together."""
+    import math
+
+    from cellweave.llm import licenses
+
+    rnd = random.Random(6)
+    texts = [None, ""]
+    for i in range(160):
+        words = []
+        for _ in range(rnd.randrange(4)):
+            notice = rnd.choice(licenses.TEMPLATES).text.split()
+            for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+                notice[rnd.randrange(len(notice))] = rnd.choice(["the", "license", "x", "version", "5"])
+            words += [*rnd.choices(["of", "this", "text", "GNU", "mozilla"], k=rnd.randrange(9)), *notice]
+        texts.append(" ".join(words).upper() if i % 5 == 0 else ", ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = [WORD.findall(low(t)) for t in texts]
+    df = Counter(w for t in split for w in set(t))
+    idf = lambda w: math.log1p(len(texts) / (1 + df[w]))
+    base = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    some = 0
+    for r in entry.QUERIES["op3_rare_word_index"](spark, str(tmp_path)).collect():
+        w, labels, score = split[r.doc_id], set(), 0.0
+        for t in licenses.TEMPLATES:
+            own = t.text.split()
+            rare = sorted(set(own), key=lambda x: (-idf(x), x))[: licenses.ANCHORS]
+            anchors = [(x, i) for i, x in enumerate(own) if x in rare]
+            total, need = sum(idf(x) for x, _ in anchors), t.phrase.split()
+            at = t.text.split(t.phrase)[0].count(" ")
+            for d in range(-len(own), len(w)):
+                got = sum(idf(x) for x, i in anchors if 0 <= d + i < len(w) and w[d + i] == x)
+                if got >= licenses.THRESHOLD * total - 1e-12 and d + at >= 0 and w[d + at : d + at + len(need)] == need:
+                    labels.add(t.label)
+                    score = max(score, min(got / total, 1.0))
+        some += bool(labels)
+        labels |= {label for p, label in base.items() if any(w[j : j + len(p.split())] == p.split() for j in range(len(w)))}
+        assert r.labels == ",".join(sorted(labels)) and abs(r.score - score) < 1e-9, r.doc_id
+    assert some > 40
+
+
 def test_op4(spark, folder):
     _, got = result(spark, folder, "op4_length_buckets")
     pieces = []
