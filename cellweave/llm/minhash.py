@@ -24,8 +24,8 @@ never listed; two steps find its links:
    text's difference ``D`` from the lead. Two texts ``a, b`` of sizes ``n`` reach
    the threshold ``t`` only if ``|Da ^ Db| <= (na + nb) (1 - t) / (1 + t)``, so
    their differences must be largely the same: with the items of ``D`` in one
-   order (what the lead lacks first, rare before frequent; then what only the lead
-   has, what most others have before the rest), they have a common item
+   order (first what few texts have and the lead lacks, then what most have and the
+   lead, too; last what nearly all differ in from the lead), they have a common item
    among the first few of both, and what follows it bounds their overlap. Pairs
    that meet there are compared in full. The number of items that are looked at
    follows from the sizes alone, see :func:`_prefix`; nothing is capped, and texts
@@ -225,9 +225,9 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE, wanted: DataFrame | None = N
 
 
 def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``pairs`` and the runs of ``a`` and ``b``, ``ra`` and ``rb``; a text ``a`` in many pairs is dealt over ``SALTS`` tasks."""
+    """``pairs``, the runs of ``a`` and ``b``, ``ra`` and ``rb``, and what else ``left`` has; a text ``a`` in many pairs is dealt over ``SALTS`` tasks."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    of_a = salted.select("a", "salt").distinct().join(left.select(F.col("node").alias("a"), F.col("runs").alias("ra")), "a")
+    of_a = salted.select("a", "salt").distinct().join(left.withColumnsRenamed({"node": "a", "runs": "ra"}), "a")
     return salted.join(right.select(F.col("node").alias("b"), F.col("runs").alias("rb")), "b").join(of_a, ["a", "salt"]).drop("salt")
 
 
@@ -333,13 +333,23 @@ def _further_links(members: DataFrame, labels: DataFrame, runs: DataFrame, thres
     spokes = apart.where("node <> lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg((F.max("size") > 2).alias("more"))
     # a text's own runs that no one else has come first in its difference; as they can't be met, their number will do
     shared = coded.select("node", F.filter("runs", lambda x: x >= _SHARED).alias("runs"))
-    both = _joined(spokes, coded, shared).select(
-        "a", "b", "more", F.size("ra").alias("nl"), F.size(F.array_intersect("ra", "rb")).alias("i"),
-        F.concat(F.array_sort(F.array_except("rb", "ra")), F.sort_array(F.array_except("ra", "rb"), asc=False)).alias("items"),
+    # in differences from one lead, rare items are what few texts have and the lead lacks, and what most have and the lead, too
+    hubs = spokes.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("g"))
+    hubs = coded.select("node", "runs").join(hubs, "node").withColumn("many", F.shiftleft(F.greatest(F.floor(F.log2("g")) - 1, F.lit(1)).cast("bigint"), 57)).drop("g")
+    more, less = (F.array_except(*x) for x in (("rb", "ra"), ("ra", "rb")))
+    few = lambda x: x < F.col("many")
+    # what only the lead has is in all differences, so it is last, and one item stands for all of it
+    own = lambda x: x < _SHARED
+    both = _joined(spokes, hubs, shared).select(
+        "a", "b", "more", F.size("ra").alias("nl"), F.size(F.array_intersect("ra", "rb")).alias("i"), (F.size(more) + F.size(less)).alias("met"),
+        F.concat(
+            F.array_sort(F.filter(more, few)), F.sort_array(F.filter(less, lambda x: ~few(x)), asc=False), F.sort_array(F.filter(less, lambda x: few(x) & ~own(x)), asc=False),
+            F.array_sort(F.filter(more, lambda x: ~few(x))), F.slice(F.array_sort(F.filter(less, own)), 1, 1),
+        ).alias("items"),
     )
     sized = both.join(coded.select(F.col("node").alias("b"), "n"), "b").withColumn("d", F.col("n") + F.col("nl") - 2 * F.col("i"))
     stars = sized.withColumn("far", F.col("i") < F.lit(threshold) * (F.col("n") + F.col("nl") - F.col("i")))
-    stars = stars.withColumn("lone", F.col("d") - F.size("items")).withColumn("p", _prefix(threshold))
+    stars = stars.withColumn("lone", F.col("d") - F.col("met")).withColumn("p", _prefix(threshold))
     looked_at = F.expr("IF(more, slice(items, 1, greatest(p - lone, 0)), cast(array() AS array<bigint>))")
     stars = keep(stars.select("a", "b", "n", "d", "far", "lone", looked_at.alias("items")))
     links = stars.where("NOT far").select("a", "b")
@@ -370,7 +380,7 @@ def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each_class(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` with only the first row (by ``doc_id``) of each near-duplicate class; wordless rows all stay.
 
-    Of rows that are the same in id and text, and not wordless, any one stays.
+    Of rows that are the same in id and text, and not wordless, the one whose JSON text is the least stays.
     """
     classes = near_classes(docs.select("doc_id", "text"), **options)
     stay = classes.where("stays").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
@@ -380,5 +390,5 @@ def keep_one_of_each_class(docs: DataFrame, **options: float) -> DataFrame:
     left = own.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")))
     # one of the rows that are the same in id and text; wordless texts excepted, which are classes of one
     twice = (F.col("__rows") > 1) & (F.col("__size") > 1)
-    first = left.where(twice).groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
+    first = left.where(twice).groupBy("__id", "__key").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
     return left.where(~twice).select("__row").unionByName(first.select("__row")).select("__row.*")

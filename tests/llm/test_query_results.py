@@ -212,6 +212,30 @@ def test_op5(spark, folder):
         assert [int(s) for _, s, _ in spans] == sorted(int(s) for _, s, _ in spans)
 
 
+def test_op5_links_by_all_pairs(spark, tmp_path):
+    """Weak parts are reported just where some pair of parts within the scope says so."""
+    from cellweave.llm import secrets
+
+    rnd = random.Random(8)
+    bits = ["user=ann", "login: bob", "pwd=abc1", "token: xy12", "Ab3" * 8, "db.example.com:5432", "https://h.org/x", "10.0.0.1", "AKIA" + "Q7" * 9, "deadbeef" * 3, "secret='abcdefghijklmnop'"]
+    texts = [None, ""]
+    for _ in range(200):
+        texts.append(" ".join(rnd.choice(bits) + " " + "fill " * rnd.choice([0, 1, 5, 38, 39, 40, 80]) for _ in range(rnd.randrange(7))))
+    texts.append("user=ann " + "word " * 30000 + "token: xy12 login: bob")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    some = 0
+    for r in entry.QUERIES["op5_credential_links"](spark, str(tmp_path)).collect():
+        strong = plain_secrets(texts[r.doc_id])
+        parts = [(k, "identifier" if k == "access" else "secret", True, True, a, e) for k, a, e in strong]
+        parts += [(k, c, named, False, a, e) for k, c, named, a, e in secrets.weak_parts(texts[r.doc_id] or "", strong)]
+        near = lambda p, q: q[4] - p[5] <= secrets.SCOPE and p[4] - q[5] <= secrets.SCOPE
+        weak = {p[0::4] + p[5:] for p in parts if not p[3] and any(q[1] != p[1] and (p[2] or q[2]) and near(p, q) for q in parts)}
+        got = {(k, int(a), int(e)) for k, a, e in (x.split(":") for x in r.spans.split(",") if x)}
+        assert got == weak | {tuple(x) for x in strong}, r.doc_id
+        some += len(weak)
+    assert some > 100
+
+
 def test_op6(spark, folder):
     win = {}
     for i, t in ITEMS:
