@@ -40,7 +40,7 @@ def keep(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df``, written as a table to the shared folder and read from there, and the table's path for :func:`removed`."""
     path = fresh_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
