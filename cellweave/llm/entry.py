@@ -13,6 +13,8 @@ from .minhash import op1_bag_minhash
 from .ngram import op7_kneser_ney
 from .packing import op4_length_buckets
 from .quality import op9_risk_controlled
+from .resample import OP13_SQL, op13_id_tuples
+from .search import OP11_SQL, op11_term_postings
 from .secrets import op5_credential_links
 from .toxicity import op10_weak_supervision
 from .urls import OP8_SQL, op8_blocked_bloom
@@ -28,9 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_blocked_bloom": op8_blocked_bloom,
     "op9_risk_controlled": op9_risk_controlled,
     "op10_weak_supervision": op10_weak_supervision,
+    "op11_term_postings": op11_term_postings,
+    "op13_id_tuples": op13_id_tuples,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op8_blocked_bloom": OP8_SQL,
+    "op11_term_postings": OP11_SQL,
+    "op13_id_tuples": OP13_SQL,
 }

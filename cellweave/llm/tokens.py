@@ -124,16 +124,25 @@ def words_of(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, first: int
     return Words(first, len(bounds) - 1, text, hashed, start, end, data, begin, bounds, total)
 
 
-def chunks(column: pa.Array, kind: np.ndarray) -> Iterator[Words]:
-    """The words of a column's texts, whole texts at a time."""
+def chunks(column: pa.Array, kind: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[Words]:
+    """The words of a column's texts, whole texts at a time, of up to ``size`` bytes or one text."""
     data, bounds = buffer_of(column)
     i, n = 0, len(bounds) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + size, "right")) - 1)
         yield words_of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], kind, i)
         i = j
 
 
+def lower_texts(w: Words, which: np.ndarray) -> pa.Array:
+    """The words of the numbers ``which`` as strings, A-Z lower-cased."""
+    size = w.end[which] - w.start[which]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offsets[-1]) + np.repeat(w.start[which] - offsets[:-1], size)
+    letters = np.frombuffer(_LOWER_BYTES, dtype=np.uint8)[w.data[at]]
+    return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes()))
+
+
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``k`` words within a text, and the number of its first word."""
     n = len(w.hash) - k + 1
