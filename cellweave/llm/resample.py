@@ -119,6 +119,15 @@ def gumbel(doc_id: Column, seed: str = SEED) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
 
 
+def _with_place(no: Column, gain: Column) -> Column:
+    """Both in one number, which sorts by ``no``; gains are within 32 bits, as logarithms of doubles are."""
+    return no.cast("bigint") * (1 << 32) + gain + (1 << 31)
+
+
+def _without_place(x: Column) -> Column:
+    return x.bitwiseAND((1 << 32) - 1) - (1 << 31)
+
+
 def weighed(docs: DataFrame, target: DataFrame, n: int = N_GRAM, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, n_words, n_features, weight`` of each row, stored in the shared folder; ``target`` has ``text``."""
     spark = docs.sparkSession
@@ -130,10 +139,10 @@ def weighed(docs: DataFrame, target: DataFrame, n: int = N_GRAM, buckets: int =
     # of ``buckets`` rows at most
     each = corpus.select("gram", "bucket").join(F.broadcast(gains), "bucket").select("gram", "gain")
     # as many as the part's few megabytes, or its one text, have distinct n-grams
-    back = own.select("part", "no", "gram").join(each, "gram").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("no", "gain"))).alias("g"))
+    back = own.select("part", "no", "gram").join(each, "gram").groupBy("part").agg(F.array_sort(F.collect_list(_with_place(F.col("no"), F.col("gain")))).alias("g"))
     weight = "aggregate(zip_with(d.gram, d.count, (g, c) -> c * element_at(gains, g + 1)), 0L, (a, x) -> a + x)"
     rows = f"transform(docs, d -> struct(d.doc_id AS doc_id, d.n_words AS n_words, d.n_features AS n_features, {weight} AS weight))"
-    joined = parts.select("part", "docs").join(back.select("part", F.col("g.gain").alias("gains")), "part", "left")
+    joined = parts.select("part", "docs").join(back.select("part", F.transform("g", _without_place).alias("gains")), "part", "left")
     out, _ = stored(joined.select(F.inline(F.expr(rows))))
     for p in (at_parts, at_corpus, at_gains):
         removed(spark, p)

@@ -1,14 +1,14 @@
 r"""Ranked lexical search: an index of term-bucketed postings, integer scores, the best documents of each item.
 
 Terms are runs of anything but ASCII other than letters and digits, A-Z
-lower-cased. The index has rows ``bucket, term, n_postings, postings``, of which each
-gathers a term's postings (``key, doc_id, tf, n``) in some megabytes of text, so that
-what is shuffled is aggregated before; it is partitioned by the term's ``bucket`` and
-sorted by term, and large buckets are split between tasks whatever terms they hold.
-A search joins the items' terms with the buckets they are in, scores each posting,
-deals the scored postings by document, and only there repeats them for every item
-that has the term. So the sums of an item and a document end where they are made,
-and of each task only the best documents of an item go on.
+lower-cased. The index has a row for each term in some megabytes of text, with the
+documents there that have it and how often, so that what is shuffled is gathered
+before; it is partitioned by the term's bucket and sorted by term, and large buckets
+are split between tasks whatever terms they hold. Lengths and ids of documents are
+kept once, beside it. A search joins the items' terms with the buckets they are in,
+deals only these postings by document, scores each, and there repeats it for every
+item that has the term. So the sums of an item and a document end where they are
+made, and of each task only the best documents of an item go on.
 
 A document is a row: ``key`` tells rows apart that share an id. The weight of a term
 is ``floor(1000*ln((2*N+2)/(2*df+1)))``, in doubles, and its score in a document
@@ -25,9 +25,11 @@ besides the ids and ``text`` are not read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,44 +41,58 @@ TOP, BUCKETS, LENGTH_WEIGHT = 20, 64, 25
 #: Of text whose postings are gathered in one row a term.
 GATHER_BYTES = 4 << 20
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The bucket of rows without term, and the bits that tell a task's texts apart.
+_NO_TERM, _TASK_BITS = -1, 33
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def gathered(docs: DataFrame) -> DataFrame:
-    """``term, n_postings, postings, n_docs, n_terms``; the last two are counts of the texts gathered, in one of their rows."""
+    """``first, term, n_postings, postings``, and for each part of the texts a row without term that has its ``docs``.
+
+    Texts of a part have the keys from ``first`` on. A posting is a number: the
+    text's place in the part, times 2^32, and how often the term stands in it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << _TASK_BITS
         for batch in batches:
-            keys, ids = batch.column("key"), batch.column("doc_id")
             for w in chunks(batch.column("text"), ALNUM, GATHER_BYTES):
-                if not len(w.hash):
-                    continue
-                _, first, term = np.unique(w.hash, return_index=True, return_inverse=True)
+                _, at, term = np.unique(w.hash, return_index=True, return_inverse=True)
                 pairs, tf = np.unique(term * w.n_texts + w.text, return_counts=True)
-                text = pairs % w.n_texts
-                offsets = np.searchsorted(pairs, np.arange(len(first) + 1) * w.n_texts).astype(np.int32)
-                row = pa.array(text + w.first)
-                postings = pa.StructArray.from_arrays([keys.take(row), ids.take(row), pa.array(tf, pa.int32()), pa.array(w.counts[text], pa.int32())], ["key", "doc_id", "tf", "n"])
-                once = lambda n, size=len(first): pa.array(np.where(np.arange(size) == 0, n, 0), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [lower_texts(w, first), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), postings), once(np.count_nonzero(w.counts)), once(len(w.hash))],
-                    ["term", "n_postings", "postings", "n_docs", "n_terms"],
-                )
+                offsets = np.searchsorted(pairs, np.arange(len(at) + 1) * w.n_texts).astype(np.int32)
+                postings = pa.array(((pairs % w.n_texts) << 32) | tf)
+                own = pa.StructArray.from_arrays([batch.column("doc_id").slice(w.first, w.n_texts), pa.array(w.counts, pa.int32())], ["doc_id", "n"])
+                n = len(at)
+                last = np.r_[offsets, offsets[-1]]
+                lists = pa.ListArray.from_arrays(pa.array(last), postings)
+                of_part = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(n + 1, np.int32), np.int32(w.n_texts)]), own)
+                terms = pa.concat_arrays([lower_texts(w, at), pa.nulls(1, pa.string())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, first)), terms, pa.array(np.diff(last)), lists, of_part], ["first", "term", "n_postings", "postings", "docs"])
+                first += w.n_texts
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    named = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    return named.mapInArrow(made, f"term string, n_postings int, postings array<struct<key:bigint,doc_id:{kind},tf:int,n:int>>, n_docs bigint, n_terms bigint")
+    return docs.select("doc_id", "text").mapInArrow(made, f"first bigint, term string, n_postings int, postings array<bigint>, docs array<struct<doc_id:{kind},n:int>>")
 
 
 def _bucket(buckets: int) -> F.Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    return F.when(F.col("term").isNull(), _NO_TERM).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).alias("bucket")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings and documents, read from the folder they were written to."""
+
+    postings: DataFrame  #: ``bucket, term, first, n_postings, postings``
+    documents: DataFrame  #: ``key, doc_id, n`` of texts that have a term
 
 
-def indexed(docs: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+def indexed(docs: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
     """The index of ``docs``, written to ``path``: a folder for each bucket, its files sorted by term."""
     rows = gathered(docs).select("*", _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
     rows.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    all_rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    own = all_rows.where(F.col("bucket") == _NO_TERM).select("first", F.posexplode("docs").alias("text", "d"))
+    return Index(all_rows.where(F.col("bucket") != _NO_TERM).drop("docs"), own.where("d.n > 0").select((F.col("first") + F.col("text")).alias("key"), "d.doc_id", "d.n"))
 
 
 def item_terms(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -86,24 +102,24 @@ def item_terms(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return each.groupBy("item_id", "term").agg(F.count("*").alias("q")).select("*", _bucket(buckets))
 
 
-def scored(index: DataFrame, asked: DataFrame, length_weight: int = LENGTH_WEIGHT) -> tuple[DataFrame, list[str]]:
+def scored(index: Index, asked: DataFrame, length_weight: int = LENGTH_WEIGHT) -> tuple[DataFrame, list[str]]:
     """``item_id, key, doc_id, score`` of all items and documents that share a term of some weight, and paths to remove.
 
     ``asked`` is :func:`item_terms`, stored. Whether a side is broadcast is Spark's
     choice by its bytes; where none is, hot terms are dealt as a skewed join.
     """
-    terms = asked.select("bucket", "term").distinct()
-    df = index.select("bucket", "term", "n_postings").join(terms, ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("n_postings").alias("df"))
-    # two numbers
-    n_docs, n_terms = (x or 0 for x in index.agg(F.sum("n_docs"), F.sum("n_terms")).first())
+    terms, where = asked.select("bucket", "term").distinct(), ["bucket", "term"]
+    df = index.postings.select(*where, "n_postings").join(terms, where, "left_semi").groupBy(*where).agg(F.sum("n_postings").alias("df"))
+    n_docs, n_terms = index.documents.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()  # two numbers
     w = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1).cast("double")))
-    known, at_known = stored(df.select("bucket", "term", w.alias("w"), F.monotonically_increasing_id().alias("no")).where("w > 0"))
-    wanted, at_wanted = stored(asked.join(known, ["bucket", "term"]).select("no", "item_id", "q"))
-    m = f"({100 - length_weight} + ({length_weight}L * p.n * {n_docs}L) div {max(n_terms, 1)}L)"
-    impact = F.expr(f"w * ((1000000000L * p.tf) div (1000L * p.tf + 12L * {m}))")
-    hits = index.select("bucket", "term", "postings").join(known, ["bucket", "term"]).select("no", "w", F.explode("postings").alias("p"))
-    by_doc = hits.select("no", "p.key", "p.doc_id", impact.alias("impact")).repartition("key")
-    sums = by_doc.join(wanted, "no").groupBy("item_id", "key", "doc_id").agg(F.sum(F.col("q") * F.col("impact")).alias("score"))
+    known, at_known = stored(df.select(*where, w.alias("w"), F.monotonically_increasing_id().alias("no")).where("w > 0"))
+    wanted, at_wanted = stored(asked.join(known, where).select("no", "w", "item_id", "q"))
+    hits = index.postings.select(*where, "first", "postings").join(known.select(*where, "no"), where).select("no", "first", F.explode("postings").alias("p"))
+    by_doc = hits.select((F.col("first") + F.shiftright("p", 32)).alias("key"), "no", F.col("p").bitwiseAND(0xFFFFFFFF).alias("tf")).repartition("key")
+    m = f"({100 - length_weight} + ({length_weight}L * n * {n_docs}L) div {max(n_terms, 1)}L)"
+    factor = F.expr(f"(1000000000L * tf) div (1000L * tf + 12L * {m})")
+    matches = by_doc.join(index.documents.select("key", "doc_id", F.col("n").cast("bigint").alias("n")), "key").select("key", "doc_id", "no", factor.alias("factor"))
+    sums = matches.join(wanted, "no").groupBy("item_id", "key", "doc_id").agg(F.sum(F.col("q") * F.col("w") * F.col("factor")).alias("score"))
     return sums, [at_known, at_wanted]
 
 

@@ -73,12 +73,15 @@ def test_without_broadcasts_and_with_other_parameters(spark):
 def test_index_has_every_posting_in_its_bucket(spark, tmp_path):
     docs, _ = sample(7, 40)
     d = spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in docs], DOCS)
-    rows = search.indexed(d, f"{tmp_path}/index", 8).collect()
-    got = Counter()
+    index = search.indexed(d, f"{tmp_path}/index", 8)
+    named = {r.key: (r.doc_id, r.n) for r in index.documents.collect()}
+    assert len(named) == sum(1 for _, t in docs if terms(t))
+    rows, got = index.postings.collect(), Counter()
     for r in rows:
         assert r.n_postings == len(r.postings)
         for p in r.postings:
-            got[(r.term, p.doc_id, p.tf, p.n)] += 1
+            i, n = named[r.first + (p >> 32)]
+            got[(r.term, i, p & 0xFFFFFFFF, n)] += 1
     want = Counter((t, i, n, len(terms(text))) for i, text in docs for t, n in Counter(terms(text)).items())
     assert got == want
     assert len({(r.term, r.bucket) for r in rows}) == len({r.term for r in rows})
