@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op6_positional_index
+from .extraction import op12_block_labeller
 from .licenses import op3_rare_word_index
 from .linedup import OP2_SQL, op2_line_dedup
 from .minhash import op1_bag_minhash
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_risk_controlled": op9_risk_controlled,
     "op10_weak_supervision": op10_weak_supervision,
     "op11_term_postings": op11_term_postings,
+    "op12_block_labeller": op12_block_labeller,
     "op13_id_tuples": op13_id_tuples,
 }
 
