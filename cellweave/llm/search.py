@@ -3,8 +3,8 @@ r"""Ranked lexical search: an index of term-bucketed postings, integer scores, t
 Terms are runs of anything but ASCII other than letters and digits, A-Z
 lower-cased. The index has a row for each term in some megabytes of text, with the
 documents there that have it and how often, so that what is shuffled is gathered
-before; it is partitioned by the term's bucket and sorted by term, and large buckets
-are split between tasks whatever terms they hold. Lengths and ids of documents are
+before; it is partitioned by the term's bucket and sorted by term, and buckets are
+split between tasks by the texts, whatever terms they hold. Lengths and ids of documents are
 kept once, beside it. A search joins the items' terms with the buckets they are in,
 deals only these postings by document, scores each, and there repeats it for every
 item that has the term. So the sums of an item and a document end where they are
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import fresh_folder, keep, removed, stored, table
 from .tokens import ALNUM, chunks, lower_texts
 
-TOP, BUCKETS, LENGTH_WEIGHT = 20, 64, 25
+TOP, BUCKETS, SPLITS, LENGTH_WEIGHT = 20, 64, 64, 25
 #: Of text whose postings are gathered in one row a term.
 GATHER_BYTES = 4 << 20
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -88,7 +88,9 @@ class Index:
 
 def indexed(docs: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
     """The index of ``docs``, written to ``path``: a folder for each bucket, its files sorted by term."""
-    rows = gathered(docs).select("*", _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+    rows = gathered(docs).select("*", _bucket(buckets))
+    # a term of many documents is in many parts of the texts, by which its bucket is split
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("first"), F.lit(SPLITS))).sortWithinPartitions("bucket", "term")
     rows.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
     all_rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
     own = all_rows.where(F.col("bucket") == _NO_TERM).select("first", F.posexplode("docs").alias("text", "d"))
