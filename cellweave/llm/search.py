@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from .shared import fresh_folder, keep, removed, stored, table
 from .tokens import ALNUM, chunks, lower_texts
 
 TOP, BUCKETS, SPLITS, LENGTH_WEIGHT = 20, 64, 64, 25
+#: Of items, a term and an item each, that are searched for at once.
+BLOCK_TERMS = 100_000
 #: Of text whose postings are gathered in one row a term.
 GATHER_BYTES = 4 << 20
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -104,24 +107,26 @@ def item_terms(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return each.groupBy("item_id", "term").agg(F.count("*").alias("q")).select("*", _bucket(buckets))
 
 
-def scored(index: Index, asked: DataFrame, length_weight: int = LENGTH_WEIGHT) -> tuple[DataFrame, list[str]]:
+def scored(index: Index, asked: DataFrame, totals: tuple[int, int], small: bool, length_weight: int = LENGTH_WEIGHT) -> tuple[DataFrame, list[str]]:
     """``item_id, key, doc_id, score`` of all items and documents that share a term of some weight, and paths to remove.
 
-    ``asked`` is :func:`item_terms`, stored. Whether a side is broadcast is Spark's
-    choice by its bytes; where none is, hot terms are dealt as a skewed join.
+    ``asked`` is :func:`item_terms`, stored; ``totals`` are the numbers of documents and
+    of their terms. If ``asked`` is ``small``, it and its terms are broadcast.
     """
-    terms, where = asked.select("bucket", "term").distinct(), ["bucket", "term"]
+    n_docs, n_terms = totals
+    sent = F.broadcast if small else lambda x: x
+    where = ["bucket", "term"]
+    terms = sent(asked.select(*where).distinct())
     df = index.postings.select(*where, "n_postings").join(terms, where, "left_semi").groupBy(*where).agg(F.sum("n_postings").alias("df"))
-    n_docs, n_terms = index.documents.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()  # two numbers
     w = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1).cast("double")))
     known, at_known = stored(df.select(*where, w.alias("w"), F.monotonically_increasing_id().alias("no")).where("w > 0"))
-    wanted, at_wanted = stored(asked.join(known, where).select("no", "w", "item_id", "q"))
-    hits = index.postings.select(*where, "first", "postings").join(known.select(*where, "no"), where).select("no", "first", F.explode("postings").alias("p"))
+    wanted, at_wanted = stored(asked.join(sent(known), where).select("no", "w", "item_id", "q"))
+    hits = index.postings.select(*where, "first", "postings").join(sent(known.select(*where, "no")), where).select("no", "first", F.explode("postings").alias("p"))
     by_doc = hits.select((F.col("first") + F.shiftright("p", 32)).alias("key"), "no", F.col("p").bitwiseAND(0xFFFFFFFF).alias("tf")).repartition("key")
     m = f"({100 - length_weight} + ({length_weight}L * n * {n_docs}L) div {max(n_terms, 1)}L)"
     factor = F.expr(f"(1000000000L * tf) div (1000L * tf + 12L * {m})")
     matches = by_doc.join(index.documents.select("key", "doc_id", F.col("n").cast("bigint").alias("n")), "key").select("key", "doc_id", "no", factor.alias("factor"))
-    sums = matches.join(wanted, "no").groupBy("item_id", "key", "doc_id").agg(F.sum(F.col("q") * F.col("w") * F.col("factor")).alias("score"))
+    sums = matches.join(sent(wanted), "no").groupBy("item_id", "key", "doc_id").agg(F.sum(F.col("q") * F.col("w") * F.col("factor")).alias("score"))
     return sums, [at_known, at_wanted]
 
 
@@ -131,17 +136,28 @@ def best(sums: DataFrame, top: int = TOP) -> DataFrame:
     return sums.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
 
-def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, buckets: int = BUCKETS) -> DataFrame:
-    """:func:`best` of ``docs`` for ``items``, kept in the shared folder; the index goes."""
+def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, buckets: int = BUCKETS, block: int = BLOCK_TERMS) -> DataFrame:
+    """:func:`best` of ``docs`` for ``items``, kept in the shared folder; the index goes.
+
+    Items are searched in blocks of about ``block`` terms. A block of at most twice
+    as many is broadcast; with an item that has more, its block is joined by shuffles.
+    """
     spark = docs.sparkSession
     path = fresh_folder(spark, "postings")
     index = indexed(docs, path, buckets)
     asked, at_asked = stored(item_terms(items, buckets))
-    sums, more = scored(index, asked)
-    found = keep(best(sums, top))
-    for p in (path, at_asked, *more):
+    totals = tuple(index.documents.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first())  # two numbers
+    n_blocks = max(1, -(-asked.count() // block))
+    of_block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
+    parts, paths = [], [path, at_asked]
+    for i in range(n_blocks):
+        own = asked.where(of_block == i)
+        sums, more = scored(index, own, totals, own.count() <= 2 * block)
+        parts.append(keep(best(sums, top)))
+        paths += more
+    for p in paths:
         removed(spark, p)
-    return found
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op11_term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,11 +60,12 @@ def test_best_documents(spark, monkeypatch, gather):
     assert sorted(got, key=repr) == sorted(brute(docs, items, 20), key=repr)
 
 
-def test_without_broadcasts_and_with_other_parameters(spark):
+@pytest.mark.parametrize("block", [2, 40])
+def test_in_blocks_with_and_without_broadcasts(spark, block):
     docs, items = sample(6, 60)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = [tuple(r) for r in search.ranked(spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in docs], DOCS), spark.createDataFrame([(*r, 1, 2) for r in items], ITEMS), top=3, buckets=5).collect()]
+        got = [tuple(r) for r in search.ranked(spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in docs], DOCS), spark.createDataFrame([(*r, 1, 2) for r in items], ITEMS), top=3, buckets=5, block=block).collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(got, key=repr) == sorted(brute(docs, items, 3), key=repr)
