@@ -11,6 +11,8 @@ from .grid import Order
 from .numbering import numbered
 
 MAX_EXPORT, FEED_CHUNK, REFRESH_ABOVE = 1_000_000, 500, 100
+#: A quoted field. Its parts never give characters back, so no field is too long for the matcher's stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
 
 def csv_line(columns: list[str]) -> Column:
@@ -89,15 +91,15 @@ def paste_targets(cells: DataFrame, rows: DataFrame, columns: DataFrame, top: in
 
 def csv_fields(line: Column) -> Column:
     """The fields of a CSV record; quoted ones may have commas, line breaks, and doubled quotes."""
-    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({_QUOTED}|[^,]*+)"), 1)
     bare = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(parts, lambda x: F.when(x.rlike(r'(?s)^".*"$') & (F.length(x) > 1), bare(x)).otherwise(x))
+    return F.transform(parts, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), bare(x)).otherwise(x))
 
 
 def csv_records(text: Column) -> Column:
-    """The records of a CSV text; a line break within quotes ends none."""
+    """The records of a CSV text; a line break within quotes ends none. A quote that is never closed stands for itself."""
     whole = F.concat(F.regexp_replace(text, r"\r\n|\r", "\n"), F.lit("\n"))
-    return F.regexp_extract_all(whole, F.lit(r'((?:"(?:[^"]|"")*"|[^"\n])*)\n'), 1)
+    return F.regexp_extract_all(whole, F.lit(rf'((?:{_QUOTED}|[^"\n]++|")*+)\n'), 1)
 
 
 def matrix_cells(lines: DataFrame) -> DataFrame:

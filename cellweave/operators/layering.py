@@ -7,11 +7,12 @@ source, of which the winning one counts. Nothing is updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cells import PRIORITY, canonical_column, is_writable, rank, stripped, value_text
+from ..storage import stored
 
 CELL = ["table_name", "row_id", "col"]
 
@@ -57,31 +58,68 @@ def effective(events: DataFrame, pins: DataFrame | None = None, removed: DataFra
     )
 
 
+def _carried(boxes: dict[str, Column], before: dict[str, Column], best: Column, best_before: Column) -> Column:
+    """The effective value from what a segment has by now and what was there before it, by way: pin, known sources, ``other``."""
+    ways = [F.coalesce(boxes[k], before[k]) for k in boxes if k != "other"]
+    # of unlisted sources the least rank counts; if it is the same, the later value
+    own = best.isNotNull() & (best_before.isNull() | (best <= best_before))
+    return F.coalesce(*ways, F.when(own, boxes["other"]).otherwise(before["other"]))
+
+
 def changes(events: DataFrame, pins: DataFrame | None = None) -> DataFrame:
     """``events`` and what each did: ``old_value, new_value, is_new`` (the cell's first), ``differs`` in text, ``changed``.
 
     For each known source its last value up to the event is carried along; the
     first by priority is the effective value. Of unlisted sources the least rank so
-    far is carried, and its value by a second window. A pinned source counts before
-    all others from its first event on.
+    far is carried, and its value. A pinned source counts before all others from its first event on.
+
+    Events are range-partitioned by cell and ``seq``, so a cell of any number of events
+    spans several partitions. In each of these segments values are carried along
+    by itself; what cells that span segments have at each segment's end, a row or two for
+    each segment, is carried from one to the next and joined back. Segments are stored in the shared folder.
     """
     e = events.where(is_writable(F.col("col")))
     kind = F.col("kind") if "kind" in events.columns else F.lit("str")
-    upto = W.partitionBy(*CELL).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    boxed = F.struct("value", kind.alias("kind"))
-    by = lambda cond: F.last(F.when(cond, boxed), ignorenulls=True).over(upto)
-    ways = [by(F.col("source") == s) for s in sorted(PRIORITY, key=PRIORITY.get)]
+    known = sorted(PRIORITY, key=PRIORITY.get)
     if pins is not None:
-        e = e.join(current_pins(pins), CELL, "left")
-        ways.insert(0, by(F.col("source") == F.col("pin")))
+        e = e.join(current_pins(pins).withColumnRenamed("pin", "__pin"), CELL, "left")
+    else:
+        e = e.withColumn("__pin", F.lit(None).cast("string"))
+    ordered = e.repartitionByRange(*CELL, "seq").sortWithinPartitions(*CELL, "seq")
+    parts = stored(ordered.withColumn("__part", F.spark_partition_id()))
+
     other = ~F.col("source").isin(*PRIORITY)
-    e = e.withColumn("best_other", F.min(F.when(other, rank(F.col("source")))).over(upto)["source"])
-    e = e.withColumn("now", F.coalesce(*ways, by(other & (F.col("source") == F.col("best_other")))))
-    cell = W.partitionBy(*CELL).orderBy("seq")
-    out = e.withColumns({"before": F.lag("now").over(cell), "is_new": F.row_number().over(cell) == 1})
+    cond = {"pin": F.col("source") == F.col("__pin")} | {k: F.col("source") == k for k in known}
+    boxed = F.struct("value", kind.alias("kind"))
+    segment = [*CELL, "__part"]
+    cell = W.partitionBy(*segment).orderBy("seq")
+    upto = cell.rowsBetween(W.unboundedPreceding, W.currentRow)
+    by = lambda c: F.last(F.when(c, boxed), ignorenulls=True).over(upto)
+    local = parts.withColumn("__best", F.min(F.when(other, rank(F.col("source")))).over(upto))
+    local = local.withColumns({f"__{k}": by(c) for k, c in cond.items()} | {"__other": by(other & (F.col("source") == F.col("__best.source"))), "__nth": F.row_number().over(cell)})
+
+    # what a segment leaves to the next ones, of the cells that have more than one
+    spans = parts.select(*segment).distinct().groupBy(*CELL).agg(F.count("*").alias("__n")).where("__n > 1").select(*CELL)
+    at_end = lambda c: F.max_by(F.when(c, boxed), F.when(c, F.col("seq")))
+    least = F.min_by(F.struct(rank(F.col("source")).alias("rank"), boxed.alias("box")), F.when(other, F.struct(rank(F.col("source")).alias("r"), (-F.col("seq")).alias("s"))))
+    ends = parts.join(spans, CELL, "left_semi").groupBy(*segment).agg(*(at_end(c).alias(k) for k, c in cond.items()), F.when(F.bool_or(other), least).alias("least"))
+    each = W.partitionBy(*CELL).orderBy("__part")
+    earlier = each.rowsBetween(W.unboundedPreceding, -1)
+    # a segment whose least rank is the least so far sets the value of unlisted sources
+    ends = ends.withColumn("sets", F.when(F.col("least.rank") == F.min("least.rank").over(each.rowsBetween(W.unboundedPreceding, W.currentRow)), F.col("least")))
+    last = lambda c: F.last(c, ignorenulls=True).over(earlier)
+    carry = stored(ends.select(*segment, (F.row_number().over(each) > 1).alias("__goes_on"), last("sets").alias("__set"), *(last(k).alias(f"__b_{k}") for k in cond)))
+
+    e = local.join(carry, segment, "left")
+    boxes = {k: F.col(f"__{k}") for k in (*cond, "other")}
+    before = {k: F.col(f"__b_{k}") for k in cond} | {"other": F.col("__set.box")}
+    e = e.withColumn("__now", _carried(boxes, before, F.col("__best"), F.col("__set.rank")))
+    first = F.col("__nth") == 1
+    came = F.coalesce(*before.values())
+    out = e.withColumns({"__before": F.when(first, came).otherwise(F.lag("__now").over(cell)), "is_new": first & ~F.coalesce("__goes_on", F.lit(False))})
     text = lambda c: F.coalesce(value_text(c["value"], c["kind"]), F.lit("None"))
-    differs = text(F.col("before")) != text(F.col("now"))
-    return out.select(*events.columns, F.col("before.value").alias("old_value"), F.col("now.value").alias("new_value"), "is_new", differs.alias("differs"), (F.col("is_new") | differs).alias("changed"))
+    differs = text(F.col("__before")) != text(F.col("__now"))
+    return out.select(*events.columns, F.col("__before.value").alias("old_value"), F.col("__now.value").alias("new_value"), "is_new", differs.alias("differs"), (F.col("is_new") | differs).alias("changed"))
 
 
 def audit_of(events: DataFrame) -> DataFrame:
@@ -111,7 +149,7 @@ def upserted(rows: DataFrame, updates: DataFrame) -> DataFrame:
     by_key = rows.where("business_key IS NOT NULL").groupBy("business_key").agg(F.min("row_id").alias("found_key"))
     matched = u.join(by_id, "given", "left").join(by_key, "business_key", "left")
     found = F.coalesce("found_id", "found_key")
-    new_id = F.coalesce("given", F.concat(F.lit("new-"), F.md5("business_key")), F.concat(F.lit("new-"), F.col("seq").cast("string")))
+    new_id = F.coalesce("given", F.concat(F.lit("new-"), F.md5("business_key")), F.concat(F.lit("new-seq-"), F.col("seq").cast("string")))
     return matched.groupBy(F.coalesce(found, new_id).alias("row_id")).agg(
         F.max_by("business_key", "seq").alias("business_key"), F.bool_and(found.isNull()).alias("is_new"), F.count("*").alias("n_updates")
     )

@@ -59,7 +59,8 @@ def applied(
     by_key = rows.where("business_key IS NOT NULL").groupBy("table_name", F.col("business_key").alias("given_key")).agg(F.min("row_id").alias("key_id"))
     u = u.join(by_id, ["table_name", "row_id"], "left").join(by_key, ["table_name", "given_key"], "left")
     found = F.when(F.col("by_id"), F.col("row_id")).otherwise(F.col("key_id"))
-    seed = F.concat_ws("/", F.lit(tx), "table_name", F.coalesce("given_key", F.col("seq").cast("string")))
+    # a key never names the row of a number, nor two parts together what two others do
+    seed = F.to_json(F.struct(F.lit(tx).alias("tx"), "table_name", "given_key", F.when(F.col("given_key").isNull(), F.col("seq")).alias("seq")))
     u = u.withColumn("found", found).withColumn("row_id", F.coalesce("found", "row_id", time_ordered_id(at, seed))).drop("by_id", "key_id")
 
     item = u.select("seq", "table_name", "row_id", "source", "updated_by", F.explode("cells").alias("col", "value")).where(is_writable(F.col("col")))

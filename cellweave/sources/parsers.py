@@ -56,8 +56,14 @@ def quarantined(rows: DataFrame) -> DataFrame:
     return rows.where("error IS NOT NULL").select("file", "error")
 
 
+def told(files: DataFrame) -> DataFrame:
+    """``file, text, error``: files' texts, and an error instead where a file isn't valid UTF-8."""
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    return files.select("file", F.when(valid, text).alias("text"), F.when(~valid, "not valid UTF-8").alias("error"))
+
+
 def texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``file, text`` of files that are valid UTF-8, and ``file, error`` of the others."""
-    text = F.col("content").cast("string")
-    valid = files.where(F.is_valid_utf8(text)).select("file", text.alias("text"))
-    return valid, files.where(~F.is_valid_utf8(text)).select("file", F.lit("not valid UTF-8").alias("error"))
+    every = told(files)
+    return good(every), quarantined(every)

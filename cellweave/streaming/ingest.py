@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.cells import uploader
-from ..sources.parsers import Parser, good, parsed, quarantined, texts
+from ..sources.parsers import Parser, good, parsed, quarantined, told
 from ..sources.rules import Rules, canonical, keyed, rows_of
 from ..sources.store import Store, archive
-from ..storage import stored
-
-Write = Callable[[DataFrame, int], None]
+from .manifest import Manifest, Write, attempted, written_by_chunks
 
 
 def _name(file: F.Column) -> F.Column:
@@ -30,38 +28,51 @@ def signed(rows: DataFrame, source: str) -> DataFrame:
 
 def ingest(
     spark: SparkSession, folder: str, rules: Rules | Parser, key: str, checkpoint: str, write: Write, source: str = "batch_ingester", display: list[str] | None = None,
-    archives: str | None = None, quarantine: Write | None = None, files_a_batch: int = 1000,
+    archives: str | None = None, quarantine: Write | None = None, files_a_batch: int = 1000, manifest: str | None = None, chunk: int | None = None, dead: Write | None = None,
 ) -> StreamingQuery:
     """Each new file of ``folder`` once: its rows go to ``write(rows, batch_id)`` with ``tx, source, updated_by``.
 
     Rows without a business key are left out. By ``rules`` they have the rules'
     columns, by a parser a map ``row``. Files that can't be read go to
     ``quarantine`` with the error and stay where they are. When a batch is written,
-    its other files move to ``archives``. A batch is all or nothing: if ``write``
-    fails, the query does, and the batch is repeated when it starts again. Spark's
-    log of files sees to it that no file is taken twice.
+    its other files move to ``archives``. Steps that are done are marked in the
+    ``manifest`` folder (by default beside the checkpoint), where what a batch's files
+    have is kept too: a batch that failed goes on where it stopped, with the same rows,
+    whichever of its files have moved.
+
+    Without ``chunk``, a batch is written as a whole or fails. With it, lines of a file
+    are written or not in chunks of so many: those that ``write`` fails for go to
+    ``dead`` with the error, the others are written.
     """
     found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_a_batch).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
+    log = Manifest(spark, manifest or f"{checkpoint.rstrip('/')}-manifest")
 
     def batch(part: DataFrame, batch_id: int) -> None:
         files = part.select(F.col("path").alias("file"), "content")
         if isinstance(rules, Rules):
-            valid, bad = texts(files)
+            every = attempted(lambda: log.kept(batch_id, "texts", lambda: told(files)))
             # Spark names files by URIs; rules see the names users gave
-            rows = rows_of(valid, rules)
-            rows = keyed(canonical(rows, display or []), key)
+            rows = keyed(canonical(rows_of(good(every), rules), display or []), key)
         else:
-            every = stored(parsed(files, rules))
-            bad = quarantined(every)
+            every = attempted(lambda: log.kept(batch_id, "parsed", lambda: parsed(files, rules)))
             own = F.filter(F.map_entries("row"), lambda e: F.lower(e["key"]) == key.lower())
             rows = good(every).withColumn("business_key", F.btrim(F.element_at(own, -1)["value"])).where("business_key IS NOT NULL")
-        write(signed(rows, source), batch_id)
+        rows, bad = signed(rows, source), quarantined(every)
+        names = log.kept(batch_id, "names", lambda: files.select("file"))
+        if chunk is None:
+            log.once(batch_id, "written", lambda: write(rows, batch_id))
+        else:
+            log.once(batch_id, "written", lambda: written_by_chunks(log, rows, batch_id, write, dead or (lambda *_: None), chunk))
         if quarantine is not None:
-            quarantine(bad, batch_id)
+            log.once(batch_id, "quarantined", lambda: quarantine(bad, batch_id))
         if archives is not None:
-            # at most ``files_a_batch`` names
-            for f in files.select("file").join(bad.select("file").distinct(), "file", "left_anti").collect():
-                archive(spark, f.file, archives, int(time.time()))
+
+            def moved() -> None:
+                # at most ``files_a_batch`` names
+                for f in names.join(bad.select("file").distinct(), "file", "left_anti").collect():
+                    archive(spark, f.file, archives, int(time.time()))
+
+            log.once(batch_id, "moved", moved)
 
     return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
