@@ -77,6 +77,14 @@ def tsv(grid: DataFrame, columns: list[str]) -> DataFrame:
     return grid.select("row_id", F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("line"))
 
 
+def tsv_lines(grid: DataFrame, columns: list[str], order: Order, header: bool = True) -> DataFrame:
+    """``n, line``: rows as :func:`tsv` has them, numbered in order from 1, and the names as line 0."""
+    top = grid.sparkSession.createDataFrame([(0, tsv_header(columns))] if header else [], "n bigint, line string")
+    rows = numbered(grid.select("row_id", *({*columns} - {"row_id"}), *_keys(order, columns)), order.columns())
+    body = rows.select((F.col("nth") + 1).alias("n"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("line"))
+    return top.unionByName(body)
+
+
 def pasted(texts: DataFrame) -> DataFrame:
     """``id, r, c, value`` of clipboard texts (``id, text``): lines by tabs, empty lines left out, cells trimmed."""
     lines = F.filter(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: x != "")

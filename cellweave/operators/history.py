@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +45,57 @@ def transactions(audit: DataFrame, rows: DataFrame, limit: int = 100) -> DataFra
     )
 
 
+@dataclass(frozen=True)
+class AuditLog:
+    """An audit log in a folder for each day, sorted by transaction, with Bloom filters of the transactions.
+
+    Recent transactions are found in the newest days alone; of the days before only
+    the parts of files are read that may have entries of those transactions.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def add(self, audit: DataFrame) -> None:
+        """Appends entries (``id, timestamp, row_id, column_name, new_value, updated_by, transaction_id``); those without time are kept too."""
+        day = F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("none"))
+        named = audit.withColumns({"day": day, "tx": F.coalesce("transaction_id", F.lit(NO_TX))})
+        out = named.repartition("day").sortWithinPartitions("day", "tx").write.mode("append").partitionBy("day")
+        out.option("parquet.bloom.filter.enabled#tx", "true").option("parquet.bloom.filter.expected.ndv#tx", "100000").parquet(self.path)
+
+    def read(self, days: list[str] | None = None) -> DataFrame:
+        rows = self.spark.read.option("basePath", self.path).option("recursiveFileLookup", "false").parquet(self.path)
+        rows = rows.withColumn("day", F.col("day").cast("string"))
+        return rows if days is None else rows.where(F.col("day").isin(days))
+
+    def days(self) -> list[str]:
+        """The days there are, the newest first: the names of folders."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted((n[4:] for n in names if n.startswith("day=") and n != "day=none"), reverse=True) + [n[4:] for n in names if n == "day=none"]
+
+    def newest(self, rows: DataFrame, limit: int = 100) -> tuple[list[str], int]:
+        """The ``limit`` most recent transactions, and of how many days' entries they were found.
+
+        Twice as many days are read each time, until they have enough transactions:
+        all others' newest entries are older.
+        """
+        days, n = self.days(), 1
+        while True:
+            own = alive_or_batch(self.read(days[:n]), rows).groupBy("tx").agg(F.max(F.struct("timestamp", "id")).alias("newest"))
+            found = own.orderBy(F.desc("newest.timestamp"), F.desc("newest.id")).limit(limit).collect()
+            if len(found) >= limit or n >= len(days):
+                return [r.tx for r in found], min(n, len(days))
+            n *= 2
+
+    def transactions(self, rows: DataFrame, limit: int = 100) -> DataFrame:
+        """:func:`transactions` of the log."""
+        found, _ = self.newest(rows, limit)
+        # at most ``limit`` transactions
+        return transactions(self.read().where(F.col("tx").isin(found)).drop("tx"), rows, limit)
+
+
 def _age(entry: Column) -> Column:
     """Orders entries from the newest on."""
     return F.struct((-F.unix_micros(entry["timestamp"].cast("timestamp"))).alias("t"), (-entry["id"]).alias("i"))
@@ -107,8 +160,11 @@ def dashboard(rows: DataFrame, tables: list[str], now: Column) -> DataFrame:
 
     ``last_updated`` is a text, ``No Activity`` for a table without rows.
     """
-    counted = rows.groupBy("table_name").agg(F.count("*").alias("n_rows"), F.max(F.coalesce("updated_at", "created_at")).alias("last_at"))
-    names = rows.sparkSession.createDataFrame([(t,) for t in tables], "table_name string")
+    return _board(rows.groupBy("table_name").agg(F.count("*").alias("n_rows"), F.max(F.coalesce("updated_at", "created_at")).alias("last_at")), tables, now)
+
+
+def _board(counted: DataFrame, tables: list[str], now: Column) -> DataFrame:
+    names = counted.sparkSession.createDataFrame([(t,) for t in tables], "table_name string")
     active = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("last_at") < 3600, F.lit(False))
     text = F.coalesce(F.nullif(display_time(F.col("last_at")), F.lit("")), F.lit("No Activity"))
     # as many rows as tables are configured
@@ -117,6 +173,31 @@ def dashboard(rows: DataFrame, tables: list[str], now: Column) -> DataFrame:
     ).orderBy(F.col("status") != "Active", "table_name")
 
 
+def board_changes(changes: DataFrame) -> DataFrame:
+    """Signed counts ``table_name, day, at, n`` of rows by their last time, from ``table_name, before, after`` (structs with times).
+
+    Whatever batches did, upserts or deletes, adding up their counts gives those of the rows there are.
+    """
+    time = lambda c: F.coalesce(F.col(f"{c}.updated_at"), F.col(f"{c}.created_at"))
+    sides = F.array(*(F.struct(F.col(c).isNotNull().alias("there"), time(c).alias("at"), F.lit(by).cast("bigint").alias("by")) for c, by in (("before", -1), ("after", 1))))
+    each = changes.select("table_name", F.inline(sides)).where("there")
+    return each.groupBy("table_name", F.to_date("at").alias("day"), "at").agg(F.sum("by").alias("n")).where("n <> 0")
+
+
+def board_of(states: DataFrame, tables: list[str], now: Column) -> DataFrame:
+    """:func:`dashboard` from added-up counts (:func:`board_changes`) instead of rows.
+
+    Rows are counted by day; a table's last time is sought in the last of its days
+    that still has rows, by the times that still have some.
+    """
+    by_day = states.groupBy("table_name", "day").agg(F.sum("n").alias("n"))
+    totals = by_day.groupBy("table_name").agg(F.sum("n").alias("n_rows"), F.max(F.when(F.col("n") > 0, F.col("day"))).alias("day"))
+    last = states.join(totals.select("table_name", "day"), ["table_name", "day"], "left_semi").groupBy("table_name", "at").agg(F.sum("n").alias("n"))
+    last = last.where("n > 0").groupBy("table_name").agg(F.max("at").alias("last_at"))
+    counted = totals.select("table_name", "n_rows").join(last, "table_name", "left")
+    return _board(counted, tables, now)
+
+
 def dashboard_totals(board: DataFrame, audit: DataFrame, now: Column) -> DataFrame:
     """``total_tables, total_rows, today_updates, system_health`` in one row."""
     total = board.agg(F.count("*").alias("total_tables"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"))

@@ -23,10 +23,10 @@ def _at() -> F.Column:
 
 # ---- one batch of updates: by key, to known and new rows, by five sources
 
-_BATCH = """, nu AS (SELECT event_id + 1000000000 AS seq, 'K' || (user_id % 60) AS k, unnest([event_type, 'label', 'id']) AS col, unnest([CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k') END, user_id::VARCHAR, 'x']) AS value,
+_BATCH = """, nu AS (SELECT event_id + 1000000000 AS seq, CASE WHEN user_id % 60 < 40 THEN 'K' ELSE 'N' END || (user_id % 60) AS k, unnest([event_type, 'label', 'id']) AS col, unnest([CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k') END, user_id::VARCHAR, 'x']) AS value,
   ['user','parser_a','parser_b','feed_x','feed_longer'][event_id % 5 + 1] AS source, user_id::VARCHAR AS updated_by FROM events WHERE event_id % 4 = 0),
 n AS (SELECT * FROM nu WHERE col <> 'id'),
-known AS (SELECT 'K' || p_partkey AS k FROM part WHERE p_partkey < 40),
+known AS (SELECT 'K' || p_partkey AS k FROM part),
 every AS (SELECT seq, 'K' || substr(row_id, 5) AS k, col, source, value FROM ev WHERE seq % 4 <> 0 UNION ALL SELECT seq, k, col, source, value FROM n),
 look AS (SELECT e.seq, e.k, e.col, e.source, o.value, row_number() OVER (PARTITION BY e.seq, e.col ORDER BY p.p, length(o.source), o.source, o.seq DESC) AS r FROM every e JOIN every o ON o.k = e.k AND o.col = e.col AND o.seq <= e.seq JOIN prio p ON p.source = o.source),
 lagged AS (SELECT *, lag(value) OVER (PARTITION BY k, col ORDER BY seq) AS old_value FROM look WHERE r = 1),
@@ -37,7 +37,7 @@ did AS (SELECT l.seq, l.k, l.col, l.source, l.old_value, l.value AS new_value, c
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.col("p_partkey").cast("string")
-    rows = b.read(spark, sf_dir, "part").where("p_partkey < 40").select(
+    rows = b.read(spark, sf_dir, "part").select(
         F.lit("t").alias("table_name"), F.concat(F.lit("row-"), key).alias("row_id"), F.concat(F.lit("K"), key).alias("business_key"),
         F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
     )
@@ -52,7 +52,7 @@ def _batch(spark: SparkSession, sf_dir: str) -> writes.Batch:
     user = F.col("user_id").cast("string")
     updates = e.select(
         (F.col("event_id") + 10**9).alias("seq"), F.lit("t").alias("table_name"), F.lit(None).cast("string").alias("row_id"),
-        F.concat(F.lit(" K"), (F.col("user_id") % 60).cast("string"), F.lit("\t")).alias("business_key"),
+        F.concat(F.lit(" "), F.when(F.col("user_id") % 60 < 40, "K").otherwise("N"), (F.col("user_id") % 60).cast("string"), F.lit("\t")).alias("business_key"),
         F.create_map(F.col("event_type"), value, F.lit("label"), user, F.lit("id"), F.lit("x")).alias("cells"), source.alias("source"), user.alias("updated_by"),
     )
     return writes.applied(rows, events, updates, "tx-1", _at())
@@ -83,9 +83,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.rows_after(rows, _batch(spark, sf_dir)).agg(F.count_distinct("row_id").alias("n_rows"), F.count_distinct("business_key").alias("n_keys"))
 
 
-@query("rows_created", f"SELECT i::BIGINT AS n, 't' AS table_name, '{AT}' AS created, 'CREATE' AS column_name, '_BATCH_' AS audit_row, 't / 25 rows created' AS new_value, true AS is_v7 FROM range(25) r(i)")
+@query("rows_created", f"SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS n, 't' AS table_name, '{AT}' AS created, 'CREATE' AS column_name, '_BATCH_' AS audit_row, 't / ' || count(*) OVER () || ' rows created' AS new_value, true AS is_v7 FROM customer WHERE c_acctbal < 0")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, audit = writes.created(spark, "t", 25, _at(), "tx-2", "ann")
+    """An empty row for each customer in debt."""
+    made, audit = writes.created(spark, "t", b.read(spark, sf_dir, "customer").where("c_acctbal < 0").count(), _at(), "tx-2", "ann")
     numbered = made.select(F.row_number().over(grid.W.orderBy("row_id")).cast("bigint").alias("nth"), "table_name", "created_at", "row_id").withColumn("n", F.col("nth") - 1)
     one = audit.select("column_name", F.col("row_id").alias("audit_row"), "new_value")
     is_v7 = F.col("row_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
@@ -291,28 +292,32 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.backfilled(made).where("updated_at = created_at").agg(F.count("*").alias("n"), F.count_if("was_null").alias("n_filled"))
 
 
-@query("merged_pages", """, have AS (SELECT p_partkey AS slot, 'r' || p_partkey AS row_id, p_name AS value FROM part WHERE p_partkey < 60),
-came AS (SELECT 50 + p_partkey AS slot, 'r' || (p_partkey + 48) AS row_id, 'new ' || p_partkey AS value FROM part WHERE p_partkey < 20)
-SELECT c.slot, c.row_id, CASE WHEN h.slot IS NULL OR h.slot = c.slot THEN c.value END AS value, h.slot IS NOT NULL AND h.slot <> c.slot AS is_duplicate FROM came c LEFT JOIN have h USING (row_id)
-UNION ALL SELECT h.slot, h.row_id, coalesce(c.value, h.value), false FROM have h LEFT JOIN came c ON c.row_id = h.row_id AND c.slot <> h.slot WHERE h.slot NOT IN (SELECT slot FROM came)""")
+_PAGES = """, have AS (SELECT p_partkey AS slot, 'r' || p_partkey AS row_id, p_name AS value FROM part),
+came AS (SELECT 50 + p_partkey AS slot, 'r' || (p_partkey + 48) AS row_id, 'new ' || p_partkey AS value FROM part),
+merged AS (SELECT c.slot, c.row_id, CASE WHEN h.slot IS NULL OR h.slot = c.slot THEN c.value END AS value, h.slot IS NOT NULL AND h.slot <> c.slot AS is_duplicate FROM came c LEFT JOIN have h USING (row_id)
+UNION ALL SELECT h.slot, h.row_id, coalesce(c.value, h.value), false FROM have h LEFT JOIN came c ON c.row_id = h.row_id AND c.slot <> h.slot WHERE h.slot NOT IN (SELECT slot FROM came))
+"""
+
+
+@query("merged_pages", _PAGES + "SELECT * FROM merged")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.merged_pages(*_pages(spark, sf_dir))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """A page of as many rows as are loaded, most of which are loaded two slots before."""
     p, k = b.read(spark, sf_dir, "part"), F.col("p_partkey")
-    loaded = p.where("p_partkey < 60").select(k.alias("slot"), F.concat(F.lit("r"), k.cast("string")).alias("row_id"), F.col("p_name").alias("value"))
-    came = p.where("p_partkey < 20").select(k.alias("n"), F.concat(F.lit("r"), (k + 48).cast("string")).alias("row_id"), F.concat(F.lit("new "), k.cast("string")).alias("value"))
+    loaded = p.select(k.alias("slot"), F.concat(F.lit("r"), k.cast("string")).alias("row_id"), F.col("p_name").alias("value"))
+    came = p.select(k.alias("n"), F.concat(F.lit("r"), (k + 48).cast("string")).alias("row_id"), F.concat(F.lit("new "), k.cast("string")).alias("value"))
     return loaded, came, 50
 
 
-@query("shown_slots", "SELECT count(*) AS n_slots, count(*) AS n_loaded FROM range(58)")
+@query("shown_slots", _PAGES + "SELECT count(*) AS n_slots, count(row_id) AS n_loaded FROM merged WHERE NOT is_duplicate")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of 70 slots twelve came for rows that are loaded elsewhere, two of them for rows whose slot they take."""
     return grid.loaded_counts(grid.without_duplicates(grid.merged_pages(*_pages(spark, sf_dir))))
 
 
-@query("known_ids", "SELECT 'r' || i AS row_id FROM range(68) t(i)")
+@query("known_ids", _PAGES + "SELECT row_id FROM have UNION SELECT row_id FROM came")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded, came, _ = _pages(spark, sf_dir)
     return grid.known_ids(loaded, came)
@@ -320,12 +325,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the client's rows after feed events
 
-_SHOWN = """, shown AS (SELECT p_partkey AS "at", 'r' || p_partkey AS row_id, p_name AS value FROM part WHERE p_partkey < 50)"""
+_SHOWN = """, shown AS (SELECT p_partkey AS "at", 'r' || p_partkey AS row_id, p_name AS value FROM part)"""
 
 
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return b.read(spark, sf_dir, "part").where("p_partkey < 50").select(k.alias("at"), F.concat(F.lit("r"), k.cast("string")).alias("row_id"), F.col("p_name").alias("value"))
+    return b.read(spark, sf_dir, "part").select(k.alias("at"), F.concat(F.lit("r"), k.cast("string")).alias("row_id"), F.col("p_name").alias("value"))
 
 
 @query("feed_create_on_top", _SHOWN + ' SELECT "at" + 3 AS "at", row_id FROM shown UNION ALL SELECT i, \'new\' || i FROM range(3) t(i)')
@@ -334,7 +339,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.shown_after_create(_shown(spark, sf_dir).select("at", "row_id"), new)
 
 
-@query("feed_create_at_end", _SHOWN + ' SELECT "at", row_id FROM shown UNION ALL SELECT 50 + i, \'new\' || i FROM range(3) t(i)')
+@query("feed_create_at_end", _SHOWN + ' SELECT "at", row_id FROM shown UNION ALL SELECT (SELECT max("at") + 1 FROM shown) + i, \'new\' || i FROM range(3) t(i)')
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = spark.range(3).select(F.col("id").alias("n"), F.concat(F.lit("new"), F.col("id").cast("string")).alias("row_id"))
     shown = _shown(spark, sf_dir).select("at", "row_id")
@@ -371,14 +376,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FEED = """, c AS (SELECT o_orderdate::DATE::VARCHAR AS table_name, row_id FROM (SELECT o_orderdate, 'order-' || lpad(o_orderkey::VARCHAR, 8, '0') AS row_id, o_orderkey FROM orders WHERE o_orderdate < DATE '1995-03-01' OR o_orderstatus = 'P') WHERE true),
-z AS (SELECT CASE WHEN status = 'P' THEN 'many' ELSE 'few' END AS table_name, row_id FROM ords WHERE status = 'P' OR row_id < 'order-00000040')"""
+z AS (SELECT CASE WHEN row_id < 'order-00000040' THEN 'few' ELSE 'many ' || status END AS table_name, row_id FROM ords)"""
 
 
 @query("feed_upsert_refresh", _FEED + """, s AS (SELECT table_name, count(*) AS n FROM z GROUP BY 1) SELECT table_name, 'batch_refresh_required' AS event, 0 AS chunk, '' AS row_ids FROM s WHERE n > 100
 UNION ALL SELECT table_name, 'batch_row_upsert', ((nth - 1) // 20)::INTEGER, string_agg(row_id, ',' ORDER BY row_id) FROM (SELECT table_name, row_id, row_number() OVER (PARTITION BY table_name ORDER BY row_id) AS nth FROM z JOIN s USING (table_name) WHERE n <= 100) GROUP BY ALL""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = b.orders(spark, sf_dir).where("status = 'P' OR row_id < 'order-00000040'")
-    changed = o.select(F.when(F.col("status") == "P", "many").otherwise("few").alias("table_name"), "row_id")
+    changed = b.orders(spark, sf_dir).select(F.when(F.col("row_id") < "order-00000040", "few").otherwise(F.concat(F.lit("many "), "status")).alias("table_name"), "row_id")
     silent = exchange.feed(changed, "upsert", chunk=20, silent=True)
     return exchange.feed(changed, "upsert", chunk=20).unionByName(silent).withColumn("row_ids", F.array_join("row_ids", ","))
 
@@ -447,18 +451,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(exchange.export_header(b.parts(spark, sf_dir)))), "n int, name string")
 
 
-@query("export_file_lines", """, t AS (SELECT business_key, status, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS u FROM ords ORDER BY updated_at DESC NULLS FIRST, row_id DESC LIMIT 200)
-SELECT count(*) AS n_lines, sum(strlen(coalesce(business_key, '') || ',' || status || ',,' || u) + 2)::BIGINT + 3 + strlen('business_key,status,created_at,updated_at') + 2 AS n_bytes, 'efbbbf' AS mark FROM (SELECT *, 1 FROM t) GROUP BY ALL""".replace("SELECT count(*) AS n_lines", "SELECT count(*) + 1 AS n_lines"))
+@query("export_file_lines", """SELECT 'business_key,status,created_at,updated_at' AS line, 'EFBBBF' AS mark UNION ALL SELECT coalesce(business_key, '') || ',' || status || ',,' || strftime(updated_at, '%Y-%m-%d %H:%M:%S'), 'EFBBBF' FROM ords""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files' bytes: a mark, a header, a line for each row, every line ending in CRLF."""
-    path = f"{shared_folder(spark)}/export-{abs(hash(sf_dir))}-{spark.sparkContext.startTime}-{next(_count)}"
+    """The files' lines, as they end in CRLF: a header, then every row; and the mark before the first."""
+    path = f"{shared_folder(spark)}/export-{spark.sparkContext.startTime}-{next(_count)}"
     g = b.orders(spark, sf_dir).withColumn("updated_at", cells.display_time(F.col("updated_at")))
-    exchange.export_csv(g, grid.Order("updated_at", True), path, ["business_key", "status", "created_at", "updated_at"], most=200)
-    files = spark.read.format("binaryFile").load(path).where("length > 0").orderBy("path")
-    text = F.col("content").cast("string")
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\r\n"), F.lit("x")))
-    first = F.min_by(F.lower(F.hex(F.substring("content", 1, 3))), F.when(F.hex(F.substring("content", 1, 3)) == "EFBBBF", F.lit(0)).otherwise(F.lit(1)))
-    return files.agg(F.sum(breaks).cast("bigint").alias("n_lines"), F.sum("length").alias("n_bytes"), first.alias("mark"))
+    exchange.export_csv(g, grid.Order("updated_at", True), path, ["business_key", "status", "created_at", "updated_at"])
+    first = spark.read.format("binaryFile").load(path).where("length > 0").orderBy("path").limit(1).select(F.hex(F.substring("content", 1, 3)).alias("mark"))
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line")).crossJoin(first)
 
 
 def _counter():  # noqa: ANN202
@@ -471,9 +471,9 @@ def _counter():  # noqa: ANN202
 _count = _counter()
 
 
-@query("tsv_header", "SELECT 'BUSINESS_KEY' || chr(9) || 'STATUS' AS line")
+@query("tsv_header", "SELECT 0::BIGINT AS n, 'BUSINESS_KEY' || chr(9) || 'STATUS' AS line UNION ALL SELECT row_number() OVER (ORDER BY updated_at DESC NULLS FIRST, row_id DESC), coalesce(business_key, '') || chr(9) || status FROM ords")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(exchange.tsv_header(["business_key", "status"]),)], "line string")
+    return exchange.tsv_lines(b.orders(spark, sf_dir), ["business_key", "status"], grid.Order("updated_at", True))
 
 
 # ---- sources
@@ -535,6 +535,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("catalog", "SELECT * FROM (VALUES (0, 'O'), (1, 'F'), (2, 'P')) v(n, table_name)")
+@query("catalog", "SELECT (row_number() OVER (ORDER BY m DESC) - 1)::INTEGER AS n, table_name FROM (SELECT status AS table_name, count(*) AS m FROM ords GROUP BY 1)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Store(spark, "", {"O": [], "F": [], "P": []}).catalog()
+    """The configured tables in their order, which is that of their sizes here."""
+    sizes = b.orders(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()  # a row for each table
+    return Store(spark, "", {r.status: [] for r in sizes}).catalog()

@@ -90,7 +90,11 @@ def rows_of(texts: DataFrame, rules: Rules) -> DataFrame:
     A line is kept if some rule matched and cast, and every required column has a
     value or a default. Defaults fill what is missing; body columns override file and header ones.
     """
-    lines = lines_of(texts, rules)
+    return rows_of_lines(lines_of(texts, rules), rules)
+
+
+def rows_of_lines(lines: DataFrame, rules: Rules) -> DataFrame:
+    """:func:`rows_of` from lines, whether of texts or of large files."""
     line = F.col("line")
     got = [r.value(line) for r in rules.body]
     keep = reduce(or_, (g.isNotNull() for g in got)) & reduce(

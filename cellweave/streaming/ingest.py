@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.cells import uploader
+from ..operators.history import NO_TX
+from ..sources.merged import MergeStore
 from ..sources.parsers import Parser, good, parsed, quarantined, told
 from ..sources.rules import Rules, canonical, keyed, rows_of
 from ..sources.store import Store, archive
@@ -97,3 +99,25 @@ def ingest_all(store: Store, write: Callable[[str, DataFrame, int], None], parse
 def counts_by_window(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Entries by window and type; late ones beyond ``late`` are left out of a stream. An extension."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def live_groups(entries: DataFrame, most: int = 500) -> DataFrame:
+    """Live audit groups ``tx, seq, total_count, n_logs`` of a stream of entries (``seq, transaction_id``), for update or complete mode.
+
+    The state is a row for each transaction; each batch gives the groups it has changed.
+    """
+    tx = F.coalesce("transaction_id", F.lit(NO_TX)).alias("tx")
+    n = F.count("*")
+    return entries.groupBy(tx).agg(F.max("seq").alias("seq"), n.alias("total_count"), F.least(F.lit(most).cast("bigint"), n).alias("n_logs"))
+
+
+def followed(groups: DataFrame, store: MergeStore, name: str, checkpoint: str) -> StreamingQuery:
+    """Puts changed groups into a store's table as they come, each batch once; a view of them is the table's last version."""
+
+    def batch(part: DataFrame, batch_id: int) -> None:
+        data = F.create_map(*(x for c in ("seq", "total_count", "n_logs") for x in (F.lit(c), F.col(c).cast("string"))))
+        none = F.lit(None).cast("timestamp")
+        rows = part.select(F.lit(name).alias("table_name"), F.col("tx").alias("row_id"), F.lit(None).cast("string").alias("business_key"), data.alias("data"), none.alias("created_at"), none.alias("updated_at"))
+        store.applied(rows, stream=(name, batch_id))
+
+    return groups.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

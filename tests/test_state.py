@@ -272,3 +272,74 @@ def test_chunks_that_fail_are_dead_letters(spark, tmp_path):
     every = {f"{i}x{j}" for i in range(3) for j in range(20)}
     assert sorted(k for k, _ in lost) == sorted([f"1x{j}" for j in range(5, 10)] + [f"2x{j}" for j in range(15, 20)])
     assert {e for _, e in lost} == {"Broken: no such row"} and len(got) == len(set(got)) and set(got) == every - {k for k, _ in lost}
+
+
+# ---- large files, recent transactions, counts that are kept
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_files_in_splits_are_read_as_whole_ones(spark, tmp_path, ends):
+    from cellweave.sources.lines import csv_records_of, lines_of_files, numbered_lines
+    from cellweave.sources.rules import lines_of
+
+    rnd = random.Random(4)
+    files = {}
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        lines = ["head 1", f"lot: {i}", *(["  == begin"] if i else []), *(rnd.choice(["k=1", "", "  x \t", "y" * 300]) for _ in range(3000)), *(["== end", "k=2"] if i == 2 else []), "last"]
+        files[f"f{i}.log"] = ends.join(lines)
+        (tmp_path / "in" / f"f{i}.log").write_bytes(files[f"f{i}.log"].encode())
+    rules = Rules([], start="^== begin$", end="^== end$")
+    texts = spark.createDataFrame(list(files.items()), "file string, text string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        with scratch(spark):
+            key = lambda df: sorted((r.file.rsplit("/", 1)[-1], r.n, r.line, r.part) for r in df.collect())
+            assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 12
+            for r in (rules, Rules([]), Rules([], end="^== end$")):
+                assert key(lines_of_files(spark, str(tmp_path / "in"), r)) == key(lines_of(texts, r))
+            n = {r.file.rsplit("/", 1)[-1]: r.n for r in numbered_lines(spark, str(tmp_path / "in")).groupBy("file").agg(F.max("n").alias("n")).collect()}
+            assert n == {f: t.count(ends) for f, t in files.items()}
+
+            (tmp_path / "csv").mkdir()
+            records = [f'"{"a" * rnd.randrange(40)}{rnd.choice(["", ",", chr(10), chr(10) * 2 + "x", chr(34) * 2])}",{i}' for i in range(2500)]
+            (tmp_path / "csv" / "one.csv").write_bytes("\n".join(records).replace("\n", ends).encode())
+            got = [r.line for r in csv_records_of(spark, str(tmp_path / "csv")).orderBy("y").collect()]
+            assert got == records
+            whole = spark.createDataFrame([("\n".join(records),)], "t string").select(exchange.csv_records(F.col("t")).alias("r")).first().r
+            assert got == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_recent_transactions_need_the_newest_days(spark, tmp_path):
+    from cellweave.operators import history
+
+    a = spark.range(6000).selectExpr(
+        "id", "timestamp '2024-01-01' + make_interval(0, 0, 0, int(id / 200)) AS timestamp", "CASE WHEN id % 9 = 0 THEN '_BATCH_' ELSE concat('c', id % 50) END AS row_id", "concat('col', id % 4) AS column_name",
+        "string(id) AS new_value", "'u' AS updated_by", "CASE WHEN id % 13 > 0 THEN concat('tx', pmod(hash(id), 900)) END AS transaction_id",
+    )
+    live = spark.range(0, 50, 2).selectExpr("concat('c', id) AS row_id")
+    log = history.AuditLog(spark, str(tmp_path / "log"))
+    log.add(a.where("id < 4000"))
+    log.add(a.where("id >= 4000"))
+    key = lambda df: [tuple(r) for r in df.collect()]
+    assert len(log.days()) == 30
+    for limit in (5, 40, 100, 5000):
+        assert key(log.transactions(live, limit)) == key(history.transactions(a, live, limit))
+    assert log.newest(live, 5)[1] == 1 and log.newest(live, 100)[1] <= 4
+
+
+def test_counts_of_batches_add_up(spark, tmp_path):
+    from cellweave.operators import history
+
+    s, rnd, path = MergeStore(spark, str(tmp_path / "m")), random.Random(8), str(tmp_path / "board")
+    for v in range(1, 5):
+        put = [(rnd.choice("tu"), f"r{rnd.randrange(20)}", None, {"v": str(v)}, rnd.randrange(3 * 86400), rnd.choice([None, rnd.randrange(5 * 86400)])) for _ in range(15)]
+        up = spark.createDataFrame(put, "table_name string, row_id string, business_key string, data map<string,string>, c long, u long").selectExpr("table_name", "row_id", "business_key", "data", "timestamp_seconds(c) AS created_at", "timestamp_seconds(u) AS updated_at")
+        s.applied(up, spark.createDataFrame([(rnd.choice("tu"), f"r{rnd.randrange(20)}") for _ in range(5)], "table_name string, row_id string"))
+        history.board_changes(s.changes_between(v - 1, v)).write.mode("append").parquet(path)
+        now = F.lit("1970-01-05").cast("timestamp")
+        assert history.board_of(spark.read.parquet(path), ["t", "u", "none"], now).collect() == history.dashboard(s.read(), ["t", "u", "none"], now).collect()
