@@ -16,7 +16,8 @@ at least one of the two being assigned or strong. Parts are dealt to slices of
 text's length, and the join is a semi-join: no pairs are made.
 
 Edge cases: null and empty texts have no spans; identical rows give identical
-results; texts and tokens of any length are scanned whole; spans that begin at the
+results; texts and tokens of any length are scanned whole, in time proportional to them;
+bytes that aren't valid UTF-8 count as one character each run; spans that begin at the
 same place are ordered by kind; an empty table gives no rows. Columns besides
 ``doc_id`` and ``text`` are not read, whatever their names.
 """
@@ -24,7 +25,9 @@ same place are ordered by kind; an empty table gives no rows. Columns besides
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +46,12 @@ WEAK = (
     ("weak_value", "secret", True, re.compile(r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})""", re.ASCII)),
     ("weak_user", "identifier", True, re.compile(r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})""", re.ASCII)),
     ("weak_token", "secret", False, re.compile(r"[A-Za-z0-9+/_=-]{20,}")),
-    ("weak_endpoint", "endpoint", False, re.compile(r"(?:\b[a-z][a-z0-9+.-]{1,11}://[^\s\"'<>]+)|(?:\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b(?::[0-9]{2,5})?)|(?:\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)", re.ASCII)),
 )
+#: An address of a service: a URL, a number address, or a name of at least two labels before a port.
+_URL_OR_NUMBERS = re.compile(r"\b[a-z][a-z0-9+.-]{1,11}://[^\s\"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b(?::[0-9]{2,5})?", re.ASCII)
+_PORT = re.compile(r":[0-9]{2,5}\b", re.ASCII)
+_NAME_RUN = re.compile(r"[a-z0-9.-]+")
+_WORD = re.compile(r"\w", re.ASCII)
 #: A token is mixed if it has all of these.
 _MIXED = tuple(re.compile(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
 _CLASS = {"assign": "secret", "access": "identifier", "hex": "secret"}
@@ -61,17 +68,57 @@ def strong_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _name_before(text: str, lo: int, run: int, port: int) -> int | None:
+    """Where the longest name begins that ends at ``port``, from ``lo`` on; ``run`` begins the characters of names before it."""
+    at = max(lo, run)
+    empty = text.rfind("..", at, port)
+    at = empty + 2 if empty >= 0 else at + 1 if text[at] == "." else at
+    dot = text.rfind(".", at, port)
+    if dot < 0 or dot == port - 1:
+        return None
+    word = lambda i: 0 <= i < len(text) and _WORD.match(text[i]) is not None
+    return next((i for i in range(at, dot) if text[i] != "." and word(i) != word(i - 1)), None)
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses of services, leftmost and non-overlapping. A name is found from its port back, in a run of its characters that is read once."""
+    ports = {m.start(): m.end() for m in _PORT.finditer(text)}
+    named = [r.span() for r in _NAME_RUN.finditer(text) if r.end() in ports] if ports else []
+    out, done, k = [], 0, 0
+    fixed, name = _URL_OR_NUMBERS.search(text), None
+    while True:
+        if fixed and fixed.start() < done:
+            fixed = _URL_OR_NUMBERS.search(text, done)
+        if name is not None and name < done:
+            name = None
+        while name is None and k < len(named):
+            run, port = named[k]
+            name = _name_before(text, done, run, port) if port > done else None
+            if name is None:
+                k += 1
+        if name is None and fixed is None:
+            return out
+        if name is None or fixed and fixed.start() <= name:
+            done = fixed.end()
+            out.append(fixed.span())
+        else:
+            done = ports[named[k][1]]
+            out.append((name, done))
+            name, k = None, k + 1
+
+
 def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str, str, bool, int, int]]:
-    """Weak candidates outside of all strong spans."""
+    """Weak candidates outside of all strong spans; time is proportional to the text."""
+    begins = [a for _, a, _ in strong]
+    reach = list(accumulate((b for _, _, b in strong), max))
     out = []
     for kind, what, named, pattern in WEAK:
-        for m in pattern.finditer(text):
-            s, e = m.span(1) if m.re.groups else m.span()
-            if kind == "weak_token" and not all(c.search(text, s, e) for c in _MIXED):
-                continue
-            if all(e <= a or s >= b for _, a, b in strong):
-                out.append((kind, what, named, s, e))
-    return out
+        spans = (m.span(1) if pattern.groups else m.span() for m in pattern.finditer(text))
+        out += [(kind, what, named, s, e) for s, e in spans if kind != "weak_token" or all(c.search(text, s, e) for c in _MIXED)]
+    out += [("weak_endpoint", "endpoint", False, s, e) for s, e in endpoints(text)]
+    # of the spans that begin before the candidate ends, none may reach into it
+    before = lambda e: bisect_left(begins, e)
+    return [x for x in out if not before(x[4]) or reach[before(x[4]) - 1] <= x[3]]
 
 
 def parts_of(docs: DataFrame) -> DataFrame:
@@ -80,7 +127,8 @@ def parts_of(docs: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                text = raw and raw.decode("utf-8", "replace")
                 strong = strong_spans(text or "")
                 weak = weak_parts(text, strong) if text and _LOOK.search(text) else []
                 if len({w[1] for w in weak} | {_CLASS[k] for k, *_ in strong}) < 2:
