@@ -48,9 +48,13 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         removed(spark, path)
 
 
+def current_folder(spark: SparkSession) -> str:
+    """Where tables go: the innermost scratch folder, else the shared one."""
+    return _scratch[-1] if _scratch else shared_folder(spark).rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table: computed once, safe from lost executors, and of known size to the planner."""
-    folder = _scratch[-1] if _scratch else shared_folder(df.sparkSession).rstrip("/")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{current_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
