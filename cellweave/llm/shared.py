@@ -2,38 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import current_folder, removed, shared_folder
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
+__all__ = ["checkpoint_dir", "fresh_folder", "keep", "removed", "stored", "table"]
 
-    ``spark.checkpoint.dir`` wins. Where it is unset, a temporary folder serves,
-    but only in local mode, in which driver and executors are one machine.
-    """
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+#: The folder all executors share, as the cluster names it.
+checkpoint_dir = shared_folder
 
 
 def keep(df: DataFrame) -> DataFrame:
     """``df``, computed once and stored in the shared folder, with its lineage cut.
 
-    A lost executor takes nothing with it. Spark removes the files when the
+    A lost executor takes nothing with it. Within :func:`~cellweave.storage.scratch` it
+    is a table that goes with the others; else Spark removes the files when the
     result is no longer referenced and the session cleans checkpoints.
     """
-    checkpoint_dir(df.sparkSession)
+    if current_folder(df.sparkSession) != shared_folder(df.sparkSession).rstrip("/"):
+        return stored(df)[0]
     return df.checkpoint()
 
 
@@ -44,15 +33,9 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder below the shared one; nothing may read it any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A path for files of one run below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{current_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

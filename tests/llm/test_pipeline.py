@@ -1,9 +1,11 @@
 """The pipeline against its own stages' brute-force versions on one small corpus."""
 
+import os
 import random
 import re
 
 import corpus_pipeline
+from cellweave.llm.shared import checkpoint_dir
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -103,10 +105,14 @@ def test_whole_pipeline_by_brute_force(spark, tmp_path):
     d.selectExpr("*", *(f"{i} AS {c}" for i, c in enumerate(clash)), "map('a', 1) AS m").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got, places = {}, set()
+    got, places, shared = {}, set(), checkpoint_dir(spark).removeprefix("file:")
+    before = {*os.listdir(shared)}
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got.setdefault(r.doc_id, []).append((r.piece, r.n_tokens))
         places.add((r.bucket, r.batch, r.slot))
+    # of all that was kept on the way, the last stage's table is left
+    (left,) = {*os.listdir(shared)} - before
+    assert os.listdir(f"{shared}/{left}") == ["pack"]
     want = brute(docs, items)
     assert {i: [n for _, n in sorted(p)] for i, p in got.items()} == want
     assert len(places) == sum(map(len, want.values())) and 40 < len(want) < 140
@@ -118,6 +124,6 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     from cellweave.llm import entry
 
-    spark.createDataFrame([], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     for name, query in entry.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
