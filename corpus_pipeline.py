@@ -21,6 +21,7 @@ from cellweave.llm.minhash import keep_one_of_each_class
 from cellweave.llm.packing import packed
 from cellweave.llm.quality import keep_good
 from cellweave.llm.shared import fresh_folder, removed, table
+from cellweave.storage import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -66,12 +67,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``; a stage's table is deleted when the next one's is there."""
+    """All stages applied to ``documents``; a stage's table is deleted when the next one's is there, and what it kept on its way with it."""
     docs = table(spark, sf_dir, "documents")
     folder = fresh_folder(spark, "pipeline")
     before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before is not None:
             removed(spark, before)
