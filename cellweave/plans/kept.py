@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import exchange, grid, history
+from ..operators.pieces import PieceIndex
 from ..operators.ranked import RankIndex
 from ..sources.lines import csv_records_of, lines_of_files
 from ..sources.merged import MergeStore
@@ -129,6 +130,26 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(spark, sf_dir)[0].page_around("order-00000777", 40).select("row_id", "position")
 
 
+# ---- substrings
+
+def _pieces(spark: SparkSession, sf_dir: str) -> PieceIndex:
+    return PieceIndex.made(b.parts(spark, sf_dir), ["name", "brand", "type", "size"], _folder(spark, "pieces"), files=16)
+
+
+_FOUND = "SELECT row_id, name, brand, type, size FROM parts WHERE contains(lower(name), '{0}') OR contains(lower(brand), '{0}') OR contains(lower(type), '{0}') OR contains(size::VARCHAR, '{0}')"
+
+
+@query("search_by_pieces", _FOUND.format("nd#12"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only files that have all pieces of the text are read."""
+    return _pieces(spark, sf_dir).search("ND#12").select("row_id", "name", "brand", "type", "size")
+
+
+@query("search_by_pieces_short", _FOUND.format("7"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).search("7").select("row_id", "name", "brand", "type", "size")
+
+
 # ---- the audit log
 
 ORACLE_SQL["recent_transactions_early"] = ORACLE_SQL["recent_transactions"]

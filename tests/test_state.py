@@ -343,3 +343,23 @@ def test_counts_of_batches_add_up(spark, tmp_path):
         history.board_changes(s.changes_between(v - 1, v)).write.mode("append").parquet(path)
         now = F.lit("1970-01-05").cast("timestamp")
         assert history.board_of(spark.read.parquet(path), ["t", "u", "none"], now).collect() == history.dashboard(s.read(), ["t", "u", "none"], now).collect()
+
+
+def test_search_by_pieces(spark, tmp_path):
+    from cellweave.operators.pieces import PieceIndex, pieces_of
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdé%_\\") for _ in range(rnd.randrange(1, 7)))
+    rows = [(f"r{i:04}", rnd.choice([None, "", word().upper()]), word() + (" needle" if i == 77 else "")) for i in range(400)]
+    g = spark.createDataFrame(rows, "row_id string, a string, b string")
+    index = PieceIndex.made(g, ["a", "b"], str(tmp_path / "p"), files=8)
+    ids = lambda df: sorted(r.row_id for r in df.collect())
+    for q in ("NEEDLE", "abc", "É%_", "\\a", "b", "", "abcdabcd", "needles"):
+        assert ids(index.search(q)) == ids(grid.searched(g, q, ["a", "b"]) if q else g)
+    assert ids(index.search("abc", ["a"])) == ids(grid.searched(g, "abc", ["a"]))
+    assert len(index.files()) == 8 and len(index.files_of("needle")) == 1 and index.files_of("needles") == [] and index.files_of("ab") is None
+    changed = spark.createDataFrame([("r0077", "x", "hay"), ("r0001", "Needle", None), ("r9999", "a needle", "")], "row_id string, a string, b string")
+    assert ids(index.search("needle", changed=changed)) == ["r0001", "r9999"]
+    assert pieces_of("ABAB") == ["aba", "bab"] and pieces_of("ab") == []
+    with pytest.raises(ValueError, match="indexed"):
+        index.search("abc", ["row_id"])
