@@ -151,7 +151,11 @@ def op9_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the texts that the rules reject; texts are measured once, beside their rows, and stored."""
+    """``docs`` without the texts that the rules reject.
+
+    Texts are measured once, beside their rows, and stored, but for those that fail
+    the base rules: they go, and teach nothing.
+    """
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", F.col("lang").alias("stratum"), "text")
-    judged = stored(measured(own).select("__row", "doc_id", "stratum", "steps", "base_failed"))[0]
+    judged = stored(measured(own).where("NOT base_failed").select("__row", "doc_id", "stratum", "steps", "base_failed"))[0]
     return verdicts(judged, cutoffs(judged, labels.select("doc_id", "quality"))).where("kept").select("__row.*")
