@@ -41,9 +41,10 @@ names and types: they are carried as one struct and never referred to.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -377,18 +378,41 @@ def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def _may_be(keys: DataFrame) -> Callable[[F.Column], F.Column]:
+    """Whether a number may be one of ``keys``: always true for those, seldom for others while the filter isn't full."""
+    words = keys.sparkSession.sparkContext.broadcast(_filter_of(keys))
+
+    @F.pandas_udf("boolean")
+    def there(key: pd.Series) -> pd.Series:
+        return pd.Series(_in_filter(words.value, key.to_numpy(np.int64)))
+
+    return there
+
+
 def keep_one_of_each_class(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` with only the first row (by ``doc_id``) of each near-duplicate class; wordless rows all stay.
 
     Of rows that are the same in id and text, and not wordless, the one whose JSON text is the least stays.
+
+    Rows aren't shuffled to learn what becomes of them. One filter has what goes, or
+    must be looked at for repeated rows; another those that stay although the first
+    may have them. What only the first has goes, what it lacks stays, and just the
+    rows that both may have are joined with what is known of them.
     """
     classes = near_classes(docs.select("doc_id", "text"), **options)
-    stay = classes.where("stays").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.count("*").alias("__rows"), F.first("class_size").alias("__size")
-    )
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").alias("__doc"), _text_key().alias("__text"))
-    left = own.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")))
+    kinds = keep(
+        classes.groupBy("doc_id", "text_key").agg(F.first("stays").alias("stays"), ((F.count("*") > 1) & (F.first("class_size") > 1)).alias("twice"))
+        .withColumn("key", _row_key(F.col("text_key")))
+    )
+    may_go = _may_be(kinds.where("NOT stays OR twice").select("key"))
+    doubtful = keep(kinds.where("stays").where(may_go(F.col("key"))))
+    may_stay = _may_be(doubtful.select("key"))
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    own = docs.select(row, F.col("doc_id").alias("__doc"), _text_key().alias("__text"), _row_key(_text_key()).alias("__at"))
+    known = doubtful.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("twice").alias("__twice"))
+    left = own.where(may_go(F.col("__at")) & may_stay(F.col("__at"))).join(known, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")))
     # one of the rows that are the same in id and text; wordless texts excepted, which are classes of one
-    twice = (F.col("__rows") > 1) & (F.col("__size") > 1)
-    first = left.where(twice).groupBy("__id", "__key").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
-    return left.where(~twice).select("__row").unionByName(first.select("__row")).select("__row.*")
+    first = left.where("__twice").groupBy("__id", "__key").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    sure = own.where(~may_go(F.col("__at"))).select("__row")
+    return sure.unionByName(left.where("NOT __twice").select("__row")).unionByName(first.select("__row")).select("__row.*")

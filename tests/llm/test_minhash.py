@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from cellweave.llm import minhash
 from cellweave.llm.minhash import bag_minhash, keep_one_of_each_class, near_classes
 
 SCHEMA = "doc_id bigint, text string, n bigint"
@@ -86,3 +87,22 @@ def test_edges(spark, n):
     else:
         assert sorted(got, key=str) == sorted([(1, 1, 1), (2, 2, 1), (3, 3, 4), (3, 3, 4), (4, 3, 4), (None, 3, 4)], key=str)
         assert kept == [1, 2, 3] and keep_one_of_each_class(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 27])
+def test_kept_rows_are_exact_whatever_the_filter_holds(spark, monkeypatch, bits):
+    """A full filter sends all rows through the join; the rows that stay are the same."""
+    monkeypatch.setattr(minhash, "MAX_FILTER_BITS", bits)
+    words = [f"w{i}" for i in range(400)]
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices(words, k=30)) for _ in range(40)]
+    rows = [(i % 90 if i % 17 else None, texts[i % 40] if i % 13 else ("" if i % 2 else None), i % 3) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:20], SCHEMA).withColumnsRenamed({"n": "__key"})
+    firsts: dict[str, tuple] = {}
+    for r in rows:
+        if r[1]:
+            firsts[r[1]] = min(firsts.get(r[1], (True, 0)), (r[0] is None, r[0] or 0))
+    want = [r for r in rows + rows[:20] if not r[1]]
+    for text, (no, i) in firsts.items():
+        want.append(min(((None if no else i), text, r[2]) for r in rows if r[1] == text and (r[0] is None, r[0] or 0) == (no, i)))
+    assert sorted(map(str, (tuple(r) for r in keep_one_of_each_class(docs).collect()))) == sorted(map(str, want))
