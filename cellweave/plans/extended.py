@@ -23,7 +23,7 @@ def _at() -> F.Column:
 
 # ---- one batch of updates: by key, to known and new rows, by five sources
 
-_BATCH = """, nu AS (SELECT event_id + 1000000000 AS seq, CASE WHEN user_id % 60 < 40 THEN 'K' ELSE 'N' END || (user_id % 60) AS k, unnest([event_type, 'label', 'id']) AS col, unnest([CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k') END, user_id::VARCHAR, 'x']) AS value,
+BATCH_SQL = """, nu AS (SELECT event_id + 1000000000 AS seq, CASE WHEN user_id % 60 < 40 THEN 'K' ELSE 'N' END || (user_id % 60) AS k, unnest([event_type, 'label', 'id']) AS col, unnest([CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k') END, user_id::VARCHAR, 'x']) AS value,
   ['user','parser_a','parser_b','feed_x','feed_longer'][event_id % 5 + 1] AS source, user_id::VARCHAR AS updated_by FROM events WHERE event_id % 4 = 0),
 n AS (SELECT * FROM nu WHERE col <> 'id'),
 known AS (SELECT 'K' || p_partkey AS k FROM part),
@@ -35,7 +35,7 @@ did AS (SELECT l.seq, l.k, l.col, l.source, l.old_value, l.value AS new_value, c
 """
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.col("p_partkey").cast("string")
     rows = b.read(spark, sf_dir, "part").select(
         F.lit("t").alias("table_name"), F.concat(F.lit("row-"), key).alias("row_id"), F.concat(F.lit("K"), key).alias("business_key"),
@@ -44,42 +44,45 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, b.cell_events(spark, sf_dir).where("seq % 4 <> 0")
 
 
-def _batch(spark: SparkSession, sf_dir: str) -> writes.Batch:
-    rows, events = _state(spark, sf_dir)
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.read(spark, sf_dir, "events").where("event_id % 4 = 0")
     source = F.element_at(F.array(*map(F.lit, ("user", "parser_a", "parser_b", "feed_x", "feed_longer"))), (F.col("event_id") % 5 + 1).cast("int"))
     value = F.when(F.col("event_id") % 11 != 0, F.get_json_object("props", "$.k"))
     user = F.col("user_id").cast("string")
-    updates = e.select(
+    return e.select(
         (F.col("event_id") + 10**9).alias("seq"), F.lit("t").alias("table_name"), F.lit(None).cast("string").alias("row_id"),
         F.concat(F.lit(" "), F.when(F.col("user_id") % 60 < 40, "K").otherwise("N"), (F.col("user_id") % 60).cast("string"), F.lit("\t")).alias("business_key"),
         F.create_map(F.col("event_type"), value, F.lit("label"), user, F.lit("id"), F.lit("x")).alias("cells"), source.alias("source"), user.alias("updated_by"),
     )
-    return writes.applied(rows, events, updates, "tx-1", _at())
 
 
-@query("upsert_changed_cells", _BATCH + "SELECT seq, k AS business_key, col, old_value, new_value FROM did")
+def _batch(spark: SparkSession, sf_dir: str) -> writes.Batch:
+    rows, events = state(spark, sf_dir)
+    return writes.applied(rows, events, updates(spark, sf_dir), "tx-1", _at())
+
+
+@query("upsert_changed_cells", BATCH_SQL + "SELECT seq, k AS business_key, col, old_value, new_value FROM did")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _batch(spark, sf_dir)
     return done.changed.join(done.rows.select("row_id", "business_key"), "row_id").select("seq", "business_key", "col", "old_value", "new_value")
 
 
-@query("upsert_rows", _BATCH + f"""SELECT n.k AS business_key, bool_or(b.born IS NOT NULL) AS is_new, count(DISTINCT d.col) AS n_changed, CASE WHEN bool_or(b.born IS NOT NULL) OR count(d.col) > 0 THEN '{AT}' ELSE '' END AS updated
+@query("upsert_rows", BATCH_SQL + f"""SELECT n.k AS business_key, bool_or(b.born IS NOT NULL) AS is_new, count(DISTINCT d.col) AS n_changed, CASE WHEN bool_or(b.born IS NOT NULL) OR count(d.col) > 0 THEN '{AT}' ELSE '' END AS updated
 FROM n LEFT JOIN born b USING (k) LEFT JOIN did d ON d.k = n.k AND d.seq = n.seq AND d.col = n.col GROUP BY n.k""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir).rows.select("business_key", "is_new", "n_changed", cells.display_time(F.col("updated_at")).alias("updated"))
 
 
-@query("upsert_audit", _BATCH + """, a AS (SELECT k, col AS column_name, old_value, new_value, source AS source_name FROM did WHERE source = 'user'
+@query("upsert_audit", BATCH_SQL + """, a AS (SELECT k, col AS column_name, old_value, new_value, source AS source_name FROM did WHERE source = 'user'
 UNION ALL SELECT k, 'ROW_UPDATE', NULL, CASE WHEN bool_or(fresh) THEN 'new data' ELSE count(*) || ' fields updated' END, source FROM did WHERE source <> 'user' GROUP BY k, seq, source)
 SELECT k AS business_key, column_name, old_value, new_value, source_name, 'tx-1' AS transaction_id, count(*) AS n FROM a GROUP BY ALL""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir).audit.groupBy("business_key", "column_name", "old_value", "new_value", "source_name", "transaction_id").agg(F.count("*").alias("n"))
 
 
-@query("rows_after_upsert", _BATCH + "SELECT count(*) AS n_rows, count(DISTINCT k) AS n_keys FROM (SELECT k FROM known UNION SELECT k FROM n)")
+@query("rows_after_upsert", BATCH_SQL + "SELECT count(*) AS n_rows, count(DISTINCT k) AS n_keys FROM (SELECT k FROM known UNION SELECT k FROM n)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = _state(spark, sf_dir)
+    rows, _ = state(spark, sf_dir)
     return writes.rows_after(rows, _batch(spark, sf_dir)).agg(F.count_distinct("row_id").alias("n_rows"), F.count_distinct("business_key").alias("n_keys"))
 
 

@@ -11,12 +11,14 @@ from ..functions import cells
 from ..operators import exchange, grid, history
 from ..operators.pieces import PieceIndex
 from ..operators.ranked import RankIndex
+from ..sources.ledger import Ledger
 from ..sources.lines import csv_records_of, lines_of_files
 from ..sources.merged import MergeStore
 from ..sources.rules import Rule, Rules, rows_of_lines
 from ..storage import shared_folder
 from ..streaming.ingest import followed, live_groups
 from . import bindings as b
+from . import extended
 from .registry import ORACLE_SQL, query
 
 
@@ -198,3 +200,31 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     p.select(F.concat(F.lit('"'), "p_name", F.lit("\n"), "p_brand", F.lit('",'), F.col("p_size").cast("string"))).write.text(at)
     fields = exchange.csv_fields(F.col("line"))
     return csv_records_of(spark, at).select(fields[0].alias("line"), fields[1].alias("z")).groupBy("line", "z").agg(F.count("*").alias("n"))
+
+
+# ---- a batch committed whole
+
+def _ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """A batch on a state of rows and past events, delivered twice."""
+    ledger = Ledger(MergeStore(spark, _folder(spark, "ledger")))
+    ledger.begun(*extended.state(spark, sf_dir))
+    for _ in range(2):
+        ledger.committed(extended.updates(spark, sf_dir), "tx-1", F.lit(extended.AT).cast("timestamp"), stream=("feed", 0))
+    return ledger
+
+
+@query("ledger_rows", extended.BATCH_SQL + """, said AS (SELECT k, col, source, value, row_number() OVER (PARTITION BY k, col, source ORDER BY seq DESC) AS r FROM every),
+won AS (SELECT k, col, value, row_number() OVER (PARTITION BY k, col ORDER BY p, length(source), source) AS r2 FROM said JOIN prio USING (source) WHERE r = 1)
+SELECT k AS business_key, col, value FROM won WHERE r2 = 1 AND value IS NOT NULL""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all rows after a batch, as the store's rows have them."""
+    return _ledger(spark, sf_dir).rows().select("business_key", F.explode("data").alias("col", "value")).where("value IS NOT NULL")
+
+
+ORACLE_SQL["ledger_audit"] = ORACLE_SQL["upsert_audit"]
+
+
+@query("ledger_audit")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that were committed with the rows, once."""
+    return _ledger(spark, sf_dir).audit().groupBy("business_key", "column_name", "old_value", "new_value", "source_name", "transaction_id").agg(F.count("*").alias("n"))

@@ -98,7 +98,11 @@ class MergeStore:
         rows = self.spark.read.schema(_FILE).parquet(f"{self.path}/{at}").collect()
         return [File(r.path, r.kind, r.version, tuple(r.lo), tuple(r.hi), r.n_rows) for r in rows]
 
-    def _commit(self, before: int, files: list[File], stream: tuple[str, int] | None) -> int:
+    def took(self, stream: tuple[str, int]) -> bool:
+        """Whether the batch of a source was applied."""
+        return self._entry(self._current())["streams"].get(stream[0], -1) >= stream[1]
+
+    def _commit(self, before: int, files: list[File], stream: tuple[str, int] | None, parts: dict[str, str] | None = None) -> int:
         at = f"files/{uuid.uuid4().hex}"
         rows = [(f.path, f.kind, f.version, f.lo, f.hi, f.n_rows) for f in files]
         self.spark.createDataFrame(rows, _FILE).coalesce(1).write.parquet(f"{self.path}/{at}")
@@ -108,7 +112,7 @@ class MergeStore:
             out = fs.create(p, False)  # fails if it is there
         except Exception as e:
             raise Conflict(f"version {before + 1} is there") from e
-        out.write(bytearray(json.dumps({"files": at, "streams": streams}).encode()))
+        out.write(bytearray(json.dumps({"files": at, "streams": streams, "parts": parts or {}}).encode()))
         out.close()
         return before + 1
 
@@ -134,15 +138,26 @@ class MergeStore:
         last = named.select(*COLUMNS).groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("r"))
         return last.select(*KEY, "r.*").select(*COLUMNS, F.lit(False).alias("deleted"), F.lit(version).cast("bigint").alias("version"))
 
-    def applied(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, stream: tuple[str, int] | None = None) -> int:
+    def applied(
+        self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, stream: tuple[str, int] | None = None,
+        parts_to_append: dict[str, DataFrame] | None = None, on: int | None = None,
+    ) -> int:
         """A version with rows put (the columns of a store's rows) and keys deleted (``KEY``); a key in both is put.
 
         ``stream`` names a source and its batch: one that was applied before is passed
-        over, so a repeated batch is written once.
+        over, so a repeated batch is written once. ``parts_to_append`` are tables that grow by
+        what is given, see :meth:`part`; they count together with the rows or not at
+        all. With ``on``, another last version than this one is a :class:`Conflict`.
         """
         before = self._current()
-        if stream and self._entry(before)["streams"].get(stream[0], -1) >= stream[1]:
+        if stream and self.took(stream):
             return before
+        if on is not None and on != before:
+            raise Conflict(f"version {before} is there, not {on}")
+        appended = {}
+        for name, df in (parts_to_append or {}).items():
+            appended[name] = f"parts/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.path}/{appended[name]}")
         parts = []
         if upserts is not None:
             parts.append(self._checked(upserts, before + 1, False))
@@ -151,7 +166,7 @@ class MergeStore:
             parts.append(gone.join(parts[0].select(*KEY), KEY, "left_anti").select(*gone.columns) if parts else gone)
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         old = self.catalogue(before)
-        return self._commit(before, old + self._written(rows, "delta" if old else "base"), stream)
+        return self._commit(before, old + self._written(rows, "delta" if old else "base"), stream, appended)
 
     def compacted(self) -> int:
         """A version without deltas: base files whose ranges meet one are rewritten, the others are the same files."""
@@ -191,6 +206,13 @@ class MergeStore:
         rows = self._rows(files).select(*COLUMNS)
         return rows if table is None else rows.where(F.col("table_name") == table)
 
+    def part(self, name: str, schema: str, version: int | None = None) -> DataFrame:
+        """What was appended to a part up to a version; the driver reads an entry of the log for each version."""
+        last = self._current() if version is None else version
+        added = [self._entry(v).get("parts", {}).get(name) for v in self.versions() if v <= last]
+        paths = [f"{self.path}/{p}" for p in added if p]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def found(self, table: str, row_id: str, version: int | None = None) -> DataFrame:
         """The row of a key, from the files whose ranges hold it."""
         files = [f for f in self.catalogue(version) if f.lo <= (table, row_id) <= f.hi]
