@@ -143,16 +143,40 @@ def archive(spark: SparkSession, file: str, folder: str, at: int) -> str:
     return dest.toString()
 
 
-def copied_over_jdbc(spark: SparkSession, source: dict[str, str], target: dict[str, str], tables: dict[str, dict[str, str]]) -> None:
+def copied_over_jdbc(
+    spark: SparkSession, source: dict[str, str], target: dict[str, str], tables: dict[str, dict[str, str]], keys: dict[str, list[str]] | None = None
+) -> None:
     """Copies tables from one database to another, texts without invalid UTF-8.
 
     ``source`` and ``target`` are JDBC options (``url, driver, user, ...``); ``tables``
-    has options for reading each table, such as ``partitionColumn, lowerBound,
-    upperBound, numPartitions``, by which executors read it side by side.
+    has options for reading each table, such as ``partitionColumn, numPartitions``, by
+    which executors read it side by side. Bounds that aren't given are asked for.
+
+    ``keys`` names the columns, never null, that tell a table's rows apart. Of such a
+    table only rows are written whose keys the target lacks, so a copy that was stopped
+    goes on with the rest when it is called again. Other tables are appended whole.
     """
     from ..functions.cells import sanitised
 
     for name, options in tables.items():
+        options = _with_bounds(spark, source, name, options)
         rows = spark.read.format("jdbc").options(**source, **options, dbtable=name).load()
         clean: dict[str, Column] = {f.name: sanitised(F.col(f"`{f.name}`")) for f in rows.schema.fields if isinstance(f.dataType, T.StringType)}
-        rows.withColumns(clean).write.format("jdbc").options(**target, dbtable=name).mode("append").save()
+        rows = rows.withColumns(clean)
+        own = (keys or {}).get(name)
+        if own:
+            there = spark.read.format("jdbc").options(**target, **options, dbtable=name).load()
+            rows = rows.join(there.select(*(F.col(f"`{c}`") for c in own)), own, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns))
+        rows.write.format("jdbc").options(**target, dbtable=name).mode("append").save()
+
+
+def _with_bounds(spark: SparkSession, source: dict[str, str], name: str, options: dict[str, str]) -> dict[str, str]:
+    """Options with the least and greatest value of ``partitionColumn`` as bounds; without both if the table is empty."""
+    column = options.get("partitionColumn")
+    if column is None or "lowerBound" in options:
+        return options
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(source["url"]).quoteIdentifier(column)
+    span = spark.read.format("jdbc").options(**source, dbtable=f"(SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {name}) span").load().first()
+    if span[0] is None:
+        return {k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions")}
+    return options | {"lowerBound": str(span[0]), "upperBound": str(span[1])}

@@ -223,3 +223,13 @@ def test_copy_over_jdbc(spark, tmp_path):
     store.copied_over_jdbc(spark, a, b, {"t": {"partitionColumn": "id", "lowerBound": "0", "upperBound": "20", "numPartitions": "4"}})
     got = spark.read.format("jdbc").options(**b, dbtable="t").load()
     assert sorted((r[0], r[1]) for r in got.collect()) == sorted((i, f"n{i}") for i in range(20))
+    # a copy that was stopped: some rows are there, some not; bounds are asked for
+    spark.createDataFrame([(i, f"n{i}") for i in range(20, 50)], "id int, name string").write.format("jdbc").options(**a, dbtable="t").mode("append").save()
+    for _ in range(2):
+        store.copied_over_jdbc(spark, a, b, {"t": {"partitionColumn": "id", "numPartitions": "4"}}, keys={"t": ["id"]})
+        got = spark.read.format("jdbc").options(**b, dbtable="t").load()
+        assert sorted((r[0], r[1]) for r in got.collect()) == sorted((i, f"n{i}") for i in range(50))
+    for end in (a, b):
+        rows.limit(0).write.format("jdbc").options(**end, dbtable="empty_one").save()
+    store.copied_over_jdbc(spark, a, b, {"empty_one": {"partitionColumn": "id", "numPartitions": "4"}}, keys={"empty_one": ["id"]})
+    assert spark.read.format("jdbc").options(**b, dbtable="empty_one").load().count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.cells import PRIORITY
 from cellweave.operators import exchange, grid, layering, writes
 from cellweave.operators.ranked import RankIndex
+from cellweave.sources.ledger import Ledger
 from cellweave.sources.merged import Conflict, MergeStore, meeting
 from cellweave.sources.rules import Rule, Rules
 from cellweave.sources.store import SCHEMA
@@ -363,3 +364,65 @@ def test_search_by_pieces(spark, tmp_path):
     assert pieces_of("ABAB") == ["aba", "bab"] and pieces_of("ab") == []
     with pytest.raises(ValueError, match="indexed"):
         index.search("abc", ["row_id"])
+
+
+# ---- the ledger
+
+
+def _updates(spark, rows):
+    return spark.createDataFrame(rows, "seq long, table_name string, row_id string, business_key string, cells map<string,string>, source string, updated_by string")
+
+
+def _ledger(spark, path):
+    ledger = Ledger(MergeStore(spark, path, files=4))
+    given = spark.createDataFrame([("t", f"r{i}", f"k{i}", None, None) for i in range(8)], "table_name string, row_id string, business_key string, created_at timestamp, updated_at timestamp")
+    events = spark.createDataFrame([(i, "old", "t", f"r{i}", "a", "parser_a", f"v{i}", "p") for i in range(8)], EVENTS)
+    assert ledger.begun(given, events) == 1
+    return ledger
+
+
+def test_batches_of_a_ledger_follow_each_other(spark, tmp_path):
+    """Cells as all events make them, whichever batch brought them; what a batch doesn't change stays."""
+    ledger, at = _ledger(spark, str(tmp_path / "l")), F.lit("2024-01-02").cast("timestamp")
+    first = [(10, "t", "r1", None, {"a": "user's", "b": "x"}, "user", "ann"), (11, "t", None, "new", {"a": "n"}, "parser_a", "p"), (12, "t", "r2", None, {"a": "v2"}, "parser_a", "p")]
+    second = [(20, "t", "r1", None, {"a": "masked", "c": None}, "parser_a", "p"), (21, "t", None, " new ", {"b": "later"}, "parser_a", "p"), (22, "t", "r1", None, {"b": "y"}, "user", "ann")]
+    assert ledger.committed(_updates(spark, first), "tx-1", at, stream=("s", 0)) == 2
+    assert ledger.committed(_updates(spark, second), "tx-2", at, stream=("s", 1)) == 3
+    for batch, n in ((first, 0), (second, 1)):
+        assert ledger.committed(_updates(spark, batch), "again", at, stream=("s", n)) == 3
+    got = {r.business_key: {k: v for k, v in r.data.items() if v is not None} for r in ledger.rows().collect()}
+    want = {f"k{i}": {"a": f"v{i}"} for i in range(8)} | {"k1": {"a": "user's", "b": "y"}, "new": {"a": "n", "b": "later"}}
+    assert got == want
+    of = {r.row_id: r.business_key for r in ledger.rows().collect()}
+    told: dict[str, dict] = {}
+    for r in layering.effective(ledger.events()).where("value IS NOT NULL").collect():
+        told.setdefault(of[r.row_id], {})[r.col] = r.value
+    assert told == want
+    audit = sorted((r.transaction_id, r.business_key, r.column_name, r.new_value) for r in ledger.audit().collect())
+    assert audit == [("tx-1", "k1", "a", "user's"), ("tx-1", "k1", "b", "x"), ("tx-1", "new", "ROW_UPDATE", "new data"), ("tx-2", "k1", "b", "y"), ("tx-2", "new", "ROW_UPDATE", "1 fields updated")]
+    assert ledger.audit(2).count() == 3 and ledger.events(1).count() == 8 and ledger.audit(1).count() == 0
+
+
+@pytest.mark.parametrize("step", ["_written", "_commit"])
+def test_a_batch_counts_whole_or_not_at_all(spark, tmp_path, monkeypatch, step):
+    ledger, at = _ledger(spark, str(tmp_path / "l")), F.lit("2024-01-02").cast("timestamp")
+    batch, plain = _updates(spark, [(10, "t", "r1", None, {"a": "u"}, "user", "ann")]), getattr(MergeStore, step)
+
+    def fails(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(MergeStore, step, fails)
+    with pytest.raises(OSError):
+        ledger.committed(batch, "tx-1", at, stream=("s", 0))
+    assert ledger.store.versions() == [1] and ledger.events().count() == 8 and ledger.audit().count() == 0 and ledger.rows().where("data['a'] = 'u'").count() == 0
+    monkeypatch.setattr(MergeStore, step, plain)
+    assert ledger.committed(batch, "tx-1", at, stream=("s", 0)) == 2
+    assert ledger.events().count() == 9 and ledger.audit().count() == 1 and ledger.rows().where("data['a'] = 'u'").count() == 1
+
+
+def test_a_batch_on_a_version_that_is_no_longer_the_last_is_a_conflict(spark, tmp_path):
+    ledger = _ledger(spark, str(tmp_path / "l"))
+    ledger.store.applied(rows(spark, ["r1"], "other"))
+    with pytest.raises(Conflict):
+        ledger.store.applied(rows(spark, ["r1"], "mine"), parts_to_append={"events": ledger.events()}, on=1)
+    assert ledger.store.found("t", "r1").first().data == {"v": "other"} and ledger.events().count() == 8
