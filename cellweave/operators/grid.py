@@ -259,6 +259,12 @@ def adapted_chunk(chunk: int, seconds: float, batch: bool = False) -> int:
     return min(1000, int(chunk * 1.1)) if seconds < 0.5 else max(50, int(chunk * 0.9)) if seconds > 0.55 else chunk
 
 
+def adapted_chunks(chunk: F.Column, seconds: F.Column, batch: F.Column) -> F.Column:
+    """:func:`adapted_chunk` of every row; null times are neither fast nor slow, a null ``batch`` is none."""
+    fast, slow = F.least(F.lit(1000), F.floor(chunk * 1.1)), F.greatest(F.lit(50), F.floor(chunk * 0.9))
+    return F.when(batch, chunk).when(seconds < 0.5, fast).when(seconds > 0.55, slow).otherwise(chunk)
+
+
 def next_batch(grid: DataFrame, order: Order, fetched: int, n: int = 10_000) -> DataFrame:
     """The ``n`` rows after those already fetched."""
     return page(grid, order, fetched, n)
@@ -289,3 +295,9 @@ def schema_of(grid: DataFrame, display: list[str] | None = None) -> list[str]:
 
 def should_search(q: str) -> bool:
     return len(q) == 0 or len(q) >= 3
+
+
+def searches(q: F.Column) -> F.Column:
+    """:func:`should_search` of every row; null counts as empty."""
+    n = F.length(F.coalesce(q, F.lit("")))
+    return (n == 0) | (n >= 3)

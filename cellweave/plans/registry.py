@@ -356,4 +356,4 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(p.select(F.col("p_partkey").cast("string").alias("file"), text.alias("text")), rules).select("file", "lot", "name", "size", "flag", "brand")
 
 
-from . import extended, kept  # noqa: E402, F401 - add their queries
+from . import client, extended, kept  # noqa: E402, F401 - add their queries

@@ -233,3 +233,14 @@ def test_copy_over_jdbc(spark, tmp_path):
         rows.limit(0).write.format("jdbc").options(**end, dbtable="empty_one").save()
     store.copied_over_jdbc(spark, a, b, {"empty_one": {"partitionColumn": "id", "numPartitions": "4"}}, keys={"empty_one": ["id"]})
     assert spark.read.format("jdbc").options(**b, dbtable="empty_one").load().count() == 0
+
+
+def test_columns_agree_with_the_client_helpers(spark):
+    rows = [(c, s, b) for c in (50, 51, 100, 333, 909, 910, 1000) for s in (0.0, 0.499, 0.5, 0.55, 0.56, 9.0, None) for b in (True, False, None)]
+    got = spark.createDataFrame(rows, "c int, s double, b boolean").select("*", grid.adapted_chunks(F.col("c"), F.col("s"), F.col("b")).alias("n")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n == (r.c if r.s is None else grid.adapted_chunk(r.c, r.s, bool(r.b)))
+    texts = [("",), ("a",), ("ab",), ("abc",), ("ab ",), (None,)]
+    found = spark.createDataFrame(texts, "q string").select("q", grid.searches(F.col("q")).alias("runs")).collect()
+    assert [r.runs for r in found] == [grid.should_search(r.q or "") for r in found]
