@@ -152,6 +152,36 @@ def postings(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame
     )
 
 
+def equal_runs(text: np.ndarray, words: np.ndarray, begin: np.ndarray, item: np.ndarray, at: np.ndarray, window: int, most: int = 1 << 20) -> np.ndarray:
+    """Distinct ``item, begin, end`` of runs of at least a window's length in which a text equals an item that begins ``at``, in order.
+
+    All beginnings are compared side by side, as many at a time as have about ``most`` words.
+    """
+    size = begin[item + 1] - begin[item]
+    low, high = np.maximum(0, -at), np.minimum(size, len(text) - at)
+    fits = high - low >= np.minimum(window, size)
+    item, at, size, low, n = item[fits], at[fits], size[fits], low[fits], (high - low)[fits]
+    # a word that equals nothing ends each beginning's part
+    bounds = np.concatenate([[0], np.cumsum(n + 1)])
+    out, i = [np.zeros((3, 0), np.int64)], 0
+    while i < len(item):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
+        which = np.repeat(np.arange(i, j), n[i:j] + 1)
+        nth = np.arange(bounds[i], bounds[j]) - bounds[which]
+        inside = np.flatnonzero(nth < n[which])
+        place = low[which[inside]] + nth[inside]
+        equal = np.zeros(len(which) + 1, np.int8)
+        equal[inside + 1] = words[begin[item[which[inside]]] + place] == text[at[which[inside]] + place]
+        edge = np.diff(equal)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        whole = last - first >= np.minimum(window, size[which[first]])
+        own, length = which[first[whole]], (last - first)[whole]
+        start = at[own] + low[own] + nth[first[whole]]
+        out.append(np.stack([item[own], start, start + length]))
+        i = j
+    return np.unique(np.concatenate(out, axis=1), axis=1)
+
+
 def _compared(docs: DataFrame, wanted: DataFrame, block: Block, window: int) -> DataFrame:
     """``doc_id, text_key, item, spans``: where runs of a window's length begin and end (exclusive), for ``wanted`` beginnings."""
     shared = docs.sparkSession.sparkContext.broadcast((block.words, block.begin))
@@ -165,33 +195,28 @@ def _compared(docs: DataFrame, wanted: DataFrame, block: Block, window: int) ->
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, begin = shared.value
         for batch in batches:
-            of, spans, item = [], [], []
             lists = batch.column("w")
+            edges = lists.offsets.to_numpy()
+            item, at = (lists.values.field(x).to_numpy().astype(np.int64) for x in ("item", "at"))
+            of, found = [], []
             for c in chunks(batch.column("text"), ALNUM):
                 for j in range(c.n_texts):
-                    h = c.hash[c.begin[j] : c.begin[j + 1]]
-                    found: dict[int, set[tuple[int, int]]] = {}
-                    for x in lists[c.first + j].as_py():
-                        i, at = x["item"], x["at"]
-                        own = words[begin[i] : begin[i + 1]]
-                        lo, hi = max(0, -at), min(len(own), len(h) - at)
-                        need = min(window, len(own))
-                        if hi - lo < need:
-                            continue
-                        edge = np.diff(np.concatenate([[0], (own[lo:hi] == h[lo + at : hi + at]).astype(np.int8), [0]]))
-                        for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                            if e - s >= need:
-                                found.setdefault(i, set()).add((int(s + lo + at), int(e + lo + at)))
-                    for i, got in found.items():
-                        of.append(c.first + j)
-                        item.append(i)
-                        spans.append([{"begin": s, "end": e} for s, e in sorted(got)])
-            at = pa.array(of, pa.int64())
-            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+                    own = slice(edges[c.first + j], edges[c.first + j + 1])
+                    got = equal_runs(c.hash[c.begin[j] : c.begin[j + 1]], words, begin, item[own], at[own], window)
+                    found.append(got)
+                    of.append(np.full(got.shape[1], c.first + j))
+            row = np.concatenate(of) if of else np.zeros(0, np.int64)
+            which, start, end = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (which[1:] != which[:-1]))) if len(row) else np.zeros(0, np.int64)
+            spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["begin", "end"])
+            texts = pa.array(row[new])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(item, pa.int32()), pa.array(spans, kind)],
+                [
+                    batch.column("doc_id").take(texts), batch.column("text_key").take(texts), pa.array(which[new], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), spans),
+                ],
                 ["doc_id", "text_key", "item", "spans"],
-            )
+            )
 
     found = both.mapInArrow(runs, f"doc_id {id_type}, text_key bigint, item int, spans array<struct<begin:int,end:int>>")
     # repeated rows have the same matches
