@@ -9,7 +9,8 @@ partial counts, one for each partition, are then added up.
 
 Edge cases: null and empty texts have one empty line; rows that share a
 ``doc_id`` count as one document, null being one id; identical rows get the
-same bitmap; lines and texts of any length are read whole; an empty table gives no
+same bitmap; lines and texts of any length are read whole,
+as bytes, so invalid UTF-8 stays as it is; an empty table gives no
 rows. Columns besides ``doc_id`` and ``text`` are carried by :func:`without_lines`
 under names of their own and never referred to.
 """
@@ -45,9 +46,9 @@ def line_keys(docs: DataFrame, copies: bool = False) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, pos, digests, copy = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 before = len(digests)
-                for j, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                for j, line in enumerate((text or b"").split(b"\n")):
                     if key := line.strip(b" \t\n\x0b\x0c\r").lower():
                         row.append(i)
                         pos.append(j)
@@ -192,10 +193,10 @@ def runs_of(stays: np.ndarray) -> str:
     return ",".join(map(str, np.diff(np.concatenate([[0], edges])).tolist()))
 
 
-def _kept(text: str | None, dropped: bytes | None) -> tuple[str, np.ndarray]:
-    lines = (text or "").split("\n")
+def _kept(text: bytes | None, dropped: bytes | None) -> tuple[bytes, np.ndarray]:
+    lines = (text or b"").split(b"\n")
     stays = _stays(len(lines), dropped)
-    return "\n".join(x for x, s in zip(lines, stays.tolist(), strict=True) if s), stays
+    return b"\n".join(x for x, s in zip(lines, stays.tolist(), strict=True) if s), stays
 
 
 def without_lines(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) -> DataFrame:
@@ -211,17 +212,17 @@ def without_lines(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) ->
         @F.pandas_udf("n_lines long, kept_sha256 string, keep_runs string")
         def summed(text: pd.Series, dropped: pd.Series) -> pd.DataFrame:
             out = [_kept(t, d) for t, d in zip(text, dropped, strict=True)]
-            sha = [hashlib.sha256(t.encode()).hexdigest() for t, _ in out]
+            sha = [hashlib.sha256(t).hexdigest() for t, _ in out]
             return pd.DataFrame({"n_lines": [len(s) for _, s in out], "kept_sha256": sha, "keep_runs": [runs_of(s) for _, s in out]})
 
-        done = both.select(docs["doc_id"], F.coalesce(b["n_dropped"], F.lit(0)).cast("bigint").alias("n_dropped"), summed(docs["text"], "__dropped").alias("x"))
+        done = both.select(docs["doc_id"], F.coalesce(b["n_dropped"], F.lit(0)).cast("bigint").alias("n_dropped"), summed(docs["text"].cast("binary"), "__dropped").alias("x"))
         return done.select("doc_id", "x.n_lines", "n_dropped", "x.kept_sha256", "x.keep_runs")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.BinaryType())
     def kept(text: pd.Series, dropped: pd.Series) -> pd.Series:
         return pd.Series([_kept(t, d)[0] for t, d in zip(text, dropped, strict=True)], dtype=object)
 
-    text = F.when(F.col("__dropped").isNull(), docs["text"]).otherwise(kept(docs["text"], "__dropped"))
+    text = F.when(F.col("__dropped").isNull(), docs["text"]).otherwise(kept(docs["text"].cast("binary"), "__dropped").cast("string"))
     return both.select(*(text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns))
 
 

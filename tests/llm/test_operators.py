@@ -8,6 +8,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cellweave.llm import decontam, entry, licenses, linedup, ngram, packing, quality, secrets, urls
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,6 +68,19 @@ def test_line_dedup(spark, docs, min_docs, keep_first):
     assert out.columns == docs.columns and out.count() == len(rows())
 
 
+def test_lines_of_invalid_utf8(spark):
+    """Bytes that are no UTF-8 are compared and kept as they are."""
+    raw = [b"\xff\nshared \xc3\nown", b"Shared \xc3 \n\xfe", b"clean", None]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id int, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    bitmaps = linedup.drop_bitmaps(docs, 2)
+    got = {r.doc_id: r for r in linedup.without_lines(docs, bitmaps, digest=True).collect()}
+    want = [b"\xff\nown", b"\xfe", b"clean", b""]
+    assert [got[i].kept_sha256 for i in range(4)] == [hashlib.sha256(w).hexdigest() for w in want]
+    assert [(got[i].n_lines, got[i].n_dropped) for i in range(4)] == [(3, 1), (2, 1), (1, 0), (1, 0)]
+    kept = linedup.without_lines(docs, bitmaps).select("doc_id", F.col("text").cast("binary").alias("t")).collect()
+    assert {r.doc_id: None if r.t is None else bytes(r.t) for r in kept} == {0: want[0], 1: want[1], 2: want[2], 3: None}
+
+
 def test_line_keys_stay_whole_beside_null_ids(spark):
     many = [(i, "\n".join(f"line {k}" for k in range(40))) for i in (None, 1, 2, None)]
     d = spark.createDataFrame(many, "doc_id bigint, text string").coalesce(1)
