@@ -131,7 +131,7 @@ def _without_place(x: Column) -> Column:
 def weighed(docs: DataFrame, target: DataFrame, n: int = N_GRAM, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, n_words, n_features, weight`` of each row, stored in the shared folder; ``target`` has ``text``."""
     spark = docs.sparkSession
-    parts, at_parts = stored(parts_of(docs, n))
+    parts, at_parts = stored(parts_of(docs, n), large_rows=True)
     own = grams_of(parts)
     corpus, at_corpus = stored(hashed(own, buckets))
     wanted = hashed(grams_of(parts_of(target.select(F.lit(0).alias("doc_id"), "text"), n)), buckets)

@@ -10,6 +10,9 @@ from ..storage import current_folder, removed, shared_folder
 
 __all__ = ["checkpoint_dir", "fresh_folder", "keep", "removed", "stored", "table"]
 
+#: Row groups of about 8 MB; their size, as that of pages, is looked at after each row.
+_FEW_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
 #: The folder all executors share, as the cluster names it.
 checkpoint_dir = shared_folder
 
@@ -26,10 +29,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df``, written as a table to the shared folder and read from there, and the table's path for :func:`removed`."""
+def stored(df: DataFrame, large_rows: bool = False) -> tuple[DataFrame, str]:
+    """``df``, written as a table to the shared folder and read from there, and the table's path for :func:`removed`.
+
+    With ``large_rows``, of megabytes each, a row group has few of them: by default
+    Parquet looks at its size only after 100 rows, and readers of nested columns
+    take up to a whole row group at once.
+    """
     path = fresh_folder(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(_FEW_ROWS if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -1,5 +1,6 @@
 """Importance resampling against a brute-force version."""
 
+import glob
 import hashlib
 import math
 import random
@@ -7,9 +8,10 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
-from cellweave.llm import resample
+from cellweave.llm import resample, shared
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id bigint, text string, part int, gram string, docs string, bucket int, weight int, rank int"
@@ -79,3 +81,25 @@ def test_empty_tables(spark):
     assert resample.resampled(d.limit(0), t).count() == 0
     got = [tuple(r) for r in resample.resampled(d, t.limit(0), percent=50).collect()]
     assert sorted(got, key=repr) == sorted(brute(docs, [], 50, 20, 1, 10_000), key=repr)
+
+
+def test_a_row_group_has_few_parts(spark, monkeypatch):
+    """Readers take a row group of nested columns at once, so a group must not have all parts of a file."""
+    monkeypatch.setattr(resample, "PART_BYTES", 1)
+    monkeypatch.setattr(resample, "removed", lambda *_: None)
+    monkeypatch.setitem(shared._FEW_ROWS, "parquet.block.size", 1 << 20)
+    rnd, kept = random.Random(5), []
+
+    def stored(df, **how):
+        out = shared.stored(df, **how)
+        kept.append((df.columns, out[1]))
+        return out
+
+    monkeypatch.setattr(resample, "stored", stored)
+    docs = [(i, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(20_000))) for i in range(12)]
+    rows = resample.weighed(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), spark.createDataFrame([("a b",)], "text string"))
+    assert rows.count() == 12
+    path = next(p for columns, p in kept if "grams" in columns)
+    path = path.removeprefix("file:")
+    groups = [f.row_group(i).num_rows for f in map(pq.read_metadata, glob.glob(f"{path}/*.parquet")) for i in range(f.num_row_groups)]
+    assert sum(groups) == 12 and max(groups) <= 4
