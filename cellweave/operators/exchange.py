@@ -10,7 +10,7 @@ from ..functions.cells import SYSTEM_COLUMNS, csv_field, stripped
 from .grid import Order
 from .numbering import numbered
 
-MAX_EXPORT, FEED_CHUNK, REFRESH_ABOVE = 1_000_000, 500, 100
+FEED_CHUNK, REFRESH_ABOVE = 500, 100
 #: A quoted field. Its parts never give characters back, so no field is too long for the matcher's stack.
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
@@ -19,8 +19,10 @@ def csv_line(columns: list[str]) -> Column:
     return F.concat_ws(",", *(csv_field(F.col(c).cast("string")) for c in columns))
 
 
-def export_lines(grid: DataFrame, columns: list[str], order: Order, most: int = MAX_EXPORT) -> DataFrame:
-    return grid.orderBy(*order.columns()).limit(most).select("row_id", csv_line(columns).alias("line"))
+def export_lines(grid: DataFrame, columns: list[str], order: Order, most: int | None = None) -> DataFrame:
+    """``row_id, line`` of all rows in order, or of the first ``most``."""
+    ordered = grid.orderBy(*order.columns())
+    return (ordered if most is None else ordered.limit(most)).select("row_id", csv_line(columns).alias("line"))
 
 
 def export_header(grid: DataFrame, first_row: DataFrame | None = None) -> list[str]:
@@ -33,10 +35,10 @@ def export_header(grid: DataFrame, first_row: DataFrame | None = None) -> list[s
     return [*sorted(names), "created_at", "updated_at"]
 
 
-def export_csv(grid: DataFrame, order: Order, path: str, columns: list[str] | None = None, most: int = MAX_EXPORT) -> None:
+def export_csv(grid: DataFrame, order: Order, path: str, columns: list[str] | None = None, most: int | None = None) -> None:
     """CSV files in order of their names: UTF-8 with a mark, a header, CRLF, quotes where needed, null as nothing.
 
-    By default all cells and the row's times (null where the grid has none). The
+    All rows, or the first ``most``. By default all cells and the row's times (null where the grid has none). The
     mark and the header are lines of their own before the first row, so the files
     put together are one export.
     """
@@ -44,7 +46,8 @@ def export_csv(grid: DataFrame, order: Order, path: str, columns: list[str] | No
     for c in ("created_at", "updated_at"):
         if c in columns and c not in grid.columns:
             grid = grid.withColumn(c, F.lit(None).cast("timestamp"))
-    top = numbered(grid.orderBy(*order.columns()).limit(most).select("row_id", *({*columns} - {"row_id"}), *_keys(order, columns)), order.columns())
+    first = grid if most is None else grid.orderBy(*order.columns()).limit(most)
+    top = numbered(first.select("row_id", *({*columns} - {"row_id"}), *_keys(order, columns)), order.columns())
     head = F.concat(F.lit("\ufeff"), F.lit(",".join(columns)))
     lines = top.select(F.col("nth"), csv_line(columns).alias("line")).unionByName(grid.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("nth"), head.alias("line")))
     lines.repartitionByRange("nth").sortWithinPartitions("nth").select("line").write.option("lineSep", "\r\n").text(path)

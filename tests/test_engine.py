@@ -77,6 +77,17 @@ def test_offsets_too_far_apart(spark):
     with pytest.raises(ValueError):
         grid.ids_at(g, grid.Order(), [0, 50_001])
     assert grid.ids_at(g, grid.Order(), []).count() == 0
+    assert [tuple(r) for r in grid.ids_at(g, grid.Order(), [-1, 0, 49_000]).collect()] == [(1, 0, "1")]
+
+
+def test_every_row_is_exported(spark, tmp_path):
+    n = 1_000_003
+    g = spark.range(n).select(F.format_string("r%07d", "id").alias("row_id"), F.col("id").alias("x"))
+    lines = exchange.export_lines(g, ["x"], grid.Order())
+    assert lines.agg(F.count("*"), F.sum("line"), F.max("row_id")).first() == (n, n * (n - 1) / 2, f"r{n - 1:07}")
+    exchange.export_csv(g, grid.Order(), str(tmp_path / "all"), ["x"])
+    assert spark.read.text(str(tmp_path / "all")).count() == n + 1
+    assert [r.line for r in exchange.export_lines(g, ["x"], grid.Order(), 2).collect()] == ["0", "1"]
 
 
 def test_csv_fields(spark):
