@@ -69,6 +69,11 @@ def lines_of(texts: DataFrame, rules: Rules) -> DataFrame:
     start mark, or the whole file if there is no such mark. Marks are found within
     the row of the file, so lines aren't shuffled.
     """
+    return _each(_marked(texts, rules))
+
+
+def _marked(texts: DataFrame, rules: Rules) -> DataFrame:
+    """``file``, all lines as they are (``raw``) and stripped, and where its body (``first, last``) and the end of its header (``head``) are."""
     # numbers of lines are from 0, those of found marks from 1; 0 is none
     found = lambda lines, mark: F.array_position(F.transform(lines, lambda x: x.rlike(mark)), F.lit(True))
     out = texts.select("file", F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n").alias("raw"))
@@ -77,11 +82,15 @@ def lines_of(texts: DataFrame, rules: Rules) -> DataFrame:
         at, raw_at = found(F.col("lines"), rules.start), found(F.col("raw"), rules.start)
         out = out.withColumns({"first": F.when(at > 0, at).otherwise(F.col("size")), "head": F.when(raw_at > 0, raw_at - 1).otherwise(F.col("size"))})
     end = found(F.slice("lines", F.col("first").cast("int") + 1, F.col("size")), rules.end) if rules.end else F.lit(0)
-    out = out.withColumn("last", F.when(end > 0, F.col("first") + end - 2).otherwise(F.col("size") - 1))
-    each = out.select("file", "first", "last", "head", F.posexplode(F.arrays_zip("raw", "lines")).alias("n", "l"))
+    return out.withColumn("last", F.when(end > 0, F.col("first") + end - 2).otherwise(F.col("size") - 1))
+
+
+def _each(marked: DataFrame, *more: str) -> DataFrame:
+    """The lines, with ``more`` columns of their files."""
+    each = marked.select("file", *more, "first", "last", "head", F.posexplode(F.arrays_zip("raw", "lines")).alias("n", "l"))
     body = F.when(F.col("n").between(F.col("first"), F.col("last")) & (F.col("l.lines") != ""), F.struct(F.col("l.lines").alias("line"), F.lit("body").alias("part")))
     header = F.when(F.col("n") < F.col("head"), F.struct(F.col("l.raw").alias("line"), F.lit("header").alias("part")))
-    return each.select("file", "n", F.inline(F.array_compact(F.array(body, header))))
+    return each.select("file", *more, "n", F.inline(F.array_compact(F.array(body, header))))
 
 
 def rows_of(texts: DataFrame, rules: Rules) -> DataFrame:
@@ -89,28 +98,47 @@ def rows_of(texts: DataFrame, rules: Rules) -> DataFrame:
 
     A line is kept if some rule matched and cast, and every required column has a
     value or a default. Defaults fill what is missing; body columns override file and header ones.
+    What the header says is found within the row of the file, too; nothing is shuffled.
     """
-    return rows_of_lines(lines_of(texts, rules), rules)
+    marked, heads = _marked(texts, rules), _heads(rules)
+    if not heads:
+        return _body(_each(marked), rules)
+    last = lambda r: F.try_element_at(F.filter(F.slice("raw", 1, F.col("head")), r.found), F.lit(-1))
+    told = marked.withColumn("__line", F.array(*map(last, heads))).withColumn("__told", F.array(*(r.value(F.col("__line")[i]) for i, r in enumerate(heads))))
+    body = _body(_each(told, "__told"), rules, "__told")
+    return body.withColumns({r.column: F.col("__told")[i] for i, r in enumerate(heads)}).drop("__told")
 
 
 def rows_of_lines(lines: DataFrame, rules: Rules) -> DataFrame:
-    """:func:`rows_of` from lines, whether of texts or of large files."""
+    """:func:`rows_of` from lines of large files, whose headers are joined."""
+    body, heads = _body(lines, rules), _heads(rules)
+    if not heads:
+        return body
+    line = F.col("line")
+    last = [F.max_by(r.value(line), F.when(r.found(line), F.col("n"))).alias(r.column) for r in heads]
+    return body.join(lines.where("part = 'header'").groupBy("file").agg(*last), "file", "left")
+
+
+def _body(lines: DataFrame, rules: Rules, *more: str) -> DataFrame:
+    """``file, n``, ``more`` columns and those of the body and the file's name, of each kept line."""
     line = F.col("line")
     got = [r.value(line) for r in rules.body]
     keep = reduce(or_, (g.isNotNull() for g in got)) & reduce(
         and_, (F.coalesce(g, F.lit(r.default)).isNotNull() for r, g in zip(rules.body, got, strict=True) if r.required), F.lit(True)
     )
     own = [F.coalesce(g, F.lit(r.default)).alias(r.column) for r, g in zip(rules.body, got, strict=True)]
-    body = lines.where("part = 'body'").where(keep).select("file", "n", *own)
+    body = lines.where("part = 'body'").where(keep).select("file", "n", *more, *own)
+    return body.withColumns({r.column: r.value(F.element_at(F.split("file", "/"), -1)) for r in _on_file(rules)})
+
+
+def _on_file(rules: Rules) -> list[Rule]:
     names = {r.column for r in rules.body}
-    on_file = [r for r in rules.file_name if r.column not in names]
-    body = body.withColumns({r.column: r.value(F.element_at(F.split("file", "/"), -1)) for r in on_file})
-    names |= {r.column for r in on_file}
-    heads = [r for r in rules.header if r.column not in names]
-    if not heads:
-        return body
-    last = [F.max_by(r.value(line), F.when(r.found(line), F.col("n"))).alias(r.column) for r in heads]
-    return body.join(lines.where("part = 'header'").groupBy("file").agg(*last), "file", "left")
+    return [r for r in rules.file_name if r.column not in names]
+
+
+def _heads(rules: Rules) -> list[Rule]:
+    names = {r.column for r in (*rules.body, *_on_file(rules))}
+    return [r for r in rules.header if r.column not in names]
 
 
 def keyed(rows: DataFrame, key: str = "id") -> DataFrame:

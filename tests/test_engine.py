@@ -72,6 +72,16 @@ def test_search_takes_marks_literally(spark):
     assert grid.searched(g.limit(0), "x").count() == 0
 
 
+def test_headers_are_read_without_a_shuffle(spark):
+    rules = Rules([Rule("a", r"a=(\d+)")], header=[Rule("lot", r"lot=(\S*)"), Rule("k", r"k=(\S+)", "int"), Rule("a", "(lot)")], file_name=[Rule("f", r"f_(\d+)")], start="^begin$")
+    texts = [("x/f_1", "lot=p\nlot=q k=7\nk=no\nbegin\na=1\nlot=z a=2"), ("x/g", "begin\na=3"), ("x/f_2", None), (None, "k=5\nbegin\na=4")]
+    got = rows_of(spark.createDataFrame(texts, "file string, text string"), rules)
+    want = [("x/f_1", 4, "1", "1", "q", None), ("x/f_1", 5, "2", "1", "q", None), ("x/g", 1, "3", None, None, None), (None, 2, "4", None, None, "5")]
+    assert sorted(map(tuple, got.select("file", "n", "a", "f", "lot", "k").collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 def test_offsets_too_far_apart(spark):
     g = spark.createDataFrame([("1",)], "row_id string")
     with pytest.raises(ValueError):
