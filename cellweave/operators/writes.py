@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import is_writable, sanitised, stripped, time_ordered_id
+from ..storage import stored
 from . import layering
 from .history import BATCH
 from .layering import CELL
@@ -52,6 +53,8 @@ def applied(
     of ``key_column``, if the update or the row has one that isn't null. A cell is
     changed if its row is new, or if the text of its effective value differs. A
     user's changes are logged cell by cell, others' by one entry for each update.
+
+    Updates with their rows, and changed cells, are stored in the shared folder.
     """
     key = F.nullif(stripped(F.col("business_key")), F.lit(""))
     u = updates.withColumn("given_key", key).drop("business_key")
@@ -61,7 +64,8 @@ def applied(
     found = F.when(F.col("by_id"), F.col("row_id")).otherwise(F.col("key_id"))
     # a key never names the row of a number, nor two parts together what two others do
     seed = F.to_json(F.struct(F.lit(tx).alias("tx"), "table_name", "given_key", F.when(F.col("given_key").isNull(), F.col("seq")).alias("seq")))
-    u = u.withColumn("found", found).withColumn("row_id", F.coalesce("found", "row_id", time_ordered_id(at, seed))).drop("by_id", "key_id")
+    # read by all that follows
+    u = stored(u.withColumn("found", found).withColumn("row_id", F.coalesce("found", "row_id", time_ordered_id(at, seed))).drop("by_id", "key_id"))
 
     item = u.select("seq", "table_name", "row_id", "source", "updated_by", F.explode("cells").alias("col", "value")).where(is_writable(F.col("col")))
     new = item.select("seq", *CELL, "source", sanitised(F.col("value")).alias("value"), "updated_by", F.lit(tx).alias("tx"))
@@ -71,7 +75,7 @@ def applied(
     firsts = u.where("found IS NULL").groupBy("table_name", "row_id").agg(F.min("seq").alias("born"))
     told = layering.changes(both, pins).where("fresh").join(firsts, ["table_name", "row_id"], "left")
     told = told.withColumn("row_is_new", F.coalesce(F.col("seq") == F.col("born"), F.lit(False)))
-    changed = told.where("row_is_new OR differs")
+    changed = stored(told.where("row_is_new OR differs").select("seq", *CELL, "source", "updated_by", "old_value", "new_value", "row_is_new"))
 
     # keys: the update's own, else the stored cell's, else the row's, else the one it was named by
     of_update = stripped(F.col("cells")[key_column]) if key_column else F.lit(None).cast("string")
@@ -79,8 +83,8 @@ def applied(
         F.max_by(of_update, F.when(of_update.isNotNull(), F.col("seq"))).alias("k_update"), F.max_by("given_key", F.when(F.col("given_key").isNotNull(), F.col("seq"))).alias("k_given")
     )
     if key_column:
-        stored = layering.effective(events.where(F.col("col") == key_column), pins, removed).select("table_name", "row_id", stripped(F.col("value")).alias("k_cell"))
-        named = named.join(stored, ["table_name", "row_id"], "left")
+        of_cell = layering.effective(events.where(F.col("col") == key_column), pins, removed).select("table_name", "row_id", stripped(F.col("value")).alias("k_cell"))
+        named = named.join(of_cell, ["table_name", "row_id"], "left")
     else:
         named = named.withColumn("k_cell", F.lit(None).cast("string"))
     counts = changed.groupBy("table_name", "row_id").agg(F.count_distinct("col").alias("n_changed"))

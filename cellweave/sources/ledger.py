@@ -66,7 +66,7 @@ class Ledger:
             old = self.rows(before)
             batch = writes.applied(old.select(*writes.ROW), self.events(before), updates, tx, at, key_column)
             touched = stored(batch.rows)
-            last = stored(batch.changed).groupBy(*CELL).agg(F.max_by(F.struct("new_value"), "seq")["new_value"].alias("value"))
+            last = batch.changed.groupBy(*CELL).agg(F.max_by(F.struct("new_value"), "seq")["new_value"].alias("value"))
             known = old.select(*KEY, F.col("business_key").alias("old_key"), F.col("data").alias("old_data"))
             changed = touched.join(known, KEY, "left").join(_cells(last), KEY, "left").where("is_new OR n_changed > 0 OR NOT business_key <=> old_key")
             none = F.create_map().cast("map<string,string>")

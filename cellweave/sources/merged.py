@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch, stored
 from .store import SCHEMA
 
 KEY = ["table_name", "row_id"]
@@ -121,8 +122,11 @@ class MergeStore:
     def _written(self, rows: DataFrame, kind: str) -> list[File]:
         """``rows`` as sorted files of disjoint ranges, with what a catalogue says of them."""
         at = f"{self.path}/data/{uuid.uuid4().hex}"
-        parts = rows.repartitionByRange(self.files, *KEY) if self.files else rows.repartitionByRange(*KEY)
-        parts.sortWithinPartitions(*KEY).write.parquet(at)
+        with scratch(self.spark):
+            # ranges are drawn from the rows before they are dealt, which would compute them twice
+            once = stored(rows)
+            parts = once.repartitionByRange(self.files, *KEY) if self.files else once.repartitionByRange(*KEY)
+            parts.sortWithinPartitions(*KEY).write.parquet(at)
         key = F.struct(*KEY)
         stats = self.spark.read.schema(_ROW).parquet(at).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"), F.max("version").alias("version"))
         return [File(r.path, kind, r.version, tuple(r.lo), tuple(r.hi), r.n) for r in stats.collect()]

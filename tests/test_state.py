@@ -426,3 +426,32 @@ def test_a_batch_on_a_version_that_is_no_longer_the_last_is_a_conflict(spark, tm
     with pytest.raises(Conflict):
         ledger.store.applied(rows(spark, ["r1"], "mine"), parts_to_append={"events": ledger.events()}, on=1)
     assert ledger.store.found("t", "r1").first().data == {"v": "other"} and ledger.events().count() == 8
+
+
+def test_groups_of_a_stream_are_computed_once_a_batch(spark, tmp_path):
+    at = str(tmp_path)
+    entries = spark.range(90).select(F.col("id").alias("seq"), (F.col("id") % 30).cast("string").alias("transaction_id"))
+    entries.coalesce(1).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(entries.schema).parquet(f"{at}/in")
+    store = MergeStore(spark, f"{at}/store")
+    run = ingestion.followed(ingestion.live_groups(stream, 2), store, "groups", f"{at}/checkpoint")
+    run.awaitTermination()
+    assert sum(s["numRowsUpdated"] for p in run.recentProgress for s in p["stateOperators"]) == 30
+    assert {r.row_id: (r.data["total_count"], r.data["n_logs"]) for r in store.read("groups").collect()} == {str(i): ("3", "2") for i in range(30)}
+
+
+def test_a_batch_computes_its_updates_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "seq long, table_name string, row_id string, business_key string, cells map<string,string>, source string, updated_by string"
+    given = spark.createDataFrame([(i, "t", None, f"k{i % 5}", {"a": str(i)}, "user" if i % 2 else "feed", "ann") for i in range(20)], kind).mapInArrow(counted, kind)
+    ledger = Ledger(MergeStore(spark, str(tmp_path / "m"), files=2))
+    ledger.begun(spark.createDataFrame([], "table_name string, row_id string, business_key string, created_at timestamp, updated_at timestamp"), spark.createDataFrame([], EVENTS))
+    ledger.committed(given, "tx", F.lit("2024-01-01").cast("timestamp"))
+    assert seen.value == 20
+    assert sorted((r.business_key, r.data["a"]) for r in ledger.rows().collect()) == [("k0", "15"), ("k1", "11"), ("k2", "17"), ("k3", "13"), ("k4", "19")]
